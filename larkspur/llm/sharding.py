@@ -42,7 +42,7 @@ def pack_shards(
     text_col: str = "text",
     bundles: int = 8192,
     grain: int = 32,
-    weights: tuple[float, float, float] = (10.0, 1.0, 1.0),
+    weights: tuple[float, float, float] = (30.0, 1.0, 1.0),
 ) -> DataFrame:
     """Assign every row a shard and a slot (gapless from 0 in its shard).
 
