@@ -86,14 +86,14 @@ def _signed(x: int) -> int:
 
 
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(smallest of its component, member) for the links within the radius among distinct values."""
-    left, out = np.sort(values), []
+    """(one of its component, member) for the links within the radius among distinct values."""
+    left, out = np.sort(values.view(np.uint64)), []  # bitwise_count takes the absolute value of signed numbers
     while len(left):
-        root, front, left = left[0], left[:1], left[1:]
+        root, front, left = left[:1].view(np.int64)[0], left[:1], left[1:]
         while len(front) and len(left):
             near = (np.bitwise_count(left[:, None] ^ front[None, :64]) <= radius).any(axis=1)
             front = np.concatenate([front[64:], left[near]])
-            out += [(int(root), int(x)) for x in left[near]]
+            out += [(int(root), int(x)) for x in left[near].view(np.int64)]
             left = left[~near]
     return out
 
