@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, sharding, simhash
+from larkspur.llm import mixing, sentencepieces, sharding, simhash, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and the decoded text of all documents, and how many bytes the spans cover."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepieces.encode_decode(_table(spark, sf_dir, "documents"), model, keep_spans=False)
+
+
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written as directly addressable codes and read back."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return tokenbin.read_documents(tokenbin.write_segments(_table(spark, sf_dir, "documents"), tokenizer, end_id=2))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents; links at 3 or fewer bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=3)
@@ -41,7 +54,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op6_simhash, op7_mixing)
+    for f in (op1_sharding, op2_sentencepiece, op5_token_binary, op6_simhash, op7_mixing)
 }
 
 ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
