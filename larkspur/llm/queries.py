@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, sentencepieces, sharding, simhash, tokenbin
+from larkspur.llm import mixing, quality, sentencepieces, sharding, simhash, tokenbin, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(_table(spark, sf_dir, "documents"), model, keep_spans=False)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents by weighted rules."""
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.scored(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels"), parts=5, held=0))
+    return found.select("doc_id", quality.held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written as directly addressable codes and read back."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -52,9 +59,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents by their maximal segments."""
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.passages(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"), parts=4, held=2))
+    return found.select("doc_id", quality.held_out(4, 2).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_sentencepiece, op5_token_binary, op6_simhash, op7_mixing)
+    for f in (op1_sharding, op2_sentencepiece, op3_quality, op5_token_binary, op6_simhash, op7_mixing, op9_toxicity)
 }
 
 ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
