@@ -1,6 +1,6 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Tokens are words of letters, lower-cased; a word that is not in the lexicon falls back on its first 5 or 4 letters. Log-odds
+Tokens are words of letters, lower-cased; a word that is not in the lexicon falls back on its first 8 to 4 letters. Log-odds
 of toxic against clean documents use an informative Dirichlet prior (the background share of a token times
 ``strength``), and a token enters the lexicon if its z-score is high. The linear-time scan of Ruzzo and Tompa finds all maximal
 segments of a text. A segment of score S in n tokens is expected K n exp(-lambda S) times by chance: lambda
@@ -18,15 +18,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import only
+from larkspur.llm.common import only, words_of, written
 from larkspur.llm.labelled import training_rows
 
 WORD = r"[^\W\d_]+"
-PREFIXES = (5, 4)
+PREFIXES = (8, 7, 6, 5, 4)
 MOST_EVIDENCE = 40.0
 
 
@@ -100,6 +100,12 @@ class KnownScores(dict):
         return len(words), segments(scores) if len(words) and scores.max() > 0 else []
 
 
+def _least_shingle(words: str) -> Column:
+    w = F.col(words)
+    ends = F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0)))
+    return F.coalesce(F.array_min(F.transform(ends, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5))))), F.lit(0))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, documents with it, toxic ones) of each batch of (text, label)."""
     find = re.compile(WORD).findall
@@ -125,18 +131,23 @@ def log_odds(toxic, clean, n_toxic: float, n_clean: float, strength: float = 0.1
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, most_rows: int = 20_000,
-    least_z: float = 3.0, least_odds: float = 1.0, most_tokens: int = 20_000,
+    least_z: float = 3.0, least_odds: float = 2.0, chance: float = 1.0, most_tokens: int = 20_000,
 ) -> ToxicModel:
     """Learn from at most ``most_rows`` labelled rows whose remainder is not ``held``.
 
-    The lexicon has the ``most_tokens`` tokens of the highest z-scores at most. Without both classes, or
+    Rows with the same least hash of their 5-word shingles are copies and count once, so that a copied text's
+    words don't look telling. A token's share of toxic rows must also be out of reach of chance, at
+    ``chance`` over all tokens tested. The lexicon has the ``most_tokens`` tokens of the highest z-scores at most. Without both classes, or
     without a telling token, every score is the share of toxic rows.
     """
-    rows = training_rows(only(docs, doc_id="doc_id", text="text"), labels, "toxic", parts, held, most_rows).select("text", "label")
+    rows = training_rows(only(docs, doc_id="doc_id", text="text"), labels, "toxic", parts, held, most_rows)
+    rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("shingle", _least_shingle("words"))
+    rows = rows.groupBy("shingle", "label").agg(F.min_by("text", "doc_id").alias("text")).select("text", "label")
+    rows = written(rows, "toxic-rows")
     counted = rows.mapInArrow(_counted, "token string, n long, toxic long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     # A token of under 3 toxic documents can't reach least_z; those of the others that are likelier in clean ones neither.
     some = counted.where("toxic >= 3")
-    total = counted.where(~F.col("token").endswith("*")).agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).first()
+    total = counted.where(~F.col("token").endswith("*")).agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("tokens")).first()
     n_toxic = float(total.toxic or 0)
     n_clean = float((total.n or 0) - n_toxic)
     model = ToxicModel()
@@ -145,6 +156,14 @@ def fit_toxicity(
         found = some.where(F.col("toxic") > 1.5 * share * F.col("n")).orderBy(F.col("toxic").desc(), "token").limit(20 * most_tokens).collect()
         toxic, every = (np.array([r[c] for r in found], dtype=float) for c in ("toxic", "n"))
         odds, z = log_odds(toxic, every - toxic, n_toxic, n_clean)
+        part = np.clip(toxic / every, share, 1 - 1e-12)
+        unlikely = -every * (part * np.log(part / share) + (1 - part) * np.log((1 - part) / (1 - share)))
+        top = Counter()  # of a prefix, the count of its commonest word: alone, that says nothing of the others
+        for r in found:
+            for k in keys_of(r.token)[1:] if not r.token.endswith("*") else ():
+                top[k] = max(top[k], r.toxic)
+        z[[r.toxic < 1.5 * top[r.token] for r in found]] = 0.0
+        z[unlikely > math.log(chance / total.tokens)] = 0.0
         chosen = [i for i in np.argsort(-z, kind="stable")[:most_tokens].tolist() if z[i] >= least_z and odds[i] >= least_odds]
         model.lexicon = {found[i].token: float(odds[i]) for i in chosen}
         words = np.array([i for i in chosen if not found[i].token.endswith("*")], dtype=int)
