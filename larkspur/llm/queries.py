@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, quality, sentencepieces, sharding, simhash, tokenbin, toxicity
+from larkspur.llm import html_text, mixing, quality, sentencepieces, sharding, simhash, tokenbin, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written as directly addressable codes and read back."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -68,7 +73,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_sentencepiece, op3_quality, op5_token_binary, op6_simhash, op7_mixing, op9_toxicity)
+    for f in (op1_sharding, op2_sentencepiece, op3_quality, op4_html_text, op5_token_binary, op6_simhash, op7_mixing, op9_toxicity)
 }
 
 ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
