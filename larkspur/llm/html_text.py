@@ -69,6 +69,10 @@ PAGES: list[list[tuple[int, int, int, int, int]]] = [
     [(2, 2, 0, 0, 0), (6, 6, 0, 0, 0), (3, 0, 0, 0, 0), (2, 2, 0, 0, 0), (4, 4, 0, 0, 0), (2, 0, 0, 0, 0), (5, 5, 0, 0, 0)],
     [(7, 0, 0, 1, 1), (18, 0, 0, 2, 1), (16, 0, 0, 2, 1), (22, 2, 0, 2, 1), (15, 0, 0, 2, 1), (11, 5, 0, 0, 0), (12, 8, 0, 0, 0)],
     [(12, 0, -1, 1, 0), (30, 2, -1, 2, 0), (4, 0, 2, 1, 1), (10, 0, 2, 2, 1), (40, 30, 2, 0, 0), (26, 0, 2, 2, 1), (5, 0, -1, 1, 0), (60, 0, -1, 2, 0), (5, 0, 0, 0, 0), (31, 0, 0, 2, 0)],
+    [(3, 3, 0, 0, 0), (2, 2, 0, 0, 0), (40, 0, 0, 0, 1), (60, 2, 0, 0, 1), (9, 0, 0, 0, 1), (75, 0, 0, 0, 1), (4, 4, 0, 0, 0), (6, 0, 0, 0, 0)],
+    [(5, 0, 0, 0, 0), (4, 4, 0, 0, 0), (6, 0, 0, 1, 1), (34, 1, 0, 0, 1), (28, 0, 0, 0, 1), (90, 5, 0, 0, 1), (7, 5, 0, 0, 0), (3, 0, 0, 2, 0), (4, 4, 0, 0, 0)],
+    [(2, 2, 0, 0, 0), (3, 0, 0, 2, 0), (5, 5, 0, 0, 0), (22, 0, 0, 0, 1), (50, 3, 0, 0, 1), (12, 0, 0, 0, 1), (44, 0, 0, 0, 1), (5, 3, 0, 0, 0), (8, 0, 0, 0, 0), (2, 2, 0, 0, 0)],
+    [(30, 24, 0, 0, 0), (26, 20, 0, 2, 0), (60, 1, 0, 2, 1), (5, 0, 0, 2, 1), (58, 0, 0, 2, 1), (35, 30, 0, 0, 0), (4, 0, 0, 2, 0), (3, 3, 0, 0, 0)],
 ]
 
 
