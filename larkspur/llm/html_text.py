@@ -73,6 +73,9 @@ PAGES: list[list[tuple[int, int, int, int, int]]] = [
     [(5, 0, 0, 0, 0), (4, 4, 0, 0, 0), (6, 0, 0, 1, 1), (34, 1, 0, 0, 1), (28, 0, 0, 0, 1), (90, 5, 0, 0, 1), (7, 5, 0, 0, 0), (3, 0, 0, 2, 0), (4, 4, 0, 0, 0)],
     [(2, 2, 0, 0, 0), (3, 0, 0, 2, 0), (5, 5, 0, 0, 0), (22, 0, 0, 0, 1), (50, 3, 0, 0, 1), (12, 0, 0, 0, 1), (44, 0, 0, 0, 1), (5, 3, 0, 0, 0), (8, 0, 0, 0, 0), (2, 2, 0, 0, 0)],
     [(30, 24, 0, 0, 0), (26, 20, 0, 2, 0), (60, 1, 0, 2, 1), (5, 0, 0, 2, 1), (58, 0, 0, 2, 1), (35, 30, 0, 0, 0), (4, 0, 0, 2, 0), (3, 3, 0, 0, 0)],
+    [(5, 5, -1, 0, 0), (9, 0, 2, 1, 1), (30, 9, 2, 2, 1), (12, 5, 2, 2, 1), (4, 4, 2, 0, 0), (20, 0, 2, 2, 1), (5, 5, 2, 0, 0), (2, 0, 2, 2, 1), (3, 1, 2, 2, 1), (50, 0, 2, 2, 1), (3, 3, -1, 0, 0)],
+    [(6, 6, 0, 0, 0), (8, 0, 1, 1, 1), (25, 9, 1, 2, 1), (10, 4, 1, 2, 1), (6, 6, 1, 0, 0), (15, 0, 1, 2, 1), (7, 7, 1, 0, 0), (3, 0, 1, 2, 1), (5, 2, 1, 2, 1), (40, 1, 1, 2, 1), (5, 5, 0, 0, 0)],
+    [(5, 5, -1, 0, 0), (40, 16, 2, 2, 1), (3, 3, 2, 2, 0), (8, 0, 2, 0, 1), (6, 6, 2, 0, 0), (1, 0, 2, 2, 1), (8, 8, 2, 0, 0), (2, 0, 2, 2, 1)],
 ]
 
 
