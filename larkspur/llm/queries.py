@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import html_text, mixing, quality, sentencepieces, sharding, simhash, tokenbin, toxicity
+from larkspur.llm import divergence, html_text, mixing, quality, sentencepieces, sharding, simhash, tokenbin, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"))
 
 
+def op8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of all documents and the verdict by divergence from their language's histograms."""
+    found = divergence.judged(_table(spark, sf_dir, "documents"))
+    return found.drop("class_distance", "common_distance")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of all documents by their maximal segments."""
     docs = _table(spark, sf_dir, "documents")
@@ -73,7 +79,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_sentencepiece, op3_quality, op4_html_text, op5_token_binary, op6_simhash, op7_mixing, op9_toxicity)
+    for f in (op1_sharding, op2_sentencepiece, op3_quality, op4_html_text, op5_token_binary, op6_simhash, op7_mixing, op8_divergence, op9_toxicity)
 }
 
 ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
