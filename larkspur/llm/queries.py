@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import divergence, html_text, mixing, quality, sentencepieces, sharding, simhash, tokenbin, toxicity
+from larkspur.llm import divergence, html_text, mixing, quality, sentencepieces, sharding, simhash, tokenbin, toxicity, weighted_sampling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,9 +77,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(4, 2).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return weighted_sampling.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_sentencepiece, op3_quality, op4_html_text, op5_token_binary, op6_simhash, op7_mixing, op8_divergence, op9_toxicity)
+    for f in (op1_sharding, op2_sentencepiece, op3_quality, op4_html_text, op5_token_binary, op6_simhash, op7_mixing, op8_divergence, op9_toxicity, op10_weighted_sampling)
 }
 
 ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
