@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import let, only, words_of
+from larkspur.llm.common import only, words_of
 
 BITS = 21
 
@@ -40,32 +40,6 @@ def draws(term: Column, logs: tuple[Column, ...], draw: int) -> list[Column]:
     return out
 
 
-def weighted_terms(own: Column, new: Column) -> Column:
-    """array<struct<term, own, new>>: each distinct word's hash and how often either list has it."""
-    even = F.transform(own, lambda w: F.xxhash64(w).bitwiseAND(-2))
-    odd = F.transform(new, lambda w: F.xxhash64(w).bitwiseOR(1))
-
-    def runs(s: Column) -> Column:  # (value, end) of each run of equal values of a sorted array
-        return F.filter(
-            F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i + 1) != x, F.lit(True)), F.struct(x.alias("v"), (i + 1).alias("end")))),
-            lambda x: x.isNotNull(),
-        )
-
-    def merged(r: Column) -> Column:  # the even run of a word and its odd one stand next to each other
-        count = lambda x, j: x.end - F.coalesce(F.get(r, j - 1).end, F.lit(0))
-
-        def row(x: Column, j: Column) -> Column:
-            after, before = F.get(r, j + 1), F.get(r, j - 1)
-            both = F.coalesce(after.v == x.v + 1, F.lit(False))
-            even_row = F.struct(x.v.alias("term"), count(x, j).alias("own"), F.when(both, after.end - x.end).otherwise(0).alias("new"))
-            odd_row = F.struct((x.v - 1).alias("term"), F.lit(0).alias("own"), count(x, j).alias("new"))
-            return F.when(x.v.bitwiseAND(1) == 0, even_row).when(~F.coalesce(before.v == x.v - 1, F.lit(False)), odd_row)
-
-        return F.filter(F.transform(r, row), lambda x: x.isNotNull())
-
-    return let(let(F.sort_array(F.concat(even, odd)), runs), merged)
-
-
 def _in_order(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (doc_id, text, part) with part rising with doc_id, and copies of each part's first rows in the part before, marked ``ahead``.
 
@@ -101,31 +75,44 @@ def fingerprints(docs: DataFrame, samples: int = 32, parts: int = 64) -> DataFra
     steps, as everything of a document and its successor is in one part.
     """
     order = Window.partitionBy("part").orderBy("ahead", F.col("doc_id").asc_nulls_first(), "text")
-    rows = _in_order(docs, parts).select(
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the word counts of a task stay in memory
+    rows = _in_order(docs, max(parts, tasks // 2)).repartition(tasks, "part").select(
         "part", "ahead", "doc_id", "text", F.row_number().over(order).alias("nth"), F.lead("text", 1, "").over(order).alias("next")
     )
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut))
-    rows = rows.withColumn("edited", edited).select(
-        "part", "nth", "ahead", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode_outer(weighted_terms(words_of(F.col("text")), words_of(F.col("edited")))).alias("x"),
-    )
-    keys = ["part", "nth", "ahead", "doc_id", "n_chars", "edited_sha256"]
-    logs = [F.when(F.col(c) > 0, F.ln(F.col(c).cast("double"))).alias(c) for c in ("x.own", "x.new")]
-    rows = rows.select(*keys, F.col("x.term").alias("term"), logs[0].alias("own"), logs[1].alias("new"))
-    least = []
+    rows = rows.withColumn("edited", edited)
+    # The facts of a document travel as numbered longs among its words, so that one grouping holds both and nothing is joined.
+    sha = F.sha2("edited", 256)
+    facts = [F.col("doc_id"), n.cast("long"), F.col("ahead").cast("long")]
+    facts += [F.conv(F.substring(sha, 1 + 16 * k, 16), 16, -10).cast("long") for k in range(4)]
+    none = F.array(F.lit(None).cast("string"))
+    kinds = [(0, F.lit(None).cast("long"), words_of(F.col("text"))), (1, F.lit(None).cast("long"), words_of(F.col("edited")))]
+    kinds += [(k + 2, value, none) for k, value in enumerate(facts)]
+    kind = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value"), w.alias("words")) for k, v, w in kinds)))
+    rows = rows.select("part", "nth", kind.alias("x")).select("part", "nth", "x.kind", "x.value", F.explode_outer("x.words").alias("word"))
+    term = F.when(F.col("word").isNotNull(), F.xxhash64("word")).otherwise(F.col("value"))
+    rows = rows.select("part", "nth", F.greatest("kind", F.lit(1)).alias("fact"), term.alias("term"), (F.col("kind") == 0).cast("int").alias("own"), (F.col("kind") == 1).cast("int").alias("new"))
+    rows = rows.groupBy("part", "nth", "fact", "term").agg(F.sum("own").alias("own"), F.sum("new").alias("new"))
+    word = (F.col("fact") == 1) & F.col("term").isNotNull()
+    logs = [F.when(word & (F.col(c) > 0), F.ln(F.col(c).cast("double"))).alias(c) for c in ("own", "new")]
+    rows = rows.select("part", "nth", "fact", "term", *logs)
+    least = [F.max(F.when(F.col("fact") == k + 2, F.col("term"))).alias(f"fact{k}") for k in range(len(facts))]
     for k in range(samples):
         own, new = draws(F.col("term"), (F.col("own"), F.col("new")), k)
         least += [F.min(own).alias(f"own{k}"), F.min(new).alias(f"new{k}")]
-    found = rows.groupBy(*keys).agg(*least)
-    # The lower half of a draw: its sample and the last bits of its value; -1 where the text has no word.
+    found = rows.groupBy("part", "nth").agg(*least)
+    # The lower half of a draw: its sample and the last bits of its value; all ones where the text has no word.
     code = lambda name: F.array(*(F.coalesce(F.col(f"{name}{k}"), F.lit(-1)).bitwiseAND(0xFFFFFFFF) for k in range(samples)))
-    found = found.select(*keys, code("own").alias("own"), code("new").alias("new"))
+    names = [f"fact{k}" for k in range(len(facts))]
+    found = found.select("part", "nth", *names, code("own").alias("own"), code("new").alias("new"))
     found = found.withColumn("following", F.lead("own").over(Window.partitionBy("part").orderBy("nth")))
-    text_of = lambda name: F.array_join(F.transform(name, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    hexed = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    text_of = lambda name: F.array_join(F.transform(name, lambda x: hexed(x, 8)), "")
     alike = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) / float(samples)
-    return found.where("ahead = 0").select(
-        "doc_id", "n_chars", "edited_sha256", text_of("own").alias("fingerprint"), text_of("new").alias("edited_fingerprint"),
+    return found.where("fact2 = 0").select(
+        F.col("fact0").alias("doc_id"), F.col("fact1").alias("n_chars"), F.concat(*(hexed(F.col(x), 16) for x in names[3:])).alias("edited_sha256"),
+        text_of("own").alias("fingerprint"), text_of("new").alias("edited_fingerprint"),
         alike("own", "new").alias("near_edited"), F.coalesce(alike("own", "following"), F.lit(1.0)).alias("near_next"),
     )
