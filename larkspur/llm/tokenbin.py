@@ -29,7 +29,6 @@ from larkspur.llm.common import only, written
 MAGIC, RANK_BITS = b"DAC1", 512
 #: The pre-tokenizer's pattern in the tokenizer file, on normalised text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
 def pack(ids: np.ndarray, starts: np.ndarray) -> bytes:
@@ -99,14 +98,15 @@ class Segment:
 
 
 class WordIds:
-    """Ids of whole texts as the tokenizers library gives them, with words that were seen kept.
+    """Ids of whole texts as the tokenizers library gives them, with what was seen kept.
 
-    The library treats each word of the pattern by itself, so a word's ids are looked up after the first time. Texts
-    with a special token's string, or characters for which Unicode tables might differ (beyond U+024F but for
-    general punctuation), go through the library whole.
+    The pre-tokenizer never joins characters across white space, so each chunk between white space is encoded by itself and
+    looked up after the first time. A new chunk is cut into the pattern's words; new words are encoded by the library many at a time, where each
+    word's last id is one with an end of word. Chunks with a special token's string, or characters for which Unicode
+    tables might differ, go through the library whole.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -114,32 +114,59 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.find = regex.compile(PATTERN).findall
-        self.plain = regex.compile("[\t\n\r\x20-\x7e¡-İĲ-ňŊ-ǃǍ-ǰǴ-ɏ‐-‧€]*").fullmatch
-        self.known: dict[str, bytes] = {}
-        self.most = most_words
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        self.find = regex.compile(PATTERN + r"|\n").findall
+        self.plain = regex.compile("[\n!-~¡-ĮĲ-ňŊ-ǃǍ-ǰǴ-ɏ‐-‧€]*").fullmatch
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.most = most
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as little-endian u32."""
-        known, found, whole, missing = self.known, [], [], set()
-        if len(known) > self.most:
-            known.clear()
-        for k, text in enumerate(texts):
-            if self.plain(text) and not any(s in text for s in SPECIAL):
-                words = self.find(text.lower())  # NFC changes nothing here: all letters are composed
-                missing.update(w for w in words if w not in known)
-                found.append(words)
-            else:
-                found.append(None)
-                whole.append(k)
+        """Ids of every text as little-endian numbers of ``kind``."""
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        for kept in (self.chunks, self.words):
+            if len(kept) > self.most:
+                kept.clear()
+        missing = set().union(*split).difference(self.chunks)
         if missing:
-            new = list(missing)
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"" if words is None else b"".join([known[w] for w in words]) for words in found]
-        for k, e in zip(whole, self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
+            self._learn(missing)
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in split]
+
+    def _learn(self, missing: set[bytes]) -> None:
+        order, whole = list(missing), []
+        lines = b"\n".join(order).decode("utf-8", "surrogatepass")
+        if "<|" in lines or not self.plain(lines):
+            texts = [(c, c.decode("utf-8", "surrogatepass")) for c in order]
+            whole = [(c, t) for c, t in texts if "<|" in t or not self.plain(t)]
+            order = list(missing.difference(c for c, _ in whole))
+            lines = b"\n".join(order).decode()
+        words = self.find(lines.lower())  # composed letters: NFC changes nothing
+        new = list(set(words).difference(self.words, ("\n",)))
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            stops = np.nonzero(self.ends[ids])[0] + 1
+            if len(stops) != len(some):
+                raise ValueError(f"{len(some)} words gave {len(stops)} ends")
+            data, start = ids.tobytes(), 0
+            for word, stop in zip(some, (ids.itemsize * stops).tolist(), strict=True):
+                self.words[word] = data[start:stop]
+                start = stop
+        own, parts, chunk = self.words, [], iter(order)
+        for word in words:
+            if word == "\n":
+                self.chunks[next(chunk)] = b"".join(parts)
+                parts = []
+            else:
+                parts.append(own[word])
+        for last in chunk:
+            self.chunks[last] = b"".join(parts)
+        for (c, _), e in zip(whole, self.library.encode_batch_fast([t for _, t in whole], add_special_tokens=False), strict=True):
+            self.chunks[c] = np.array(e.ids, dtype=self.kind).tobytes()
 
 
 SEGMENTS = "part int, segment int, n_docs long, n_tokens long, doc_ids array<long>, payload binary"
@@ -168,29 +195,29 @@ def write_segments(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(tokenizer)
-        last = np.array([end_id], dtype="<u4").tobytes()
+        last, width = np.array([end_id], dtype=encode.kind).tobytes(), encode.kind.itemsize
         ids, held, size, number, part = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, held, size, number
-            lengths = np.array([len(x) // 4 for x in held], dtype=np.int64)
+            lengths = np.array([len(x) // width for x in held], dtype=np.int64)
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            payload = pack(np.frombuffer(b"".join(held), dtype="<u4"), starts)
+            payload = pack(np.frombuffer(b"".join(held), dtype=encode.kind), starts)
             row = [[part], [number], [len(ids)], [int(starts[-1])], [ids], [payload]]
             ids, held, size, number = [], [], 0, number + 1
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
                 part = some.column(2)[0].as_py()
                 for doc_id, own in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                    if held and size + len(own) // 4 + 1 > tokens_per_segment:
+                    if held and size + len(own) // width + 1 > tokens_per_segment:
                         yield flush()
                     ids.append(doc_id)
                     held.append(own + last)
-                    size += len(own) // 4 + 1
+                    size += len(own) // width + 1
         if held:
             yield flush()
 
