@@ -170,15 +170,17 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = joined.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     table = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    table = written(table, "simhash-table")  # so that both sides of the last join are plain exchanges, whose large parts Spark can split
     return fps.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that with the smallest doc_id.
 
-    Of repeated rows with this doc_id one stays; a component without any doc_id keeps one row.
-    All columns of ``docs`` are returned.
+    Of repeated rows with this doc_id one stays. Rows without a doc_id are no component's choice; of exact copies among them one
+    stays. All columns of ``docs`` are returned.
     """
     found = near_duplicates(docs, radius, id_col, text_col)
-    names = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(names, docs[id_col].eqNullSafe(names["_kept"]), "left_semi").dropDuplicates([id_col])
+    names = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(names, docs[id_col] == names["_kept"], "left_semi").dropDuplicates([id_col])
+    return named.unionAll(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
