@@ -1,17 +1,63 @@
-"""Training-text pipeline: the stages in order, each over all rows that the one before kept."""
+"""Training-text pipeline: the stages in order, each over all rows that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Toxic
+documents go, then poor ones, then all but one of each group of near-duplicates; the mix repeats or leaves out
+documents by their sources' targets, and the last stage encodes what is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from larkspur.llm import mixing, quality, sentencepieces, simhash, toxicity
+from larkspur.llm.common import written
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.3 for toxicity."""
+    return toxicity.keep_clean(docs, _labels(spark, sf_dir))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more for quality."""
+    return quality.keep_good(docs, _labels(spark, sf_dir))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that SimHash links at 3 bits or fewer."""
+    return simhash.keep_one(docs, radius=3)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources weighing 1, 2, 3, repeating, takes them."""
+    return mixing.mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of ids and digests of the ids and of the decoded text of every document."""
+    return sentencepieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_spans=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("simhash", drop_near_duplicates),
+    ("mixing", mix),
+    ("sentencepiece", encode),
+]
 
+#: Trained models and fingerprints are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents of ``sf_dir``."""
+    """Apply the stages to the documents of ``sf_dir``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
