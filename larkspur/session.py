@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +30,12 @@ def get_session(app: str = "larkspur", master: str | None = None, partitions: in
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def working_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a new one is set only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="larkspur-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
