@@ -16,10 +16,12 @@ table may lie in any store and a lost executor's files are written anew.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,8 @@ from pyspark.sql import types as T
 from larkspur.llm.common import only, written
 
 MAGIC, RANK_BITS = b"DAC1", 512
-#: The pre-tokenizer's pattern in the tokenizer file, on normalised text.
+#: What makes a chunk odd, and the pre-tokenizer's pattern in the tokenizer file, on normalised text.
+ODD = r"[^!-~¡-ĮĲ-ňŊ-ǃǍ-ǰǴ-ɏ‐-‧€]|<\|"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -98,12 +101,11 @@ class Segment:
 
 
 class WordIds:
-    """Ids of whole texts as the tokenizers library gives them, with what was seen kept.
+    """Ids of whole texts as the tokenizers library gives them, with each word's kept.
 
-    The pre-tokenizer never joins characters across white space, so each chunk between white space is encoded by itself and
-    looked up after the first time. A new chunk is cut into the pattern's words; new words are encoded by the library many at a time, where each
-    word's last id is one with an end of word. Chunks with a special token's string, or characters for which Unicode
-    tables might differ, go through the library whole.
+    The pre-tokenizer never joins characters across white space, so the distinct chunks between white space are encoded once a batch and
+    gathered by their numbers. A chunk is cut into the pattern's words, and a new word goes through the library's model. Chunks with
+    a special token's string, or characters for which Unicode tables might differ, go through the library whole.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -114,59 +116,63 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        vocabulary = self.library.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        self.model = self.library.model.tokenize
+        self.kind = np.dtype("<u2" if max(self.library.get_vocab().values()) < 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.find = regex.compile(PATTERN + r"|\n").findall
-        self.plain = regex.compile("[\n!-~¡-ĮĲ-ňŊ-ǃǍ-ǰǴ-ɏ‐-‧€]*").fullmatch
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.bytes = {b: c for b, c in byte_letters().items() if chr(b) != c}
+        self.words: dict[str, bytes] = {"\n": b""}
         self.most = most
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as little-endian numbers of ``kind``."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        for kept in (self.chunks, self.words):
-            if len(kept) > self.most:
-                kept.clear()
-        missing = set().union(*split).difference(self.chunks)
-        if missing:
-            self._learn(missing)
-        known = self.chunks.__getitem__
-        return [b"".join(map(known, chunks)) for chunks in split]
-
-    def _learn(self, missing: set[bytes]) -> None:
-        order, whole = list(missing), []
-        lines = b"\n".join(order).decode("utf-8", "surrogatepass")
-        if "<|" in lines or not self.plain(lines):
-            texts = [(c, c.decode("utf-8", "surrogatepass")) for c in order]
-            whole = [(c, t) for c, t in texts if "<|" in t or not self.plain(t)]
-            order = list(missing.difference(c for c, _ in whole))
-            lines = b"\n".join(order).decode()
-        words = self.find(lines.lower())  # composed letters: NFC changes nothing
-        new = list(set(words).difference(self.words, ("\n",)))
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
-            stops = np.nonzero(self.ends[ids])[0] + 1
-            if len(stops) != len(some):
-                raise ValueError(f"{len(some)} words gave {len(stops)} ends")
-            data, start = ids.tobytes(), 0
-            for word, stop in zip(some, (ids.itemsize * stops).tolist(), strict=True):
-                self.words[word] = data[start:stop]
-                start = stop
-        own, parts, chunk = self.words, [], iter(order)
-        for word in words:
-            if word == "\n":
-                self.chunks[next(chunk)] = b"".join(parts)
-                parts = []
-            else:
-                parts.append(own[word])
-        for last in chunk:
-            self.chunks[last] = b"".join(parts)
-        for (c, _), e in zip(whole, self.library.encode_batch_fast([t for _, t in whole], add_special_tokens=False), strict=True):
-            self.chunks[c] = np.array(e.ids, dtype=self.kind).tobytes()
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and len + 1 offsets of each text's first."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        flat, lengths = self._ids_of(coded.dictionary)
+        starts = np.cumsum(lengths) - lengths
+        index = coded.indices.to_numpy()
+        own = lengths[index]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = flat[np.repeat(starts[index] - ends[:-1], own) + np.arange(ends[-1])]
+        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+    def _ids_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct chunks end to end, and how many each has."""
+        if len(self.words) > self.most:
+            self.words = {"\n": b""}
+        odd = pc.match_substring_regex(chunks, ODD)
+        plain = chunks.filter(pc.invert(odd))
+        # Composed letters only: normalisation changes nothing but case.
+        words = self.find("\n".join(plain.to_pylist()).lower())
+        known, model, code, table = self.words, self.model, self.code, self.bytes
+        for word in set(words).difference(known):
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(table)
+            known[word] = array(code, [t.id for t in model(letters)]).tobytes()
+        each = list(map(known.__getitem__, words))
+        flat = np.frombuffer(b"".join(each), dtype=self.kind)
+        counts = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // self.kind.itemsize
+        stops = np.nonzero(np.fromiter((w == "\n" for w in words), dtype=bool, count=len(words)))[0]
+        totals = np.concatenate([[0], np.cumsum(counts)])
+        cuts = np.concatenate([[0], totals[stops], [totals[-1]]])
+        lengths = np.zeros(len(chunks), dtype=np.int64)
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        lengths[~is_odd] = np.diff(cuts)[: len(plain)]
+        if not is_odd.any():
+            return flat, lengths
+        whole = [e.ids for e in self.library.encode_batch_fast(chunks.filter(odd).to_pylist(), add_special_tokens=False)]
+        lengths[is_odd] = [len(x) for x in whole]
+        out = np.empty(lengths.sum(), dtype=self.kind)
+        place = np.repeat(is_odd, lengths)
+        out[~place] = flat
+        out[place] = np.array([i for x in whole for i in x], dtype=self.kind)
+        return out, lengths
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter of each byte in byte-level vocabularies: itself if visible, else the next from U+0100."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 SEGMENTS = "part int, segment int, n_docs long, n_tokens long, doc_ids array<long>, payload binary"
@@ -183,7 +189,7 @@ def write_segments(
     """Encode every row, write the segments in ascending doc_id order and return the table as read back.
 
     Null counts as the empty text, whose only id is the end id; null doc_ids come first, repeated doc_ids by their texts' hashes.
-    A document is never cut: one of more ids than ``tokens_per_segment`` has a segment to itself.
+    Segments don't span Arrow batches. A document is never cut: one of more ids than ``tokens_per_segment`` has a segment to itself.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -194,32 +200,19 @@ def write_segments(
     rows = rows.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(tokenizer)
-        last, width = np.array([end_id], dtype=encode.kind).tobytes(), encode.kind.itemsize
-        ids, held, size, number, part = [], [], 0, 0, 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal ids, held, size, number
-            lengths = np.array([len(x) // width for x in held], dtype=np.int64)
-            starts = np.concatenate([[0], np.cumsum(lengths)])
-            payload = pack(np.frombuffer(b"".join(held), dtype=encode.kind), starts)
-            row = [[part], [number], [len(ids)], [int(starts[-1])], [ids], [payload]]
-            ids, held, size, number = [], [], 0, number + 1
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names)
-
+        encode, number = WordIds(tokenizer), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                part = some.column(2)[0].as_py()
-                for doc_id, own in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                    if held and size + len(own) // width + 1 > tokens_per_segment:
-                        yield flush()
-                    ids.append(doc_id)
-                    held.append(own + last)
-                    size += len(own) // width + 1
-        if held:
-            yield flush()
+            ids, cuts = encode(batch.column(1))
+            ids = np.insert(ids, cuts[1:], end_id)
+            cuts = cuts + np.arange(len(cuts))
+            doc_ids, part, first = batch.column(0).to_pylist(), batch.column(2)[0].as_py(), 0
+            while first < len(doc_ids):
+                last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + tokens_per_segment, side="right")) - 1)
+                payload = pack(ids[cuts[first] : cuts[last]], cuts[first : last + 1] - cuts[first])
+                row = [[part], [number], [last - first], [int(cuts[last] - cuts[first])], [doc_ids[first:last]], [payload]]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names)
+                first, number = last, number + 1
 
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
     return written(rows.mapInArrow(run, SEGMENTS), "token-segments")
