@@ -62,7 +62,9 @@ def vote(
     open_ = ~empty & (F.col("votes") >= least_frames)
     rows = rows.withColumn("vote_ratio", F.when(open_, F.col("_top.n") / F.col("votes")).otherwise(0.0))
     rows = rows.withColumn("avg_confidence", F.when(open_, F.col("_top.total").cast("double") / F.col("_top.n")).otherwise(0.0))
-    passed = open_ & (F.col("vote_ratio") >= least_ratio) & (F.col("avg_confidence") >= least_confidence)
+    # The gate compares decimals too: a mean of exactly the limit passes, whatever the quotient rounds to.
+    enough = F.col("_top.total") >= F.lit(least_confidence).cast("decimal(9,6)") * F.col("_top.n").cast("decimal(9,0)")
+    passed = open_ & (F.col("vote_ratio") >= least_ratio) & enough
     rows = rows.withColumn("stable_id", F.when(passed, F.col("_top.k")))
     label = F.when(empty, F.lit(no_face_label)).when(passed, class_name(F.col("_top.k"))).otherwise(F.lit(NEUTRAL))
     return rows.withColumn("stable_label", label).drop("_none", "_epoch", "_top")

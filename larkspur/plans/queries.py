@@ -62,7 +62,7 @@ e AS (
 w AS (
   SELECT *, row_number() OVER (PARTITION BY session_id, epoch, class_id IS NULL ORDER BY frame_index) AS rn FROM e),
 p AS (
-  SELECT a.session_id, a.frame_index, b.class_id AS k, count(*) AS n, min(b.frame_index) AS seen, CAST(sum(CAST(b.conf AS DECIMAL(28,17))) AS DOUBLE) AS total
+  SELECT a.session_id, a.frame_index, b.class_id AS k, count(*) AS n, min(b.frame_index) AS seen, sum(CAST(b.conf AS DECIMAL(28,17))) AS total
   FROM w a JOIN w b ON a.session_id = b.session_id AND a.epoch = b.epoch AND b.class_id IS NOT NULL AND b.rn BETWEEN a.rn - 29 AND a.rn
   WHERE a.class_id IS NOT NULL GROUP BY 1, 2, 3),
 t AS (
@@ -70,10 +70,10 @@ t AS (
 v AS (
   SELECT f.session_id, f.frame_index, f.class_id, CAST(coalesce(t.votes, 0) AS INTEGER) AS votes, t.k,
          CASE WHEN t.votes >= 8 THEN CAST(t.n AS DOUBLE) / CAST(t.votes AS DOUBLE) ELSE 0.0 END AS vote_ratio,
-         CASE WHEN t.votes >= 8 THEN t.total / CAST(t.n AS DOUBLE) ELSE 0.0 END AS avg_confidence
+         CASE WHEN t.votes >= 8 THEN CAST(t.total AS DOUBLE) / CAST(t.n AS DOUBLE) ELSE 0.0 END AS avg_confidence, t.total >= CAST(0.4 AS DECIMAL(9,6)) * CAST(t.n AS DECIMAL(9,0)) AS enough
   FROM f LEFT JOIN t ON f.session_id = t.session_id AND f.frame_index = t.frame_index AND t.r = 1),
 s AS (
-  SELECT *, CASE WHEN class_id IS NULL THEN 'no_face' WHEN votes >= 8 AND vote_ratio >= 0.4 AND avg_confidence >= 0.4 THEN {NAME_SQL.format('k')} ELSE 'neutral' END AS stable_label FROM v)"""
+  SELECT *, CASE WHEN class_id IS NULL THEN 'no_face' WHEN votes >= 8 AND vote_ratio >= 0.4 AND enough THEN {NAME_SQL.format('k')} ELSE 'neutral' END AS stable_label FROM v)"""
 SHARE_SQL = ", ".join(f"round_even(CAST(count(*) FILTER (WHERE emotion = '{c}') AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100, 1) AS pct_{c}" for c in X.CLASSES)
 SMOOTH_SQL = """a AS (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY i) AS rn FROM h),

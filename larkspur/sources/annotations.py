@@ -41,9 +41,13 @@ def label_lines(spark: SparkSession, root: str, source: str) -> DataFrame:
 
 
 def files(spark: SparkSession, root: str, source: str, suffixes: list[str], recursive: bool = True, any_case: bool = True) -> DataFrame:
-    """source, split, stem, ext, path, length of the files with one of ``suffixes``; contents aren't read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    rows = reader.load(root).select("path", "length")
+    """source, split, stem, ext, path, length of the files with one of ``suffixes``; contents aren't read.
+
+    Scans leave out files of no bytes, so the names come from the scan's file index, which the driver holds in any case.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+    names = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string")
+    rows = names.join(found.select("path", "length"), "path", "left").na.fill(0, ["length"])
     ext = F.lower(suffix(F.col("path"))) if any_case else suffix(F.col("path"))
     rows = rows.withColumn("ext", ext).where(F.col("ext").isin(suffixes))
     return rows.select(F.lit(source).alias("source"), split_of(F.col("path")).alias("split"), stem(F.col("path")).alias("stem"), "ext", "path", "length")

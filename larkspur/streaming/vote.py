@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -38,8 +39,9 @@ class Buffer:
         if n < least_frames:
             return NEUTRAL, 0.0, 0.0
         top, votes = Counter(self.classes).most_common(1)[0]  # the first met among equals
-        mean = sum(c for k, c in zip(self.classes, self.confidences, strict=True) if k == top) / votes
-        passed = votes / n >= least_ratio and mean >= least_confidence
+        total = sum(Decimal(repr(c)) for k, c in zip(self.classes, self.confidences, strict=True) if k == top)
+        mean = float(total) / votes
+        passed = votes / n >= least_ratio and total >= Decimal(repr(least_confidence)) * votes
         return (CLASSES[top] if passed else NEUTRAL), votes / n, mean
 
 
