@@ -167,3 +167,55 @@ def judged(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~F.coalesce(bad, F.lit(False))).alias("kept"), "class_distance", "common_distance",
     )
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_SQL_CLASSES = ["0-9", ".,;:?", "!", r"""''"()\[\]{}\-_/\\""", "#*$%&|<>", r"@=+~\^`", r"\x20\x09-\x0D", "A-Z", "a-z"]
+#: The same rows in DuckDB, with the default limits.
+ORACLE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+e AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+         CASE lang {' '.join(f"WHEN '{k}' THEN {_sql_list(w)}" for k, w in COMMON_WORDS.items() if k)} ELSE {_sql_list(COMMON_WORDS[None])} END AS listed FROM d),
+u AS (
+  SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM e),
+g AS (
+  SELECT rid, i, lead(w, 4) OVER x AS last, concat_ws(' ', w, lead(w, 1) OVER x, lead(w, 2) OVER x, lead(w, 3) OVER x, lead(w, 4) OVER x) AS g FROM u WINDOW x AS (PARTITION BY rid ORDER BY i)),
+r AS (
+  SELECT rid, i FROM g WHERE last IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+c AS (
+  SELECT rid, sum(n) AS n_repeat_words FROM (SELECT rid, least(5, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i), i + 5) - i) AS n FROM r) GROUP BY rid),
+b AS (
+  SELECT e.rid, doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         [{', '.join(f"CAST(length(t) - length(regexp_replace(t, '[{x}]', '', 'g')) AS BIGINT)" for x in _SQL_CLASSES)}] AS cs,
+         list_transform(listed, lambda x: len(list_filter(list_transform(ws, lambda y: lower(y)), lambda z: z = x))) AS wc
+  FROM e LEFT JOIN c ON c.rid = e.rid),
+s AS (
+  SELECT *, list_transform(list_append(cs, n_chars - list_sum(cs)), lambda x: CAST(x AS DOUBLE) / greatest(n_chars, 1)) AS p,
+         list_transform(list_append(wc, n_words - list_sum(wc)), lambda x: CAST(x AS DOUBLE) / greatest(n_words, 1)) AS q FROM b),
+m AS (
+  SELECT lang, kind, k, avg(v) AS v, count(*) AS n FROM (
+    SELECT lang, 'p' AS kind, unnest(p) AS v, generate_subscripts(p, 1) AS k FROM s WHERE n_words >= 50
+    UNION ALL SELECT lang, 'q', unnest(q), generate_subscripts(q, 1) FROM s WHERE n_words >= 50) WHERE lang IS NOT NULL GROUP BY ALL),
+al AS (
+  SELECT kind, k, avg(v) AS v, count(*) AS n FROM (
+    SELECT 'p' AS kind, unnest(p) AS v, generate_subscripts(p, 1) AS k FROM s WHERE n_words >= 50
+    UNION ALL SELECT 'q', unnest(q), generate_subscripts(q, 1) FROM s WHERE n_words >= 50) GROUP BY ALL),
+rf AS (
+  SELECT lang, list(m.v ORDER BY k) FILTER (WHERE kind = 'p') AS rp, list(m.v ORDER BY k) FILTER (WHERE kind = 'q') AS rq FROM m JOIN al USING (kind, k) WHERE m.n * 1000 >= al.n GROUP BY 1),
+ra AS (
+  SELECT list(v ORDER BY k) FILTER (WHERE kind = 'p') AS ap, list(v ORDER BY k) FILTER (WHERE kind = 'q') AS aq FROM al),
+z AS (
+  SELECT s.*, coalesce(rp, ap) AS rp, coalesce(rq, aq) AS rq FROM s LEFT JOIN rf ON rf.lang = s.lang CROSS JOIN ra),
+t AS (
+  SELECT *, {', '.join(f"sqrt(greatest(list_sum(list_transform(range(1, len({a}) + 1), lambda i: (CASE WHEN {a}[i] > 0 THEN {a}[i] * log2({a}[i] / (({a}[i] + {o}[i]) / 2)) ELSE 0.0 END + CASE WHEN {o}[i] > 0 THEN {o}[i] * log2({o}[i] / (({a}[i] + {o}[i]) / 2)) ELSE 0.0 END) / 2)), 0.0)) AS d{a}" for a, o in (('p', 'rp'), ('q', 'rq')))},
+         n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM z)
+SELECT doc_id, n_words, n_chars - cs[7] AS word_chars, cs[5] AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce((n_words >= 25 AND dp > 0.2) OR (n_words >= 50 AND dq > 0.45) OR (n_words >= 50 AND dp > 0.155 AND dq > 0.24), false) AS kept
+FROM t
+"""

@@ -87,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_sharding, op2_sentencepiece, op3_quality, op4_html_text, op5_token_binary, op6_simhash, op7_mixing, op8_divergence, op9_toxicity, op10_weighted_sampling)
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op8_divergence": divergence.ORACLE}
