@@ -164,8 +164,10 @@ def scored(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFra
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
     model = fit_quality(docs, labels)
-    rows = with_statistics(docs.withColumn("_text", F.coalesce("text", F.lit(""))))
-    return rows.where(model.score() >= threshold).select(*docs.columns)
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
+    # A filter would be pushed below the statistics, and each rule would work them out anew; a generator stays above them.
+    kept = F.explode(F.filter(F.array(model.score()), lambda x: x >= threshold)).alias("_score")
+    return with_statistics(own).select("_row", kept).select("_row.*")
 
 
 def held_out(parts: int, held: int) -> Column:
