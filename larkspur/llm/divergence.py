@@ -133,9 +133,9 @@ def references(rows: DataFrame, least_words: int = 50, most_languages: int = 100
     means = [F.avg(c).alias(c) for c in (*(f"c{k}" for k in range(N_CLASSES)), *(f"w{k}" for k in range(N_WORDS + 1)))]
     own = kept.select("lang", *columns)
     every = own.agg(F.count(F.lit(1)).alias("n"), *means).withColumn("lang", F.lit(None).cast("string"))
+    total = every.first().n
     per = own.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *means)
-    per = per.join(F.broadcast(every.select(F.col("n").alias("total"))), F.col("n") * most_languages >= F.col("total")).drop("total")
-    both = per.unionByName(every)
+    both = per.where(F.col("n") * most_languages >= total).unionByName(every)
     return both.select(
         "lang",
         F.array(*(F.col(f"c{k}") for k in range(N_CLASSES))).alias("classes"),
@@ -154,11 +154,17 @@ def judged(
     columns play no part.
     """
     rows = written(measured(docs, id_col, text_col, lang_col), "divergence")
-    table = written(references(rows), "divergence-references")
-    every = F.broadcast(table.where("lang is null").select(F.col("classes").alias("all_classes"), F.col("commons").alias("all_commons")))
-    own = F.broadcast(table.where("lang is not null"))
-    rows = rows.join(own, "lang", "left").join(every)
-    near = lambda name, mine: distance(shares(F.col(name)), F.coalesce(F.col(mine), F.col(f"all_{mine}")))
+    found = references(rows).collect()  # at most a thousand and one rows of 31 numbers
+    spark = docs.sparkSession
+    own = [(r.lang, r.classes, r.commons) for r in found if r.lang is not None]
+    own = F.broadcast(spark.createDataFrame(own, "lang string, classes array<double>, commons array<double>"))
+    every = next(r for r in found if r.lang is None)
+    rows = rows.join(own, "lang", "left")
+
+    def near(name: str, mine: str) -> Column:
+        whole = F.array(*(F.lit(x).cast("double") for x in every[mine]))
+        return distance(shares(F.col(name)), F.coalesce(F.col(mine), whole))
+
     rows = rows.withColumns({"class_distance": near("by_class", "classes"), "common_distance": near("by_word", "commons")})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     bad = ((F.col("n_words") >= class_guard) & (F.col("class_distance") > most_class)) | ((F.col("n_words") >= common_guard) & (F.col("common_distance") > most_common))
