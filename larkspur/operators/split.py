@@ -40,9 +40,7 @@ def split_counts(rows: DataFrame, by: str, boxes: str | None = None, digits: int
     """new_split, class, images, boxes and percent of its split, for every pair, zeros included."""
     n = F.count(F.lit(1)).alias("images")
     own = rows.groupBy("new_split", by).agg(n, (F.sum(boxes) if boxes else F.count(F.lit(1))).alias("boxes"))
-    splits = rows.sparkSession.createDataFrame([(s,) for s in SPLITS], "new_split string")
-    classes = own.select(by).distinct()
-    every = classes.crossJoin(F.broadcast(splits))  # three rows on one side
+    every = own.select(by).distinct().select(by, F.explode(F.array(*map(F.lit, SPLITS))).alias("new_split"))
     full = every.join(own, ["new_split", by], "left").na.fill(0, ["images", "boxes"])
     whole = F.sum("images").over(Window.partitionBy("new_split"))
     return full.withColumn("percent", F.bround(ratio(F.col("images"), whole) * 100, digits))
