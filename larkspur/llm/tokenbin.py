@@ -15,6 +15,7 @@ table may lie in any store and a lost executor's files are written anew.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,9 +30,10 @@ from pyspark.sql import types as T
 from larkspur.llm.common import only, written
 
 MAGIC, RANK_BITS = b"DAC1", 512
-#: What makes a chunk odd, and the pre-tokenizer's pattern in the tokenizer file, on normalised text.
-ODD = r"[^!-~¡-ĮĲ-ňŊ-ǃǍ-ǰǴ-ɏ‐-‧€]|<\|"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What makes a chunk odd: characters outside these, among them numbers that aren't digits, and the start of a special token.
+ODD = r"[^!-~¡-±´-¸º»¿-ĮĲ-ňŊ-ǃǍ-ǰǴ-ɏ‐-‧€]|<\|"
+#: The pre-tokenizer's pattern in the tokenizer file, for lower-case chunks that aren't odd.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 
 
 def pack(ids: np.ndarray, starts: np.ndarray) -> bytes:
@@ -112,14 +114,13 @@ class WordIds:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model.tokenize
         self.kind = np.dtype("<u2" if max(self.library.get_vocab().values()) < 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.find = regex.compile(PATTERN + r"|\n").findall
+        self.find = re.compile(PATTERN + r"|\n").findall
         self.bytes = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.words: dict[str, bytes] = {"\n": b""}
         self.most = most
@@ -143,7 +144,8 @@ class WordIds:
         odd = pc.match_substring_regex(chunks, ODD)
         plain = chunks.filter(pc.invert(odd))
         # Composed letters only: normalisation changes nothing but case.
-        words = self.find("\n".join(plain.to_pylist()).lower())
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), "\n")[0].as_py()
+        words = self.find(lines.lower())
         known, model, code, table = self.words, self.model, self.code, self.bytes
         for word in set(words).difference(known):
             letters = word if word.isascii() else word.encode().decode("latin-1").translate(table)
