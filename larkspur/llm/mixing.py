@@ -193,13 +193,15 @@ def mix_documents(docs: DataFrame, cycle=(1, 2, 3), most: int = 3, block: int =
         .join(rows, ["sid", "start", "size"])
         .select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "nth")))
     )
-    same = Window.partitionBy("_d", "_s", "_n").orderBy(F.xxhash64("_t"), "_t")
-    own = (
-        docs.withColumns({"_d": F.col(id_col), "_s": F.col(source_col), "_t": F.col(text_col), "_n": n_words(F.col(text_col))})
-        .withColumn("_r", F.row_number().over(same))
+    same = Window.partitionBy("_d", "_s", "_n").orderBy("_h", F.col("_row").getField(text_col))
+    # The row travels as one column, so that its names can't meet those used here.
+    own = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs[id_col].alias("_d"), docs[source_col].alias("_s"),
+        F.xxhash64(docs[text_col]).alias("_h"), n_words(docs[text_col]).alias("_n"),
     )
+    own = own.withColumn("_r", F.row_number().over(same))
     on = own["_d"].eqNullSafe(copies["_doc_id"]) & own["_s"].eqNullSafe(copies["_source"]) & (own["_n"] == copies["_size"]) & (own["_r"] == copies["_nth"])
-    return own.join(copies, on).select(*(own[c] for c in docs.columns))
+    return own.join(copies, on).select("_row.*")
 
 
 #: The same rows in DuckDB. The block schedule takes each source's stream up to its limit, so taken has a closed form.
