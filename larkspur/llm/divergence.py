@@ -1,9 +1,9 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 A text's histograms of character classes and of common words are compared with its language's reference by Jensen-Shannon
-distance (base 2, so 0 to 1). References are mean histograms over all texts of a language with enough words; languages of under
-1 / ``most_languages`` of these, and texts without a language, use the mean over all. The common words are those of the text's language, where a list is known. A text with fewer words than a
-guard isn't judged by that histogram, which would be too rough.
+distance (base 2, so 0 to 1). References are mean histograms over all texts of a language with enough words, however rare the language is; languages
+without such a text, and texts without a language, use the mean over all. The common words are those of the text's language, where a list is known. A text with fewer words than a
+guard isn't judged by that histogram, which would be too rough. The driver sees the one row of the mean over all; the languages' references are a table.
 """
 
 from __future__ import annotations
@@ -125,22 +125,19 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
-def references(rows: DataFrame, least_words: int = 50, most_languages: int = 1000) -> DataFrame:
-    """lang, classes, commons: mean shares over the texts of each language, and over all (null lang): at most ``most_languages`` + 1 rows."""
+def references(rows: DataFrame, least_words: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Mean shares (classes, commons) over the texts of each language, a row per lang; and over all texts, one row."""
     kept = rows.where(F.col("n_words") >= least_words)
     columns = [F.get(shares(F.col("by_class")), k).alias(f"c{k}") for k in range(N_CLASSES)]
     columns += [F.get(shares(F.col("by_word")), k).alias(f"w{k}") for k in range(N_WORDS + 1)]
     means = [F.avg(c).alias(c) for c in (*(f"c{k}" for k in range(N_CLASSES)), *(f"w{k}" for k in range(N_WORDS + 1)))]
-    own = kept.select("lang", *columns)
-    every = own.agg(F.count(F.lit(1)).alias("n"), *means).withColumn("lang", F.lit(None).cast("string"))
-    total = every.first().n
-    per = own.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *means)
-    both = per.where(F.col("n") * most_languages >= total).unionByName(every)
-    return both.select(
-        "lang",
+    arrays = [
         F.array(*(F.col(f"c{k}") for k in range(N_CLASSES))).alias("classes"),
         F.array(*(F.col(f"w{k}") for k in range(N_WORDS + 1))).alias("commons"),
-    )
+    ]
+    own = kept.select("lang", *columns)
+    per = own.where(F.col("lang").isNotNull()).groupBy("lang").agg(*means)
+    return per.select("lang", *arrays), own.agg(*means).select(*arrays)
 
 
 def judged(
@@ -154,12 +151,10 @@ def judged(
     columns play no part.
     """
     rows = written(measured(docs, id_col, text_col, lang_col), "divergence")
-    found = references(rows).collect()  # at most a thousand and one rows of 31 numbers
-    spark = docs.sparkSession
-    own = [(r.lang, r.classes, r.commons) for r in found if r.lang is not None]
-    own = F.broadcast(spark.createDataFrame(own, "lang string, classes array<double>, commons array<double>"))
-    every = next(r for r in found if r.lang is None)
-    rows = rows.join(own, "lang", "left")
+    per, overall = references(rows)
+    every = overall.first()
+    # Written, so that Spark knows its size: a small table is sent to all, for a large one both sides are plain exchanges, whose large parts Spark can split.
+    rows = rows.join(written(per, "divergence-references"), "lang", "left")
 
     def near(name: str, mine: str) -> Column:
         whole = F.array(*(F.lit(x).cast("double") for x in every[mine]))

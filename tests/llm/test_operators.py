@@ -343,6 +343,40 @@ def test_clean_documents_are_kept(spark):
     assert clean.kept.mean() > 0.98 and found[found.quality == 0].kept.mean() < 0.2
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_rare_languages_have_their_own_reference(spark, threshold):
+    rng = random.Random(11)
+    make = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    english = "the of and to Some plain words, in that house it was here. with for a long day by".split()
+    greek = "και το της να με την από Ένα σπίτι, που είναι στο χωριό μας. για τους ανθρώπους εδώ".split()
+    russian = "и в не на что Этот дом, который был здесь. как это для они мы его день люди".split()
+    rows = [(i, make(english, 60), "en") for i in range(2100)]
+    rows += [(9001, make(greek, 80), "el"), (9002, make(greek, 80), "el"), (9003, make(greek, 30), "el"), (9004, make(russian, 80), "ru"), (9005, make(russian, 30), "xx")]
+    assert 2 * 1000 < 2100  # neither holds a thousandth of the texts
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = {r.doc_id: r for r in divergence.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == len(rows) and all(found[i].kept for i in (9001, 9002, 9003, 9004))
+    # Against the mean over all: a language without a text of 50 words.
+    assert not found[9005].kept and found[9005].class_distance > 0.8
+    assert found[9004].class_distance == 0 and found[9004].common_distance == 0
+
+    def plain(text):
+        kinds = [*divergence.CLASSES.values(), divergence.LOWER]
+        counts = [sum(c in k for c in text) for k in kinds]
+        return np.array([*counts, len(text) - sum(counts)]) / len(text)
+
+    mean = (plain(rows[2100][1]) + plain(rows[2101][1])) / 2
+    for i, text, _ in rows[2100:2103]:
+        p = plain(text)
+        m = (p + mean) / 2
+        kl = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+        assert abs(found[i].class_distance - np.sqrt((kl(p) + kl(mean)) / 2)) < 1e-9
+
+
 # --- toxicity
 
 
