@@ -307,10 +307,18 @@ def file_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations.valid_files(files, _lines(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("num_bboxes").alias("num_bboxes"))
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asks the path's own file system, whichever store that is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def stream_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vote as a stream over the events' files, run until they are read; the same rows as ``vote_smoothing``."""
     schema = table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema)
+    # A stream reads folders only: one of part files as it is, a single file by its name in the folder above.
+    raw = stream.parquet(f"{sf_dir}/events.parquet") if _is_folder(spark, f"{sf_dir}/events.parquet") else stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = raw.select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_index"), _event_class().alias("class_id"),
         F.least(F.col("value") / 100, F.lit(1.0)).alias("conf"), F.lit(False).alias("ended"),

@@ -37,3 +37,11 @@ def test_query_equals_sql(spark, duck, name):
     mine = tidy(df.select(*columns).collect())
     theirs = tidy(found.select(*(duckdb.ColumnExpression(c) for c in columns)).fetchall())
     assert mine == theirs
+
+
+def test_stream_vote_reads_a_folder_of_parts(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("part-*"))) == 3
+    assert len(plans.stream_vote(spark, str(tmp_path)).collect()) == events.count() > 0
+    assert tidy(plans.stream_vote(spark, str(tmp_path)).collect()) == tidy(plans.stream_vote(spark, SF).collect())
