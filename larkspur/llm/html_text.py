@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from larkspur.llm.common import only
 
 BOILER, PLAIN, NAMED, ARTICLE = -1, 0, 1, 2
+#: Only while reading: boilerplate by name alone, which a main part inside ends, and such a part; blocks have them as BOILER and ARTICLE.
+WEAK, MAIN = -2, 3
 OTHER, HEADING, PARAGRAPH = 0, 1, 2
 
 # Fixed values of HTML: elements by how they are treated.
@@ -44,15 +46,36 @@ BOILER_NAMES = set(
 HEADER_NAMES = {"header"}
 CONTENT_NAMES = set("content article post entry story main maincontent text articlebody body".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<[!?/][^>]*+(?:>|\Z)"
-    r"|<[a-zA-Z][^>]*+(?:>|\Z)"
-    r"|(?P<text>[^<]++|<)",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Of these, those whose content is read as the page's where their end is missing; browsers show it.
+FLOW = ("svg", "math", "object", "select", "button")
+
+
+@lru_cache(maxsize=None)
+def _token(raw: tuple[str, ...]) -> re.Pattern:
+    return re.compile(
+        r"<!--.*?(?:-->|\Z)"
+        r"|<(?P<empty>svg|math)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
+        rf"|<(?P<raw>{'|'.join(raw)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:(?P<close></(?P=raw)\s*>)|\Z)"
+        r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+        r"|<[!?/][^>]*+(?:>|\Z)"
+        r"|<[a-zA-Z][^>]*+(?:>|\Z)"
+        r"|(?P<text>[^<]++|<)",
+        re.DOTALL | re.IGNORECASE,
+    )
+
+
+def tokens(page: str) -> Iterator[re.Match]:
+    """Matches in page order; from an unclosed element of FLOW on, those of its name are plain tags, as no end can follow."""
+    at, raw = 0, RAW
+    while at is not None:
+        start, at = at, None
+        for m in _token(raw).finditer(page, start):
+            if m["raw"] and not m["close"] and m["raw"].lower() in FLOW:
+                at, raw = m.start(), tuple(x for x in raw if x != m["raw"].lower())
+                break
+            yield m
+
+
 ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -96,11 +119,15 @@ def _kind(tag: str, attrs: str) -> tuple[int | None, bool]:
             role = value.lower()
         elif key in ("class", "id"):
             names |= names_of(value)
-    if tag in BOILER_TAGS or role in BOILER_ROLES or names & BOILER_NAMES and tag not in ("html", "body", "article", "main") or names & {"comment", "comments"}:
+    if tag in BOILER_TAGS or role in BOILER_ROLES:
         return BOILER, False
+    if names & BOILER_NAMES and tag not in ("html", "body", "article", "main") or names & {"comment", "comments"}:
+        return WEAK, False
     if tag == "header" or names & HEADER_NAMES:
         return None, True
-    if tag in ("article", "main") or role in ("main", "article"):
+    if tag == "main" or role == "main":
+        return MAIN, False
+    if tag == "article" or role == "article":
         return ARTICLE, False
     if names & CONTENT_NAMES and tag not in ("html", "body"):
         return NAMED, False
@@ -119,11 +146,11 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, len(text.split()), len(html.unescape("".join(linked)).split()), zone, form))
+                out.append((text, len(text.split()), len(html.unescape("".join(linked)).split()), max(zone, BOILER), form))
             parts.clear()
             linked.clear()
 
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         text = m["text"]
         if text is not None:
             parts.append(text)
@@ -132,7 +159,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             continue
         tag = m["tag"]
         if tag is None:
-            if m["raw"]:
+            if m["raw"] or m["empty"]:
                 parts.append(" ")
             continue
         tag = tag.lower()
@@ -143,7 +170,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             parts.append(" ")
             linked.append(" ")
         if tag not in BLOCKS:
-            if tag not in VOID and not m["end"] and m["attrs"] and (_kind(tag, m["attrs"])[0] == BOILER):
+            if tag not in VOID and not m["end"] and m["attrs"] and (_kind(tag, m["attrs"])[0] in (BOILER, WEAK)):
                 close()
                 stack.append((tag, zone))
                 zone = BOILER
@@ -167,8 +194,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                     while stack and stack[-1][0] in LOOSE:
                         zone = stack.pop()[1]
                 stack.append((tag, zone))
-                if zone != BOILER:
-                    zone = BOILER if kind == BOILER or head and zone != ARTICLE else max(zone, kind or PLAIN)
+                if zone == WEAK:
+                    zone = BOILER if kind == BOILER else ARTICLE if kind == MAIN else WEAK
+                elif zone != BOILER:
+                    zone = kind if kind in (BOILER, WEAK) else (BOILER if tag == "header" else WEAK) if head and zone != ARTICLE else min(max(zone, kind or PLAIN), ARTICLE)
         else:
             while stack and stack[-1][0] in LOOSE:
                 zone = stack.pop()[1]

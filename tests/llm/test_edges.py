@@ -77,6 +77,26 @@ def test_pages(spark):
     assert html_text.extract(df.where("1 = 0")).collect() == []
 
 
+@pytest.mark.parametrize("lead", ['<svg class="i" />', "<math/>", "<SVG/>", "<button>", "<select>", "<object data='x'>", "<button>" * 3 + "<select>"])
+def test_elements_without_an_end(lead):
+    prose = "A paragraph of plain words that is long enough to be taken for the content of this page by all means."
+    page = f"<article><p>{prose}</p>{lead}<p>{prose}</p><button>Press</button><p>{prose}</p></article>"
+    if "button" in lead:
+        page = page.replace("<button>Press</button>", "")
+    assert html_text.main_text(page, html_text.trained_tree()).count(prose) == 3
+    assert "Press" not in html_text.main_text(page, html_text.trained_tree())
+
+
+@pytest.mark.parametrize("start, kept", [
+    ('<div class="content-sidebar-wrap"><main>', True), ('<div id="search-page"><div role="main">', True), ('<div class="header-fixed"><main>', True), ('<header><main>', False),
+    ('<div class="sidebar"><div>', False), ('<div class="related"><article>', False), ('<nav class="menu"><main>', False), ('<div class="sidebar" hidden><main>', False),
+    ('<div class="sidebar"><aside><main>', False),
+])
+def test_main_inside_a_name(start, kept):
+    prose = "A paragraph of plain words that is long enough to be taken for the content of this page by all means."
+    assert (prose in html_text.main_text(f"{start}<p>{prose}</p><p>{prose}</p>", html_text.trained_tree())) == kept
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_stages(spark, tmp_path, empty):
     labels(spark, [] if empty else ((1, 1, 0), (2, 0, 1))).write.parquet(str(tmp_path / "labels.parquet"))
