@@ -1,10 +1,11 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Tokens are words of letters, lower-cased; a word that is not in the lexicon falls back on its first 8 to 4 letters. Log-odds
+Tokens are words of letters, lower-cased; a word that is not in the lexicon falls back on its first 8 to 4 letters. What is counted is
+a word once a document, and of a prefix each of its different words once a document, so that repetition tells nothing. Log-odds
 of toxic against clean documents use an informative Dirichlet prior (the background share of a token times
-``strength``), and a token enters the lexicon if its z-score is high. The linear-time scan of Ruzzo and Tompa finds all maximal
+``strength``), and a token enters the lexicon if its z-score is high and its share beyond chance. The linear-time scan of Ruzzo and Tompa finds all maximal
 segments of a text. A segment of score S in n tokens is expected K n exp(-lambda S) times by chance: lambda
-solves sum p exp(lambda s) = 1 on the clean background, K comes from the segments found in clean training texts. The summed
+solves sum p exp(lambda s) = 1 for the shares p at which clean training texts match the lexicon, K comes from the segments found in them. The summed
 -log p of a text's segments, through a logistic curve fitted to the training rows, is the score.
 """
 
@@ -27,7 +28,7 @@ from larkspur.llm.labelled import training_rows
 
 WORD = r"[^\W\d_]+"
 PREFIXES = (8, 7, 6, 5, 4)
-MOST_EVIDENCE = 40.0
+STRENGTH = 0.1
 
 
 def keys_of(word: str) -> list[str]:
@@ -67,13 +68,17 @@ class ToxicModel:
     def known(self) -> KnownScores:
         return KnownScores(self)
 
+    def match(self, word: str) -> str | None:
+        """The word's own entry in the lexicon, or that of its longest prefix."""
+        return next((k for k in keys_of(word) if k in self.lexicon), None)
+
     def evidence(self, found: list[tuple[int, int, float]], n: int) -> float:
-        """Sum of -log of the chance of a segment as good in ``n`` tokens, at most MOST_EVIDENCE."""
+        """Sum of -log of the chance of a segment as good in ``n`` tokens."""
         total = 0.0
         for _, _, s in found:
             log_e = math.log(self.k * max(n, 1)) - self.rate * s
             total -= math.log(-math.expm1(-math.exp(log_e))) if log_e > -30 else log_e
-        return min(total, MOST_EVIDENCE)
+        return total
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-(self.intercept + self.slope * evidence)))
@@ -87,8 +92,8 @@ class KnownScores(dict):
         self.model, self.most, self.find = model, most, re.compile(WORD).findall
 
     def __missing__(self, word: str) -> float:
-        lexicon = self.model.lexicon
-        value = self[word] = next((lexicon[k] for k in keys_of(word) if k in lexicon), self.model.other)
+        key = self.model.match(word)
+        value = self[word] = self.model.other if key is None else self.model.lexicon[key]
         return value
 
     def read(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
@@ -107,21 +112,25 @@ def _least_shingle(words: str) -> Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, documents with it, toxic ones) of each batch of (text, label)."""
+    """(token, different words with it summed over documents, those of toxic ones) of each batch of (text, label)."""
     find = re.compile(WORD).findall
     for batch in batches:
         every, toxic = Counter(), Counter()
         for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            keys = {k for w in set(find(text.as_py().lower())) for k in keys_of(w)}
+            keys = [k for w in set(find(text.as_py().lower())) for k in keys_of(w)]
             every.update(keys)
             if label:
                 toxic.update(keys)
-        names = list(every)
-        columns = [pa.array(names, pa.string()), pa.array([every[x] for x in names], pa.int64()), pa.array([toxic[x] for x in names], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["token", "n", "toxic"])
+        yield _table(every, toxic)
+
+
+def _table(every: Counter, toxic: Counter) -> pa.RecordBatch:
+    names = list(every)
+    columns = [pa.array(names, pa.string()), pa.array([every[x] for x in names], pa.int64()), pa.array([toxic[x] for x in names], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["token", "n", "toxic"])
 
 
-def log_odds(toxic, clean, n_toxic: float, n_clean: float, strength: float = 0.1):
+def log_odds(toxic, clean, n_toxic: float, n_clean: float, strength: float = STRENGTH):
     """(log-odds, z) of tokens with an informative prior of ``strength`` times the corpus, as numpy arrays."""
     prior, mass = strength * (toxic + clean), strength * (n_toxic + n_clean)
     a, b = toxic + prior, clean + prior
@@ -131,51 +140,75 @@ def log_odds(toxic, clean, n_toxic: float, n_clean: float, strength: float = 0.1
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, most_rows: int = 20_000,
-    least_z: float = 3.0, least_odds: float = 2.0, chance: float = 1.0, most_tokens: int = 20_000,
+    least_z: float = 3.0, least_odds: float = 2.0, chance: float = 1.0,
 ) -> ToxicModel:
     """Learn from at most ``most_rows`` labelled rows whose remainder is not ``held``.
 
     Rows with the same least hash of their 5-word shingles are copies and count once, so that a copied text's
     words don't look telling. A token's share of toxic rows must also be out of reach of chance, at
-    ``chance`` over all tokens tested. The lexicon has the ``most_tokens`` tokens of the highest z-scores at most. Without both classes, or
-    without a telling token, every score is the share of toxic rows.
+    ``chance`` over all tokens tested; no other limit keeps a token out, and what passes it is bounded by the sample's size. Without both classes, or
+    without a telling token, every score is the share of toxic rows. Null texts count as empty, null ids and labels are left out.
     """
     rows = training_rows(only(docs, doc_id="doc_id", text="text"), labels, "toxic", parts, held, most_rows)
     rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("shingle", _least_shingle("words"))
-    rows = rows.groupBy("shingle", "label").agg(F.min_by("text", "doc_id").alias("text")).select("text", "label")
+    rows = rows.groupBy("shingle", "label").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text")).select("text", "label")
     rows = written(rows, "toxic-rows")
     counted = rows.mapInArrow(_counted, "token string, n long, toxic long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    # A token of under 3 toxic documents can't reach least_z; those of the others that are likelier in clean ones neither.
-    some = counted.where("toxic >= 3")
+    counted = written(counted, "toxic-counts")
     total = counted.where(~F.col("token").endswith("*")).agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("tokens")).first()
     n_toxic = float(total.toxic or 0)
     n_clean = float((total.n or 0) - n_toxic)
     model = ToxicModel()
     if n_toxic and n_clean:
         share = n_toxic / (n_toxic + n_clean)
-        found = some.where(F.col("toxic") > 1.5 * share * F.col("n")).orderBy(F.col("toxic").desc(), "token").limit(20 * most_tokens).collect()
+        part = F.least(F.col("toxic") / F.col("n"), F.lit(1 - 1e-12))
+        # The logarithm of the chance of so high a share; what fails this test is no candidate, whatever its odds.
+        unlikely = -F.col("n") * (part * F.ln(part / share) + (1 - part) * F.ln((1 - part) / (1 - share)))
+        found = counted.where((part > share) & (unlikely <= math.log(chance / total.tokens))).orderBy("token").collect()
         toxic, every = (np.array([r[c] for r in found], dtype=float) for c in ("toxic", "n"))
         odds, z = log_odds(toxic, every - toxic, n_toxic, n_clean)
-        part = np.clip(toxic / every, share, 1 - 1e-12)
-        unlikely = -every * (part * np.log(part / share) + (1 - part) * np.log((1 - part) / (1 - share)))
         top = Counter()  # of a prefix, the count of its commonest word: alone, that says nothing of the others
         for r in found:
             for k in keys_of(r.token)[1:] if not r.token.endswith("*") else ():
                 top[k] = max(top[k], r.toxic)
-        z[[r.toxic < 1.5 * top[r.token] for r in found]] = 0.0
-        z[unlikely > math.log(chance / total.tokens)] = 0.0
-        chosen = [i for i in np.argsort(-z, kind="stable")[:most_tokens].tolist() if z[i] >= least_z and odds[i] >= least_odds]
-        model.lexicon = {found[i].token: float(odds[i]) for i in chosen}
-        words = np.array([i for i in chosen if not found[i].token.endswith("*")], dtype=int)
-        p_toxic = toxic[words].sum() / n_toxic
-        back = (every - toxic)[words] + 0.1 * every[words]
-        p = back / (n_clean + 0.1 * (n_clean + n_toxic))
-        model.other = min(math.log1p(-min(p_toxic, 0.9)) - math.log1p(-min(p.sum(), 0.9)), -0.02)
-        model.rate = _rate(p, odds[words], model.other)
-    _calibrate(model, rows)
+        model.lexicon = {r.token: float(o) for r, o, v in zip(found, odds, z, strict=True) if v >= least_z and o >= least_odds and r.toxic >= 1.5 * top[r.token]}
+    if model.lexicon:
+        _matched(model, rows)
+    _calibrate(model, rows, most_rows)
     return model
 
 
+def _matched(model: ToxicModel, rows: DataFrame) -> None:
+    """Score of all other tokens, and the rate, from the words of clean and of toxic rows that match each entry."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, own = re.compile(WORD).findall, {}
+        for batch in batches:
+            every, toxic = Counter(), Counter()
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = find(text.as_py().lower())
+                for w in set(words).difference(own):
+                    own[w] = model.match(w) or ""
+                keys = list(map(own.__getitem__, words))
+                every.update(keys)
+                if label:
+                    toxic.update(keys)
+            if len(own) > 500_000:
+                own = {}
+            yield _table(every, toxic)
+
+    # Bounded by the lexicon.
+    seen = rows.mapInArrow(match, "token string, n long, toxic long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).collect()
+    hits = sorted((r.token, r.n - r.toxic, r.toxic) for r in seen if r.token)
+    clean, toxic = (np.array([h[k] for h in hits], dtype=float) for k in (1, 2))
+    n_clean, n_toxic = sum(r.n - r.toxic for r in seen), sum(r.toxic for r in seen)
+    prior = STRENGTH * (clean + toxic)
+    p = (clean + prior) / (n_clean + STRENGTH * (n_clean + n_toxic))
+    p_toxic = (toxic + prior).sum() / (n_toxic + STRENGTH * (n_clean + n_toxic))
+    model.other = min(math.log1p(-min(p_toxic, 0.9)) - math.log1p(-min(p.sum(), 0.9)), -0.02)
+    model.rate = _rate(p, np.array([model.lexicon[h[0]] for h in hits]), model.other)
+
+
 def _rate(p: np.ndarray, s: np.ndarray, other: float) -> float:
     """The positive root of sum p exp(rate s) + (1 - sum p) exp(rate other) = 1."""
     if not len(p):
@@ -190,7 +223,9 @@ def _rate(p: np.ndarray, s: np.ndarray, other: float) -> float:
     return max(high, 0.05)
 
 
-def _calibrate(model: ToxicModel, rows: DataFrame) -> None:
+def _calibrate(model: ToxicModel, rows: DataFrame, most_rows: int) -> None:
+    """K from the segments of clean rows, then the logistic curve over the rows' evidence."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.known()
         for batch in batches:
@@ -198,13 +233,19 @@ def _calibrate(model: ToxicModel, rows: DataFrame) -> None:
             columns = [pa.array([n for n, _ in seen], pa.int64()), pa.array([[s for *_, s in f] for _, f in seen], pa.list_(pa.float64())), batch.column(1)]
             yield pa.RecordBatch.from_arrays(columns, ["n", "scores", "label"])
 
-    seen = rows.mapInArrow(read, "n long, scores array<double>, label int").collect()
-    y = np.array([r.label for r in seen], dtype=float)
-    clean = [r for r in seen if not r.label]
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            x = [model.evidence([(0, 0, s) for s in scores], n) for n, scores in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(2)], ["x", "label"])
+
+    seen = written(rows.mapInArrow(read, "n long, scores array<double>, label int"), "toxic-segments")
+    clean = seen.where("label = 0").agg(F.sum(F.size("scores")).alias("hits"), F.sum("n").alias("tokens")).first()
     least = min(model.lexicon.values(), default=1.0)
-    hits, tokens = sum(len(r.scores) for r in clean), sum(r.n for r in clean)
-    model.k = (hits + 0.5) / (max(tokens, 1) * math.exp(-model.rate * least))
-    x = np.array([model.evidence([(0, 0, s) for s in r.scores], r.n) for r in seen])
+    model.k = ((clean.hits or 0) + 0.5) / (max(clean.tokens or 0, 1) * math.exp(-model.rate * least))
+    # A row of two numbers each; repeated ids can make more than ``most_rows`` of them.
+    found = np.array(seen.mapInArrow(weigh, "x double, label int").orderBy("x", "label").limit(most_rows).collect(), dtype=float).reshape(-1, 2)
+    x, y = found[:, 0], found[:, 1]
     share = (y.sum() + 1) / (len(y) + 2)
     a, b = math.log(share / (1 - share)), 0.0
     if len(y) and y.min() != y.max() and x.any():
@@ -246,7 +287,11 @@ def passages(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, most_p:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that score under ``threshold``."""
+    """The rows of ``docs``, all columns, that score under ``threshold``.
+
+    Null texts count as empty, which score as texts without evidence; repeated rows are judged alike and all stay or go, rows without an id too; an
+    empty table stays empty. Where labels have one class only, the score is its share, so without any toxic label nothing goes.
+    """
     model = fit_toxicity(docs, labels)
     at = docs.columns.index("text")
 
