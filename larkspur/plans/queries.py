@@ -5,7 +5,6 @@ The driver's events stand in for detection frames: session = user, frame = event
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import expr as X
 from larkspur.operators import annotations, frames, history, quiz, report, split
-from larkspur.session import working_dir
+from larkspur.session import new_folder
 from larkspur.streaming import vote
 
 EVENT_CLASSES = {"click": 0, "view": 1, "signup": 2, "purchase": 3}
@@ -323,7 +322,7 @@ def stream_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_index"), _event_class().alias("class_id"),
         F.least(F.col("value") / 100, F.lit(1.0)).alias("conf"), F.lit(False).alias("ended"),
     )
-    path = f"{working_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stream")
     sink = vote.vote_stream(rows).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     sink.option("checkpointLocation", f"{path}/state").start(f"{path}/rows").awaitTermination()
     found = spark.read.parquet(f"{path}/rows")

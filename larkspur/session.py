@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,9 +34,26 @@ def get_session(app: str = "larkspur", master: str | None = None, partitions: in
 
 
 def working_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a new one is set only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset a local session gets a temporary folder; on a cluster its executors would each write to their own disk, so
+    there the lack is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, under one folder an application so that what a lost driver leaves is easy to find."""
+    return f"{working_dir(spark)}/larkspur-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whichever store it lies; a missing one is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
