@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.session import new_folder, remove_folder
+
 #: White space that separates words: space and the five controls U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new one is set only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -28,11 +24,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Any executor can read the files again, so a lost executor costs a reread and no recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
+    if _made.get() is not None:
+        _made.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete on leaving what ``written`` wrote inside; the function given writes a table that stays."""
+    outer, own = _made.get(), []
+    token = _made.set(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        _made.set(outer)
+        try:
+            return written(df, name)
+        finally:
+            _made.set(own)
+
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        for path in own:
+            remove_folder(spark, path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also inside higher-order functions."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,32 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import cleared, written
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) but the roots; root is the least node reachable.
 
     A round links each larger neighbour to its node's least neighbour, then each smaller neighbour likewise; it
-    ends when no edge changes. Minima are aggregated before they are joined back, so a node with
-    very many neighbours is never gathered in one task. Loops and repeated edges are harmless.
+    ends when no edge changes, after some log(nodes) rounds in practice. The least neighbours are aggregated map-side and written, so
+    that both sides of the join back are plain scans or exchanges: the edges of a node with very many neighbours are then a skewed
+    partition that Spark splits (or, next to a small table, no partition at all), never one task's work. Loops and repeated edges
+    are harmless; no edges give no rows. What a round wrote goes when the next is written.
     """
+    spark = edges.sparkSession
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = written(pairs, "components")
-    before = _mark(pairs)
-    for _ in range(most_rounds):
-        both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "components")
-        now = _mark(pairs)
-        if now == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    with cleared(spark) as keep:
+        pairs = written(pairs, "components")
+        now, before = _mark(pairs), None
+        while now != before:
+            pairs, before = _round(pairs), now
+            now = _mark(pairs)
+        return keep(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
+
+
+def _round(pairs: DataFrame) -> DataFrame:
+    both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = written(large.distinct(), "components-large")
+    least = written(large.groupBy("u").agg(F.min("v").alias("m")), "components-least")
+    small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "components")
 
 
 def _mark(pairs: DataFrame) -> tuple[int, int]:
