@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import only, written
+from larkspur.llm.common import cleared, only, written
 from larkspur.llm.components import connected_components
 
 BITS = 64
@@ -55,16 +55,17 @@ def fingerprint_of(text: str | None, seed: int = 42) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed long) of every row, and the column ``extra``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint_of(x.as_py()) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names)
 
-    narrow = only(docs, doc_id=id_col, text=text_col)
-    schema = T.StructType([T.StructField("doc_id", narrow.schema[0].dataType), T.StructField("fp", T.LongType())])
+    narrow = only(docs, doc_id=id_col, text=text_col, **({extra: extra} if extra else {}))
+    schema = T.StructType([T.StructField("doc_id", narrow.schema[0].dataType), T.StructField("fp", T.LongType()), *narrow.schema.fields[2:]])
+    names = schema.names
     return narrow.mapInArrow(run, schema)
 
 
@@ -155,32 +156,45 @@ def _keyed(fps: DataFrame, level: list[tuple[int, int]]) -> DataFrame:
     return fps.select(at.alias("at"), "fp").select("at.path", "at.key", "fp")
 
 
+def components_of(fps: DataFrame, radius: int = 3, bucket: int = 1024) -> DataFrame:
+    """fp and root (the least signed fingerprint reachable) of every distinct value of the column fp."""
+    with cleared(fps.sparkSession) as keep:
+        distinct = written(fps.select("fp").distinct(), "simhash-distinct")
+        roots = connected_components(links(distinct, radius, bucket))
+        table = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+        # Written, so that both sides of joins with it are plain exchanges, whose large parts Spark can split.
+        return keep(table, "simhash-table")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", bucket: int = 1024) -> DataFrame:
     """doc_id, fp and component_id of every row of ``docs``.
 
     component_id is the smallest doc_id that is reachable over fingerprints that differ in at most ``radius`` bits.
     Null and empty texts have fingerprint 0, linked like any other. Null ids take part but are
-    never a component's name unless it has no other. Repeated rows stay. Other columns are ignored.
+    never a component's name unless it has no other. Repeated rows stay, an empty table gives an empty one. Other columns are ignored.
     """
     fps = written(fingerprints(docs, id_col, text_col), "simhash-fps")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = connected_components(links(distinct, radius, bucket))  # node, root
-    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    joined = nodes.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "first")
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = joined.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    table = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    table = written(table, "simhash-table")  # so that both sides of the last join are plain exchanges, whose large parts Spark can split
-    return fps.join(table, "fp").select("doc_id", "fp", "component_id")
+    table = components_of(fps, radius, bucket)
+    # One row a component and one a fingerprint, each aggregated map-side; written for the same reason as above.
+    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(table, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    named = written(table.join(written(firsts, "simhash-firsts"), "root").select("fp", "component_id"), "simhash-names")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: that with the smallest doc_id.
+    """``docs`` with one row of each near-duplicate component: that with the smallest doc_id, null last, then the smallest hash of its text.
 
-    Of repeated rows with this doc_id one stays. Rows without a doc_id are no component's choice; of exact copies among them one
-    stays. All columns of ``docs`` are returned.
+    Null and empty texts are one component. Of rows alike in doc_id and text one stays, whichever. An empty table stays empty. All columns of
+    ``docs`` are returned.
     """
-    found = near_duplicates(docs, radius, id_col, text_col)
-    names = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(names, docs[id_col] == names["_kept"], "left_semi").dropDuplicates([id_col])
-    return named.unionAll(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")), docs[text_col].isNull())
+    narrow = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), key.alias("key"))
+    fps = written(fingerprints(narrow, extra="key"), "simhash-fps")
+    table = components_of(fps, radius)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    # Two steps: the least row of a fingerprint, of which copies hold few, and then that of a component.
+    each = fps.groupBy("fp").agg(F.min(order).alias("least")).join(table, "fp")
+    chosen = written(each.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.key"), "simhash-chosen")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs[id_col].alias("_id"), key.alias("_key"))
+    kept = rows.join(chosen, rows["_id"].eqNullSafe(chosen["doc_id"]) & (rows["_key"] == chosen["key"]), "left_semi")
+    return kept.dropDuplicates(["_id", "_key"]).select("_row.*")
