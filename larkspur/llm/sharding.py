@@ -4,8 +4,8 @@ Equal texts form a group. Every group is placed where the dot product of its (by
 rows) vector with the shard's residual capacity is highest, in order of falling size.
 Groups of under 1/(shards * ``grain``) of the corpus are first bundled by a hash of the text, so that the
 packing itself sees a bounded table of at most ``bundles`` bundles and 3 * shards * ``grain``
-large groups, however many documents there are. A large group stays in one shard while it is
-under half a shard; a larger one is dealt out in chunks.
+large groups, however many documents there are. A large group stays in one shard as long as it fits there, which is up to
+``whole`` shares of a shard in each dimension; one that no shard can hold is dealt out in chunks.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ def pack_shards(
     bundles: int = 8192,
     grain: int = 32,
     weights: tuple[float, float, float] = (30.0, 1.0, 1.0),
+    whole: float = 1.0,
 ) -> DataFrame:
     """Assign every row a shard and a slot (gapless from 0 in its shard).
 
@@ -87,7 +88,7 @@ def pack_shards(
     )
     # Bounded: one row per bundle or chunk.
     seen = sorted((r.unit, r.b, r.t, r.r) for r in units.groupBy("unit").agg(*sums).collect())
-    placed = _shards_of_units(seen, large, first, every, shards, weights, bundles)
+    placed = _shards_of_units(seen, large, first, every, shards, weights, bundles, whole)
     table = F.broadcast(spark.createDataFrame(placed, UNIT_SCHEMA))
     in_unit = Window.partitionBy("unit").orderBy("doc_id", "size", "text_crc32")
     return units.withColumn("rank", F.row_number().over(in_unit)).join(table, "unit").select(
@@ -95,15 +96,14 @@ def pack_shards(
     )
 
 
-def _shards_of_units(seen, large, first, every, shards, weights, bundles) -> list[tuple[int, int, int]]:
+def _shards_of_units(seen, large, first, every, shards, weights, bundles, whole) -> list[tuple[int, int, int]]:
     """(unit, shard, slot of its first row): the packing of the bounded table of units."""
     by_unit = {u: np.array([b, t, r], dtype=float) / every for u, b, t, r in seen}
     counts = {u: r for u, _, _, r in seen}
     items: list[list[int]] = [[u] for u, *_ in seen if u < bundles]
     for key, n in large:
         own = [u for u in range(first[key], first[key] + n) if u in by_unit]
-        whole = sum(by_unit[u] for u in own)
-        items += [own] if whole.max() <= 0.5 / shards else [[u] for u in own]
+        items += [own] if sum(by_unit[u] for u in own).max() <= whole / shards else [[u] for u in own]
     if not items:
         return []
     vectors = np.array([sum(by_unit[u] for u in own) for own in items])
