@@ -106,34 +106,44 @@ def schedule(spark: SparkSession, sources: list[dict]) -> DataFrame:
     return dealt.unionAll(rest)
 
 
+def order_key(seed: str, doc_id: Column, text: Column) -> Column:
+    """Place of a row in its source's shuffled order: a digest of id and text, so that rows without an id spread too."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def placed_rows(docs: DataFrame, cycle=(1, 2, 3), most: int = 3, block: int = 256, most_sources: int = 100_000,
                 seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, list[dict]]:
-    """(doc_id, source, size, sid, start) with each row's first token in its source's stream, and the plan."""
+    """(doc_id, source, size, sid, key, nth, start) with each row's first token in its source's stream, and the plan.
+
+    Rows alike in source, id and text are one entry until they are numbered (nth, from 1), so a group of them is no window's burden.
+    """
     spark = docs.sparkSession
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = written(
-        only(docs, doc_id=id_col, text=text_col, source=source_col).select(
-            "doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")
-        ),
-        "mix-rows",
+    rows = only(docs, doc_id=id_col, text=text_col, source=source_col).select(
+        "doc_id", "source", n_words(F.col("text")).alias("size"), order_key(seed, F.col("doc_id"), F.col("text")).alias("key")
     )
+    rows = written(rows, "mix-rows")
     sources = plan(rows, cycle, most, block, most_sources)
     ids = spark.createDataFrame([(x["sid"], x["source"]) for x in sources], "sid int, named string")
     # 4096 parts of each source by the order's first digits, so that no window holds a whole source.
     rows = rows.join(ids, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("part", F.substring("key", 1, 3))
+    alike = rows.groupBy("sid", "part", "key", "size", "doc_id", "source").agg(F.count(F.lit(1)).alias("times"))
     parts = rows.groupBy("sid", "part").agg(F.sum("size").alias("own"))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("sid", "part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("sid", "part").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    return written(rows.join(parts, ["sid", "part"]).select("doc_id", "source", "size", "sid", start.alias("start")), "mix-placed"), sources
+    start = F.col("base") + F.coalesce(F.sum(F.col("size") * F.col("times")).over(inside), F.lit(0))
+    first = alike.join(parts, ["sid", "part"]).select("doc_id", "source", "size", "sid", "key", "times", start.alias("first"))
+    each = first.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    start = (F.col("first") + (F.col("nth") - 1) * F.col("size")).alias("start")
+    return written(each.select("doc_id", "source", "size", "sid", "key", "nth", start), "mix-placed"), sources
 
 
 def mixed_stream(rows: DataFrame, sources: list[dict], most: int = 3, block: int = 256) -> DataFrame:
-    """The mix: slot, sid, doc_id, size, start, epoch, first (word of the document) and n (words), a row per piece.
+    """The mix: slot, sid, doc_id, key, nth, size, start, epoch, first (word of the document) and n (words), a row per piece.
 
-    Ordered by slot, epoch and start, the pieces are the mixed token stream. Documents without a word, and those that the mix
-    leaves out, have no row.
+    ``rows`` are those of ``placed_rows``. Ordered by slot, epoch and start, the pieces are the mixed token stream. Documents without a word (null and
+    empty texts), and those that the mix leaves out, have no row; repeated rows have pieces of their own, rows without an id or a source too.
+    No rows give no pieces.
     """
     spark = rows.sparkSession
     limits = spark.createDataFrame([(x["sid"], x["source_size"], x["limit"]) for x in sources], "sid int, whole long, limit long")
@@ -149,7 +159,7 @@ def mixed_stream(rows: DataFrame, sources: list[dict], most: int = 3, block: int
     pieces = copies.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))))
     a = F.greatest(F.col("low"), F.col("block") * block)
     b = F.least(F.col("high"), (F.col("block") + 1) * block)
-    pieces = pieces.select("sid", "block", "doc_id", "size", "start", "epoch", (a - F.col("low")).alias("first"), (b - a).alias("n"))
+    pieces = pieces.select("sid", "block", "doc_id", "key", "nth", "size", "start", "epoch", (a - F.col("low")).alias("first"), (b - a).alias("n"))
     return pieces.join(schedule(spark, sources), ["sid", "block"])
 
 
@@ -157,7 +167,8 @@ def mix_counts(docs: DataFrame, cycle=(1, 2, 3), most: int = 3, block: int = 256
     """doc_id, source, size, source_size, target, taken of every row: the words that the mix takes of it.
 
     The i-th source by code point (null last) weighs cycle[i mod len(cycle)]. Null texts have no word; rows
-    without a word are taken 0 times. Ties of the shuffled order (same doc_id and size) are alike, so reruns agree.
+    without a word are taken 0 times. The shuffled order is that of a digest of id and text: rows without an id spread by their texts, and
+    only rows alike in both tie, so reruns agree. An empty table gives an empty one.
     """
     rows, sources = placed_rows(docs, cycle, most, block, **columns)
     taken = (
@@ -175,40 +186,37 @@ def mix_counts(docs: DataFrame, cycle=(1, 2, 3), most: int = 3, block: int = 256
     )
 
 
-def mix_documents(docs: DataFrame, cycle=(1, 2, 3), most: int = 3, block: int = 256,
+def mix_documents(docs: DataFrame, cycle=(1, 2, 3), most: int = 3, block: int = 256, seed: str = "mix:",
                   id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix takes them: a row per copy, up to ``most`` of each; its columns are kept.
 
     A copy counts if the mix takes at least half of its words; at most one document a source is taken in part. Documents
-    that the mix leaves out, and those without a word, go.
+    that the mix leaves out, and those without a word (null and empty texts), go. Null ids and null sources take part as any other. Of rows alike in id, text
+    and source the first ones by their other columns get the more copies. An empty table stays empty.
     """
-    rows, sources = placed_rows(docs, cycle, most, block, id_col=id_col, text_col=text_col, source_col=source_col)
-    same = Window.partitionBy("doc_id", "source", "size")
-    rows = written(rows.withColumn("nth", F.row_number().over(same.orderBy("start"))), "mix-rows")
-    copies = (
-        mixed_stream(rows, sources, most, block)
-        .groupBy("sid", "start", "size", "epoch")
-        .agg(F.sum("n").alias("n"))
-        .where("2 * n >= size")
-        .join(rows, ["sid", "start", "size"])
-        .select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "nth")))
-    )
-    same = Window.partitionBy("_d", "_s", "_n").orderBy("_h", F.col("_row").getField(text_col))
+    rows, sources = placed_rows(docs, cycle, most, block, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    names = docs.sparkSession.createDataFrame([(x["sid"], x["source"]) for x in sources], "sid int, named string")
+    whole = mixed_stream(rows, sources, most, block).groupBy("sid", "key", "nth", "size", "epoch").agg(F.sum("n").alias("n")).where("2 * n >= size")
+    # Rows alike follow each other in the stream, so a pass through it takes the first so many of them.
+    copies = whole.groupBy("sid", "key", "epoch").agg(F.max("nth").alias("upto")).groupBy("sid", "key").agg(F.collect_list("upto").alias("upto"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  never null, so that join and window share one exchange
+    copies = written(copies.join(names, "sid").select(named(F.col("named")).alias("_source"), F.col("key").alias("_key"), "upto"), "mix-copies")
     # The row travels as one column, so that its names can't meet those used here.
     own = docs.select(
-        F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs[id_col].alias("_d"), docs[source_col].alias("_s"),
-        F.xxhash64(docs[text_col]).alias("_h"), n_words(docs[text_col]).alias("_n"),
+        F.struct(*(docs[c] for c in docs.columns)).alias("_row"), named(docs[source_col]).alias("_source"), order_key(seed, docs[id_col], docs[text_col]).alias("_key")
     )
-    own = own.withColumn("_r", F.row_number().over(same))
-    on = own["_d"].eqNullSafe(copies["_doc_id"]) & own["_s"].eqNullSafe(copies["_source"]) & (own["_n"] == copies["_size"]) & (own["_r"] == copies["_nth"])
-    return own.join(copies, on).select("_row.*")
+    own = own.join(copies, ["_key", "_source"])
+    rest = [f.name for f in docs.schema if f.name != text_col and f.dataType.typeName() not in ("map", "variant")]
+    alike = Window.partitionBy("_key", "_source").orderBy(*(F.col("_row").getField(c) for c in rest), F.lit(0))
+    times = F.size(F.filter("upto", lambda n: n >= F.col("_nth")))
+    return own.withColumn("_nth", F.row_number().over(alike)).withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).where("_copy > 0").select("_row.*")
 
 
 #: The same rows in DuckDB. The block schedule takes each source's stream up to its limit, so taken has a closed form.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS s, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
