@@ -41,40 +41,60 @@ def draws(term: Column, logs: tuple[Column, ...], draw: int) -> list[Column]:
 
 
 def _in_order(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (doc_id, text, part) with part rising with doc_id, and copies of each part's first rows in the part before, marked ``ahead``.
+    """Rows (doc_id, text, tie, part) in the order of doc_id (null first) and tie, a hash of the text; part rises with that order.
 
-    Cuts are quantiles of doc_id, and between two of them parts are of equal width; both are values, so a part never depends on how
-    rows are spread. The last part gets the first rows of all. At most parts * 32 numbers go to the driver.
+    Each part also gets a copy, marked ``ahead``, of the one row that comes after its last; the last part gets the first row of all.
+    Cuts are quantiles of doc_id. The ids between two of them are in parts of equal width; an id that is several quantiles
+    at once, and null ids, which may be many, are in parts by ranges of the hash. All cuts are values, so a part never depends on how
+    rows are spread. At most some parts * 64 numbers go to the driver.
     """
     rows = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(parts + 1)], 10000).alias("q")).first().q or [0, 0]
-    cuts = sorted(set(cuts))
-    fine = 32
-    bound = F.array(*map(F.lit, cuts[1:]))
-    at = F.size(F.filter(bound, lambda x: x <= F.col("doc_id")))
-    low, high = F.get(F.array(*map(F.lit, cuts)), F.col("at")), F.get(F.array(*map(F.lit, [*cuts[1:], cuts[-1] + 1])), F.col("at"))
-    within = F.floor((F.col("doc_id") - low).cast("double") / (high - low) * fine)
-    rows = rows.withColumn("at", F.coalesce(at, F.lit(0)))
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("at") * fine + F.least(F.greatest(within, F.lit(0)), F.lit(fine - 1)))
-    rows = rows.withColumn("part", part.cast("int")).select("doc_id", "text", "part")
-    firsts = rows.select("doc_id", "part").groupBy("part").agg(F.min("doc_id").alias("first")).orderBy("part").collect()
-    before = [(r.first, r.part, firsts[k - 1].part) for k, r in enumerate(firsts)]
-    table = F.broadcast(docs.sparkSession.createDataFrame(before, "first long, own int, earlier int"))
-    ahead = rows.join(table, (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    ahead = ahead.select("doc_id", "text", F.col("earlier").alias("part"), F.lit(1).alias("ahead"))
-    return rows.withColumn("ahead", F.lit(0)).unionByName(ahead)
+    seen = rows.agg(
+        F.percentile_approx("doc_id", [k / parts for k in range(parts + 1)], 10000).alias("q"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named")
+    ).first()
+    fine, quantiles = 32, seen.q or [0]
+    cuts = sorted(set(quantiles))
+    by_hash = lambda times: times * fine if times > 1 else 1
+    none = by_hash(-(-parts * (seen.n - seen.named) // max(seen.n, 1)) + 1) if seen.named < seen.n else 0
+    # Of each cut: the first part and number of parts of that very id, and the first part of the ids up to the next cut.
+    at, table = none, []
+    for c in cuts:
+        same = by_hash(quantiles.count(c))
+        table.append((at, same, at + same))
+        at += same + fine
+    pick = lambda k, i: F.get(F.array(*(F.lit(t[k]) for t in table)), i)
+    place = F.greatest(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col("doc_id"))) - 1, F.lit(0))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.coalesce(place, F.lit(0)))
+    low, high = F.get(F.array(*map(F.lit, cuts)), F.col("place")), F.get(F.array(*map(F.lit, [*cuts[1:], cuts[-1] + 1])), F.col("place"))
+    unit = (F.shiftright("tie", 32) + F.lit(1 << 31)).cast("double") / float(1 << 32)  # rises with the hash
+    within = F.floor((F.col("doc_id") - low).cast("double") / F.greatest(high - low, F.lit(1)) * fine)
+    between = pick(2, F.col("place")) + F.least(F.greatest(within, F.lit(0)), F.lit(fine - 1))
+    part = (
+        F.when(F.col("doc_id").isNull(), F.floor(unit * none))
+        .when(F.col("doc_id") == low, pick(0, F.col("place")) + F.floor(unit * pick(1, F.col("place"))))
+        .otherwise(between)
+    )
+    rows = rows.withColumn("part", part.cast("int")).select("doc_id", "text", "tie", "part")
+    order = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tie")
+    firsts = sorted(rows.select("doc_id", "tie", "part").groupBy("part").agg(F.min(order).alias("first")).collect())
+    before = [(*r.first[1:], r.part, firsts[k - 1].part) for k, r in enumerate(firsts)]
+    table = F.broadcast(docs.sparkSession.createDataFrame(before, "first long, hash long, own int, earlier int"))
+    ahead = rows.join(table, (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("tie") == F.col("hash")))
+    # One of the rows alike, however many there are.
+    ahead = ahead.groupBy(F.col("earlier").alias("part")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.min("tie").alias("tie"))
+    return rows.withColumn("ahead", F.lit(0)).unionByName(ahead.withColumn("ahead", F.lit(1)))
 
 
 def fingerprints(docs: DataFrame, samples: int = 32, parts: int = 64) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
     The edited text has its last floor(n/4) code points replaced by as many first ones, or all, of the next document's (ascending
-    doc_id, null first, ties by text; after the last comes the first). Columns: doc_id, n_chars, edited_sha256, fingerprint,
+    doc_id, null first, ties by a hash of the text; after the last comes the first). Columns: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint (8 hex digits a draw), near_edited, near_next. Null texts count as empty. Texts without a word have a
-    fingerprint of their own, alike only to each other. Repeated rows are all kept; other columns play no part. One shuffle by part holds all
+    fingerprint of their own, alike only to each other. Repeated rows are all kept, an empty table gives an empty one; other columns play no part. One shuffle by part holds all
     steps, as everything of a document and its successor is in one part.
     """
-    order = Window.partitionBy("part").orderBy("ahead", F.col("doc_id").asc_nulls_first(), "text")
+    order = Window.partitionBy("part").orderBy("ahead", F.col("doc_id").asc_nulls_first(), "tie", "text")
     tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the word counts of a task stay in memory
     rows = _in_order(docs, max(parts, tasks // 2)).repartition(tasks, "part").select(
         "part", "ahead", "doc_id", "text", F.row_number().over(order).alias("nth"), F.lead("text", 1, "").over(order).alias("next")
