@@ -15,6 +15,7 @@ table may lie in any store and a lost executor's files are written anew.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -102,12 +103,36 @@ class Segment:
         return below
 
 
+# What a tokenizer file must say for the short way of WordIds; any other file's texts go through the library whole.
+SHORT_WAY = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None, "padding": None, "post_processor": None,
+}
+PLAIN_TOKEN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+
+
+def has_short_way(spec: dict) -> bool:
+    """Is a tokenizer file one whose texts may be encoded word by word: its stages as above, and added tokens that all begin as ODD knows them?"""
+    added = all(t["content"].startswith("<|") and {k: t[k] for k in PLAIN_TOKEN} == PLAIN_TOKEN for t in spec.get("added_tokens") or [])
+    model = spec["model"]
+    return added and model["type"] == "BPE" and not model.get("dropout") and all(spec.get(k) == v for k, v in SHORT_WAY.items())
+
+
 class WordIds:
-    """Ids of whole texts as the tokenizers library gives them, with each word's kept.
+    """Ids of whole texts as the tokenizers library gives them.
 
-    The pre-tokenizer never joins characters across white space, so the distinct chunks between white space are encoded once a batch and
+    Where the tokenizer's file allows the short way, each word's ids are kept: the pre-tokenizer never joins characters across white space, so the distinct
+    chunks between white space are encoded once a batch and
     gathered by their numbers. A chunk is cut into the pattern's words, and a new word goes through the library's model. Chunks with
-    a special token's string, or characters for which Unicode tables might differ, go through the library whole.
+    a special token's string, or characters for which Unicode tables might differ, go through the library whole. With any other
+    file all texts do.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -116,6 +141,8 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.short = has_short_way(json.load(f))
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model.tokenize
         self.kind = np.dtype("<u2" if max(self.library.get_vocab().values()) < 1 << 16 else "<u4")
@@ -127,6 +154,10 @@ class WordIds:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and len + 1 offsets of each text's first."""
+        if not self.short:
+            found = [e.ids for k in range(0, len(texts), 64) for e in self.library.encode_batch_fast(texts.slice(k, 64).to_pylist(), add_special_tokens=False)]
+            ids = np.fromiter((i for x in found for i in x), dtype=self.kind, count=sum(map(len, found)))
+            return ids, np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         flat, lengths = self._ids_of(coded.dictionary)
@@ -187,9 +218,12 @@ def write_segments(
     tokens_per_segment: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
+    path: str | None = None,
 ) -> DataFrame:
     """Encode every row, write the segments in ascending doc_id order and return the table as read back.
 
+    ``path`` is the table's place, which must not exist; without one it is an intermediate in the shared folder.
+
     Null counts as the empty text, whose only id is the end id; null doc_ids come first, repeated doc_ids by their texts' hashes.
     Segments don't span Arrow batches. A document is never cut: one of more ids than ``tokens_per_segment`` has a segment to itself.
     """
@@ -217,7 +251,36 @@ def write_segments(
                 first, number = last, number + 1
 
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
-    return written(rows.mapInArrow(run, SEGMENTS), "token-segments")
+    found = rows.mapInArrow(run, SEGMENTS)
+    if path is None:
+        return written(found, "token-segments")
+    found.write.parquet(path)
+    return spark.read.schema(SEGMENTS).parquet(path)
+
+
+def tokens_at(segments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, position and id for every row of ``wanted`` (doc_id, position from 0), read by address from the segments.
+
+    Only the segments that hold a wanted document are opened, and only the wanted ids decoded. A position that its document doesn't have, an unknown
+    doc_id and a null position give no row; a null doc_id is looked up like any other, repeated doc_ids give a row for each document.
+    """
+    places = segments.select("part", "segment", F.posexplode("doc_ids").alias("nth", "_doc"))
+    asked = only(wanted, doc_id="doc_id", position="position").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"))
+    hits = places.join(asked.where("position >= 0"), F.col("_doc").eqNullSafe(F.col("doc_id"))).select(F.col("part").alias("_part"), F.col("segment").alias("_segment"), "nth", "doc_id", "position")
+
+    def read(key: tuple, payloads: pa.Table, rows: pa.Table) -> pa.Table:
+        if not payloads.num_rows or not rows.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "position": pa.array([], pa.int64()), "id": pa.array([], pa.int64())})
+        own = Segment(payloads.column("payload")[0].as_py())
+        nth, at = (rows.column(c).to_numpy() for c in ("nth", "position"))
+        inside = at < own.starts[nth + 1] - own.starts[nth]
+        ids = [own[int(i)] for i in (own.starts[nth] + at)[inside]]
+        kept = rows.filter(pa.array(inside))
+        return pa.table({"doc_id": kept.column("doc_id"), "position": kept.column("position"), "id": pa.array(ids, pa.int64())})
+
+    opened = segments.select("part", "segment", "payload").join(hits, (F.col("part") == F.col("_part")) & (F.col("segment") == F.col("_segment")), "left_semi")
+    own, asked = opened.select(F.col("part").alias("p"), F.col("segment").alias("s"), "payload"), hits.select(F.col("_part").alias("q"), F.col("_segment").alias("t"), "nth", "doc_id", "position")
+    return own.groupBy("p", "s").cogroup(asked.groupBy("q", "t")).applyInArrow(read, "doc_id long, position long, id long")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
