@@ -200,15 +200,15 @@ s AS (
   SELECT *, list_transform(list_append(cs, n_chars - list_sum(cs)), lambda x: CAST(x AS DOUBLE) / greatest(n_chars, 1)) AS p,
          list_transform(list_append(wc, n_words - list_sum(wc)), lambda x: CAST(x AS DOUBLE) / greatest(n_words, 1)) AS q FROM b),
 m AS (
-  SELECT lang, kind, k, avg(v) AS v, count(*) AS n FROM (
+  SELECT lang, kind, k, avg(v) AS v FROM (
     SELECT lang, 'p' AS kind, unnest(p) AS v, generate_subscripts(p, 1) AS k FROM s WHERE n_words >= 50
     UNION ALL SELECT lang, 'q', unnest(q), generate_subscripts(q, 1) FROM s WHERE n_words >= 50) WHERE lang IS NOT NULL GROUP BY ALL),
 al AS (
-  SELECT kind, k, avg(v) AS v, count(*) AS n FROM (
+  SELECT kind, k, avg(v) AS v FROM (
     SELECT 'p' AS kind, unnest(p) AS v, generate_subscripts(p, 1) AS k FROM s WHERE n_words >= 50
     UNION ALL SELECT 'q', unnest(q), generate_subscripts(q, 1) FROM s WHERE n_words >= 50) GROUP BY ALL),
 rf AS (
-  SELECT lang, list(m.v ORDER BY k) FILTER (WHERE kind = 'p') AS rp, list(m.v ORDER BY k) FILTER (WHERE kind = 'q') AS rq FROM m JOIN al USING (kind, k) WHERE m.n * 1000 >= al.n GROUP BY 1),
+  SELECT lang, list(m.v ORDER BY k) FILTER (WHERE kind = 'p') AS rp, list(m.v ORDER BY k) FILTER (WHERE kind = 'q') AS rq FROM m GROUP BY 1),
 ra AS (
   SELECT list(v ORDER BY k) FILTER (WHERE kind = 'p') AS ap, list(v ORDER BY k) FILTER (WHERE kind = 'q') AS aq FROM al),
 z AS (
