@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,15 @@ CLASSES = ["engaged", "confused", "bored", "frustrated"]
 NEUTRAL = "neutral"
 NO_FACE = "no_face"
 
-#: A decimal number without the underscores or type suffixes that only some parsers take.
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:nan|inf|infinity)$"
+#: White space between tokens: space and the five controls U+0009 to U+000D.
+BLANKS = " \t\n\x0b\x0c\r"
+#: A number without the underscores or type suffixes that only some parsers take.
+NUMBER = r"(?:[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?(?i:nan|inf|infinity))"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, also inside higher-order functions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def half_even(x: Column, digits: int = 0) -> Column:
@@ -41,13 +50,17 @@ def strip(x: Column) -> Column:
 
 def tokens(line: Column) -> Column:
     """White-space separated tokens; none for a blank line."""
-    bare = strip(line)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\s+"))
+    return F.array_remove(F.split(F.btrim(line, F.lit(BLANKS)), r"\s+"), "")
 
 
 def number(token: Column) -> Column:
     """Double, or null if the token isn't a plain number."""
-    return F.when(token.rlike(NUMBER), token.try_cast("double"))
+    return F.when(token.rlike(f"^{NUMBER}$"), token.try_cast("double"))
+
+
+def are_numbers(line: Column, n: int) -> Column:
+    """Is a line ``n`` numbers and nothing else? One match a line, where a failing cast a token would raise and catch an error each."""
+    return line.rlike(rf"^\s*{NUMBER}(?:\s+{NUMBER}){{{n - 1}}}\s*$")
 
 
 def truncated(x: Column) -> Column:

@@ -5,10 +5,11 @@ A label line table has source, split, stem, line_no and value (the text line). A
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.expr import CLASSES, number, strict_int, strip, tokens, truncated
+from larkspur.functions.expr import CLASSES, are_numbers, let, strict_int, strip, tokens, truncated
+from larkspur.session import small_table
 
 KEYS = ["source", "split", "stem"]
 # Names that a class may have elsewhere, in the order in which they are tried, and the class that they stand for.
@@ -22,15 +23,17 @@ def parsed(lines: DataFrame) -> DataFrame:
     """``lines`` with toks, class_id, x, y, w, h (null where a line isn't five numbers) and blank, in_bounds.
 
     The class is the whole part of its number, so NaN and infinities give none. Comparisons order NaN above all numbers, so an upper bound rejects it.
+    A line is parsed once: its tokens and numbers come out of a generator, below which no later filter is pushed; the rest is comparisons.
     """
-    rows = lines.withColumn("toks", tokens(F.col("value"))).withColumn("blank", F.size("toks") == 0)
-    rows = rows.withColumn("nums", F.when(F.size("toks") == 5, F.transform("toks", number)))
-    whole = F.col("nums").isNotNull() & ~F.exists("nums", lambda v: v.isNull())
-    rows = rows.withColumn("nums", F.when(whole, F.col("nums")))
-    inside = F.forall(F.slice("nums", 2, 4), lambda v: v.between(0.0, 1.0)) & (F.get("nums", 3) > 0.0) & (F.get("nums", 4) > 0.0)
-    parts = {n: F.get("nums", k) for k, n in enumerate("xywh", 1)}
-    rows = rows.withColumns({"class_id": truncated(F.get("nums", 0)), "_inside": F.coalesce(inside, F.lit(False)), **parts})
-    return rows.withColumn("in_bounds", F.col("class_id").isNotNull() & F.col("_inside")).drop("_inside", "nums")
+    toks = tokens(F.col("value"))
+    row = let(toks, lambda t: F.struct(t.alias("toks"), F.when(are_numbers(F.col("value"), 5), F.transform(t, lambda x: x.try_cast("double"))).alias("_n")))
+    rows = lines.select("*", F.inline(F.array(row)))
+    x, y, w, h = (F.get("_n", k) for k in range(1, 5))
+    all_there = F.get("_n", 0).isNotNull() & x.isNotNull() & y.isNotNull() & w.isNotNull() & h.isNotNull()
+    inside = x.between(0.0, 1.0) & y.between(0.0, 1.0) & (w > 0.0) & (w <= 1.0) & (h > 0.0) & (h <= 1.0)
+    class_id = F.when(all_there, truncated(F.get("_n", 0)))
+    rows = rows.withColumns({"blank": F.size("toks") == 0, "class_id": class_id, "x": x, "y": y, "w": w, "h": h})
+    return rows.withColumn("in_bounds", F.col("class_id").isNotNull() & F.coalesce(inside, F.lit(False))).drop("_n")
 
 
 def kept_lines(lines: DataFrame, mapping: DataFrame, check_bounds: bool = True) -> DataFrame:
@@ -81,8 +84,9 @@ def name_mapping(names: DataFrame) -> DataFrame:
     return rows.withColumn("new_class_name", name).withColumn("action", F.when(F.col("new_class_id").isNull(), "DROP").otherwise("KEEP"))
 
 
-def id_mapping(spark, pairs: dict[int, int] = SECOND_SOURCE_IDS) -> DataFrame:
-    return spark.createDataFrame(list(pairs.items()), "old_id int, new_id int")
+def id_mapping(spark: SparkSession, pairs: dict[int, int] = SECOND_SOURCE_IDS) -> DataFrame:
+    """old_id, new_id of a mapping."""
+    return small_table(spark, list(pairs.items()), "old_id int, new_id int")
 
 
 def with_labels(images: DataFrame, files: DataFrame, kept: DataFrame) -> DataFrame:
@@ -141,7 +145,7 @@ def label_line(class_id: Column, *numbers: Column) -> Column:
 
 def class_counts(kept: DataFrame) -> DataFrame:
     """Boxes and distinct files of every class, zeros included."""
-    dim = kept.sparkSession.createDataFrame(list(enumerate(CLASSES)), "class_id int, class_name string")
+    dim = small_table(kept.sparkSession, list(enumerate(CLASSES)), "class_id int, class_name string")
     files = F.struct(*KEYS)
     own = kept.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_boxes"), F.count_distinct(files).alias("n_images"))
     return dim.join(own, "class_id", "left").select("class_id", "class_name", F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"), F.coalesce("n_images", F.lit(0)).alias("n_images"))

@@ -63,63 +63,97 @@ def ticks(history: DataFrame) -> DataFrame:
     """session_id, t, step: every tick from 0 to the session's last second."""
     ends = history.groupBy("session_id").agg(F.max_by("timestamp", "i").alias("duration"))
     ends = ends.withColumn("step", step_seconds(F.col("duration")))
-    return ends.select("session_id", "step", F.explode(F.sequence(F.lit(0), F.floor("duration").cast("int"), F.col("step"))).alias("t"))
+    return ends.select("session_id", "step", F.explode(_tick_times(F.col("duration"), F.col("step"))).alias("t"))
+
+
+def _tick_times(duration: Column, step: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.floor(duration).cast("int"), F.lit(0)), step)
+
+
+ROW, TICK, CHANGE, WANTED = range(4)
+
+
+def _points(history: DataFrame, reach: float, least_share: float) -> DataFrame:
+    """session_id, t, tick, change and wanted: at each second the label of its tick and of the last transition, null for none.
+
+    One more row a session, with a null t, has as ``wanted`` the best row (o, emotion, t) of each class of ``least_share`` percent or more. The history
+    is read once and dealt once, by session: rows become items, the session's last row brings the ticks, and all that follows
+    is windows and groups within a session. The nearest row of a tick is the last before it or the first after it, found by running extremes.
+    """
+    session = Window.partitionBy("session_id")
+    in_order = session.orderBy("i")
+    rows = centered_mode(history).withColumns({
+        "_before": F.lag("smoothed").over(in_order), "_duration": F.max_by("timestamp", "i").over(session), "_end": F.max("i").over(session), "_n": F.count(F.lit(1)).over(session),
+        **{f"_n_{c}": F.count_if(F.col("emotion") == c).over(session) for c in CLASSES},
+        **{f"_best_{c}": F.max(F.when(F.col("emotion") == c, F.struct(F.coalesce("confidence", F.lit(0.0)).alias("conf"), (-F.col("i")).alias("k"), "timestamp"))).over(session) for c in CLASSES},
+    })
+    step, number = step_seconds(F.col("_duration")), F.col("i").cast("long")
+    none = F.lit(None).cast("array<struct<t:int,o:int,emotion:string>>")
+    item = lambda kind, time, t, emotion, i, wanted=none: F.struct(
+        F.lit(kind).alias("kind"), time.cast("double").alias("time"), t.cast("int").alias("t"), emotion.alias("emotion"), i.alias("i"), wanted.alias("wanted")
+    )
+    null = F.lit(None)
+    text, long = null.cast("string"), null.cast("long")
+    best = [F.struct(half_even(F.col(f"_best_{c}.timestamp")).cast("int").alias("t"), F.lit(k).alias("o"), F.lit(c).alias("emotion")) for k, c in enumerate(CLASSES)]
+    wanted = F.array_compact(F.array(*(F.when(percent(F.col(f"_n_{c}"), F.col("_n"), 1) >= least_share, b) for c, b in zip(CLASSES, best, strict=True))))
+    own = F.array(
+        item(ROW, F.col("timestamp"), half_even(F.col("timestamp") / step) * step, F.col("emotion"), number),
+        F.when(F.col("_before") != F.col("smoothed"), item(CHANGE, F.col("timestamp"), half_even(F.col("timestamp")), F.col("smoothed"), number)),
+        F.when(F.col("i") == F.col("_end"), item(WANTED, null, null, text, long, wanted)),
+    )
+    every = F.when(F.col("i") == F.col("_end"), F.transform(_tick_times(F.col("_duration"), step), lambda t: item(TICK, t, t, text, long)))
+    items = rows.select("session_id", F.inline(F.array_compact(F.concat(own, F.coalesce(every, F.array_remove(F.array(own[0]), own[0]))))))
+    seen = lambda i: F.when(F.col("kind") == ROW, F.struct("time", i.alias("i"), "emotion"))
+    items = items.withColumns({
+        "earlier": F.max(seen(-F.col("i"))).over(session.orderBy("time")), "later": F.min(seen(F.col("i"))).over(session.orderBy(F.col("time").desc())),
+    })
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    label = of(ROW, F.col("emotion"))
+    points = items.where((F.col("kind") != ROW) | (F.abs(F.col("time") - F.col("t")) <= reach)).groupBy("session_id", "t").agg(
+        F.count_if(F.col("kind") == TICK).alias("ticks"), F.count_if(F.col("kind") == ROW).alias("rows"), F.count_if(label.isin(CLASSES)).alias("classes"),
+        first_seen_top(label, F.col("i"), labels=CLASSES).alias("top"), F.max(of(TICK, F.col("earlier"))).alias("earlier"), F.max(of(TICK, F.col("later"))).alias("later"),
+        F.max(of(CHANGE, F.struct("i", "emotion"))).alias("last"), F.max(of(WANTED, F.col("wanted"))).alias("wanted"),
+    )
+    left, right = F.struct(F.col("t") - F.col("earlier.time"), -F.col("earlier.i")), F.struct(F.col("later.time") - F.col("t"), F.col("later.i"))
+    nearest = F.when(F.col("earlier").isNull() | F.col("later").isNotNull() & (right < left), F.col("later.emotion")).otherwise(F.col("earlier.emotion"))
+    tick = F.when(F.col("classes") > 0, F.col("top")).when(F.col("rows") > 0, F.lit(NEUTRAL)).otherwise(nearest)
+    return points.select("session_id", "t", F.when(F.col("ticks") > 0, tick).alias("tick"), F.col("last.emotion").alias("change"), "wanted")
 
 
 def tick_labels(history: DataFrame, reach: float = 4.0) -> DataFrame:
     """session_id, t, emotion of every tick.
 
     The commonest class among rows within ``reach`` seconds, neutral if they are all neutral; without any, the nearest row's label, the earlier
-    row among equals. As ``reach`` is under half a step, a row has one tick it can belong to, so the band is an equality join.
+    row among equals. As ``reach`` is under half a step, a row has one tick it can belong to, so the band is an equality of keys.
     """
-    every = ticks(history)
-    steps = every.select("session_id", "step").distinct()
-    near = half_even(F.col("timestamp") / F.col("step")) * F.col("step")
-    rows = history.join(steps, "session_id").withColumn("t", near.cast("int"))
-    rows = rows.where(F.abs(F.col("timestamp") - F.col("t")) <= reach)
-    top = first_seen_top(F.col("emotion"), F.col("i"), labels=CLASSES)
-    voted = rows.groupBy("session_id", "t").agg(top.alias("top"), F.count_if(F.col("emotion").isin(CLASSES)).alias("n"))
-    voted = voted.select("session_id", "t", F.when(F.col("n") > 0, F.col("top")).otherwise(F.lit(NEUTRAL)).alias("emotion"))
-    found = every.join(voted, ["session_id", "t"], "left")
-    # Ticks without a row nearby: only these meet all rows of their session.
-    bare = found.where(F.col("emotion").isNull()).select("session_id", "t")
-    nearest = bare.join(history, "session_id").groupBy("session_id", "t").agg(
-        F.min_by("emotion", F.struct(F.abs(F.col("timestamp") - F.col("t")), F.col("i"))).alias("emotion")
-    )
-    return found.where(F.col("emotion").isNotNull()).select("session_id", "t", "emotion").unionByName(nearest)
+    return _points(history, reach, 2.0).where(F.col("tick").isNotNull()).select("session_id", "t", F.col("tick").alias("emotion"))
 
 
-def timeline(history: DataFrame, least_share: float = 2.0, most_points: int = 12) -> DataFrame:
+def timeline(history: DataFrame, least_share: float = 2.0, most_points: int = 12, reach: float = 4.0) -> DataFrame:
     """session_id, t, o (order at equal times), emotion of the report's points.
 
     Ticks and transitions by second, a later transition replacing what stood there; neutral points go; a class with ``least_share`` percent or
     more that is left without a point gets its most confident row; more than ``most_points`` points are thinned to evenly spaced
-    ones and each class's first.
+    ones and each class's first. One exchange, by session.
     """
-    both = tick_labels(history).select("session_id", "t", "emotion", F.lit(0).alias("late"), F.lit(0).cast("long").alias("i")).unionByName(
-        transitions(history).select("session_id", "t", "emotion", F.lit(1).alias("late"), F.col("i").cast("long").alias("i"))
-    )
-    points = both.groupBy("session_id", "t").agg(F.max_by("emotion", F.struct("late", "i")).alias("emotion")).where(F.col("emotion") != NEUTRAL)
-    points = points.withColumn("o", F.lit(-1))
-    shares = distribution(history)
-    wanted = shares.select("session_id", F.explode(F.array(*(F.struct(F.lit(k).alias("o"), F.lit(c).alias("emotion"), F.col(f"pct_{c}").alias("pct")) for k, c in enumerate(CLASSES)))).alias("x"))
-    wanted = wanted.where(F.col("x.pct") >= least_share).select("session_id", "x.o", "x.emotion")
-    missing = wanted.join(points.select("session_id", "emotion"), ["session_id", "emotion"], "left_anti")
-    best = history.join(missing, ["session_id", "emotion"]).groupBy("session_id", "emotion", "o").agg(
-        F.max_by("timestamp", F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("i"))).alias("ts")
-    )
-    points = points.unionByName(best.select("session_id", half_even(F.col("ts")).cast("int").alias("t"), "emotion", "o"))
     session = Window.partitionBy("session_id")
+    rows = _points(history, reach, least_share).withColumn("emotion", F.coalesce("change", "tick")).where(F.col("wanted").isNotNull() | (F.col("emotion") != NEUTRAL))
+    rows = rows.withColumn("present", F.collect_set("emotion").over(session))
+    own = F.array(F.struct("t", F.lit(-1).alias("o"), "emotion"))
+    missing = F.filter("wanted", lambda x: ~F.array_contains("present", x.emotion))
+    points = rows.select("session_id", F.inline(F.when(F.col("wanted").isNotNull(), missing).otherwise(own)))
     ordered = session.orderBy("t", "o")
     rows = points.withColumns({
         "rn": F.row_number().over(ordered), "n": F.count(F.lit(1)).over(session),
         "nth": F.row_number().over(Window.partitionBy("session_id", "emotion").orderBy("t", "o")),
     })
-    few = rows.where(F.col("n") <= most_points).select("session_id", "t", "o", "emotion")
+    many = F.col("n") > most_points
     spots = F.transform(F.sequence(F.lit(0), F.lit(most_points - 1)), lambda k: half_even(k * ((F.col("n") - 1) / F.lit(float(most_points - 1)))).cast("int"))
-    kept = rows.where((F.col("n") > most_points) & (F.array_contains(spots, F.col("rn") - 1) | (F.col("nth") == 1)))
-    many = kept.groupBy("session_id", "t").agg(F.max_by("emotion", F.struct(F.col("nth") == 1, "rn")).alias("emotion"))
-    return few.unionByName(many.select("session_id", "t", F.lit(0).alias("o"), "emotion"))
+    kept = rows.where(~many | F.array_contains(spots, F.col("rn") - 1) | (F.col("nth") == 1))
+    # Of many points the last of a second stays, first ones before others; few points all stay.
+    return kept.groupBy("session_id", "t", F.when(many, 0).otherwise(F.col("rn")).alias("place")).agg(
+        F.max_by("emotion", F.struct(F.col("nth") == 1, "rn")).alias("emotion"), F.max(F.when(many, 0).otherwise(F.col("o"))).alias("o")
+    ).select("session_id", "t", "o", "emotion")
 
 
 def synthetic_timeline(shares: DataFrame) -> DataFrame:

@@ -41,7 +41,9 @@ def split_counts(rows: DataFrame, by: str, boxes: str | None = None, digits: int
     n = F.count(F.lit(1)).alias("images")
     own = rows.groupBy("new_split", by).agg(n, (F.sum(boxes) if boxes else F.count(F.lit(1))).alias("boxes"))
     every = own.select(by).distinct().select(by, F.explode(F.array(*map(F.lit, SPLITS))).alias("new_split"))
-    full = every.join(own, ["new_split", by], "left").na.fill(0, ["images", "boxes"])
+    # A null class is a class like any other.
+    mine = own.withColumnsRenamed({"new_split": "_split", by: "_by"})
+    full = every.join(mine, (F.col("new_split") == F.col("_split")) & every[by].eqNullSafe(F.col("_by")), "left").drop("_split", "_by").na.fill(0, ["images", "boxes"])
     whole = F.sum("images").over(Window.partitionBy("new_split"))
     return full.withColumn("percent", F.bround(ratio(F.col("images"), whole) * 100, digits))
 

@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def get_session(app: str = "larkspur", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -33,6 +35,13 @@ def get_session(app: str = "larkspur", master: str | None = None, partitions: in
     return builder.getOrCreate()
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A dimension written out as literals: Spark knows its size, so joins with it follow the broadcast threshold and shuffle nothing else."""
+    fields = StructType.fromDDL(schema).fields
+    values = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields, strict=True))) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*values))) if values else spark.createDataFrame([], schema)
+
+
 def working_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
