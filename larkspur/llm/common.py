@@ -9,11 +9,10 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.expr import BLANKS, let
 from larkspur.session import new_folder, remove_folder
 
-#: White space that separates words: space and the five controls U+0009 to U+000D.
-BLANKS = " \t\n\x0b\x0c\r"
-
+__all__ = ["BLANKS", "cleared", "let", "n_words", "only", "words_of", "written"]
 
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
@@ -52,11 +51,6 @@ def cleared(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
             remove_folder(spark, path)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row, also inside higher-order functions."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text in order; none for a null text."""
     spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
