@@ -106,3 +106,19 @@ def captures(voted: DataFrame, keys: DataFrame) -> DataFrame:
     chosen = F.when(F.col("key").isin(*"0123"), F.col("key").try_cast("int")).when(F.col("key") == "c", F.col("stable_id"))
     return rows.withColumn("file_under", chosen).where(F.col("file_under").isNotNull())
 
+
+
+def label_masks(log: DataFrame, label: str = "stable_label") -> DataFrame:
+    """``log`` with a flag column is_<class> per class, for plots that draw each class alone."""
+    return log.withColumns({f"is_{c}": F.coalesce(F.col(label) == c, F.lit(False)) for c in CLASSES})
+
+
+def summary_text(counts: dict, settings: dict[str, object], captured: dict[str, int] | None = None) -> str:
+    """A Markdown summary of one session: its settings, a row of ``label_counts`` and the files captured per class."""
+    lines = ["# Session summary", "", "## Settings", *(f"- {k}: {v}" for k, v in settings.items()), "", "## Frames"]
+    lines += [f"- {title}: {counts[key]}" for title, key in (("all", "frames"), ("without a face", "without_face"), ("neutral", "neutral"))]
+    for kind in ("raw", "stable"):
+        lines += ["", f"## Labels, {kind}", *(f"- {c}: {counts[f'{kind}_{c}']}" for c in CLASSES)]
+    if captured is not None:
+        lines += ["", "## Captured files", *(f"- {c}: {captured.get(c, 0)}" for c in CLASSES)]
+    return "\n".join([*lines, ""])

@@ -15,12 +15,18 @@ DEFAULTS = {
 }
 
 
+def missing_fields(payloads: DataFrame, fields: tuple[str, ...] = ("nim", "name", "module_id")) -> DataFrame:
+    """``payloads`` with missing ARRAY<STRING>: the required fields that are null, empty or blank; none may be saved with any."""
+    lacking = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    return payloads.withColumn("missing", F.array_compact(F.array(*(F.when(lacking(c), F.lit(c)) for c in fields))))
+
+
 def records(payloads: DataFrame, completed_at=None) -> DataFrame:
     """Payloads with user fields as history records: defaults filled in, an 8-character id, a time stamp and an interpretation.
 
-    Payloads without a module or a user go. The id is random, as in the source of the format.
+    Payloads without a module, or with a null or blank user or name, go. The id is random, as in the source of the format.
     """
-    rows = payloads.where(F.col("module_id").isNotNull() & F.col("nim").isNotNull() & F.col("name").isNotNull())
+    rows = missing_fields(payloads).where(F.size("missing") == 0).drop("missing")
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS.items()})
     part = lambda c: F.try_element_at("emotion_distribution", F.lit(c))
     key = interpretation(F.col("score"), F.col("problem_solving_correct"), part("engaged"), part("confused"), part("frustrated"))

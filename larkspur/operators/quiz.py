@@ -110,6 +110,11 @@ def upserted(tracking: DataFrame, keys: list[str], seq: str = "seq") -> DataFram
     return tracking.groupBy(*keys).agg(F.min(seq).alias("place"), F.max_by(F.struct(*rest), seq).alias("x")).select(*keys, "place", "x.*")
 
 
+def time_gates(seconds_read: Column, seconds_answering: Column, least_read: int = 60, most_answering: int = 300) -> Column:
+    """STRUCT<may_start, must_submit>: a quiz opens after so much reading, and is handed in when its time is up."""
+    return F.struct((seconds_read >= least_read).alias("may_start"), (seconds_answering >= most_answering).alias("must_submit"))
+
+
 def module_by_id(modules: DataFrame, module_id: int, order: str | None = None) -> DataFrame:
     """The first module of an id, or no row."""
     rows = modules.where(F.col("id") == module_id)

@@ -204,3 +204,8 @@ def top_shares(shares: DataFrame) -> DataFrame:
     listed = F.array(*(F.struct(F.col(f"pct_{c}").alias("p"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(CLASSES)))
     kept = F.sort_array(F.filter(listed, lambda x: x.p > 0), asc=False)
     return shares.select("session_id", F.transform(kept, lambda x: F.struct(x.c.alias("emotion"), x.p.alias("pct"))).alias("shares"))
+
+
+def active(sessions: DataFrame) -> DataFrame:
+    """Sessions (session_id, started, ended) that were started and have not ended since."""
+    return sessions.where(F.col("started").isNotNull() & (F.col("ended").isNull() | (F.col("ended") < F.col("started"))))

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.expr import stem, suffix
+from larkspur.functions.expr import CLASSES, stem, suffix
 from larkspur.operators.annotations import canonical_split
+from larkspur.session import small_table
 
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".bmp", ".webp"]
 METRIC_COLUMNS = (
@@ -21,15 +22,24 @@ METRIC_COLUMNS = (
 )
 
 
-def split_of(path: Column) -> Column:
-    """Split of a path in either layout, ``split/images/..`` or ``images/split/..``, with valid as val; null in neither."""
+def split_of(path: Column, folders: dict[str, str] | None = None) -> Column:
+    """Split of a path in either layout, ``split/images/..`` or ``images/split/..``, with valid as val; null in neither.
+
+    ``folders`` are the image folders that a dataset description names by split (as from ``described``), for paths in neither layout: leading
+    ``../`` and ``./`` are dropped, and the labels' folder is the images' with that word replaced.
+    """
     first = F.regexp_extract(path, r"/(train|valid|val|test)/(?:images|labels)/[^/]+$", 1)
     second = F.regexp_extract(path, r"/(?:images|labels)/(train|valid|val|test)/[^/]+$", 1)
     found = F.when(first != "", first).when(second != "", second)
+    for name, folder in (folders or {}).items():
+        if name in ("train", "valid", "val", "test") and folder:
+            place = str(folder).replace("../", "").replace("./", "").strip("/")
+            for one in dict.fromkeys((place, place.replace("images", "labels"))):
+                found = found.when(path.contains(f"/{one}/"), name)
     return canonical_split(found)
 
 
-def label_lines(spark: SparkSession, root: str, source: str) -> DataFrame:
+def label_lines(spark: SparkSession, root: str, source: str, folders: dict[str, str] | None = None) -> DataFrame:
     """source, split, stem, line_no, value: the lines of all label files under ``root``; empty files have none."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     rows = raw.select(F.col("_metadata.file_path").alias("path"), "value")
@@ -37,10 +47,10 @@ def label_lines(spark: SparkSession, root: str, source: str) -> DataFrame:
     rows = rows.select("path", F.size(cut).alias("n"), F.posexplode(cut).alias("line_no", "value"))
     # A last line end starts no further line.
     last = (F.col("value") == "") & (F.col("line_no") == F.col("n") - 1)
-    return rows.where(~last).select(F.lit(source).alias("source"), split_of(F.col("path")).alias("split"), stem(F.col("path")).alias("stem"), "line_no", "value")
+    return rows.where(~last).select(F.lit(source).alias("source"), split_of(F.col("path"), folders).alias("split"), stem(F.col("path")).alias("stem"), "line_no", "value")
 
 
-def files(spark: SparkSession, root: str, source: str, suffixes: list[str], recursive: bool = True, any_case: bool = True) -> DataFrame:
+def files(spark: SparkSession, root: str, source: str, suffixes: list[str], recursive: bool = True, any_case: bool = True, folders: dict[str, str] | None = None) -> DataFrame:
     """source, split, stem, ext, path, length of the files with one of ``suffixes``; contents aren't read.
 
     Scans leave out files of no bytes, so the names come from the scan's file index, which the driver holds in any case.
@@ -50,7 +60,7 @@ def files(spark: SparkSession, root: str, source: str, suffixes: list[str], recu
     rows = names.join(found.select("path", "length"), "path", "left").na.fill(0, ["length"])
     ext = F.lower(suffix(F.col("path"))) if any_case else suffix(F.col("path"))
     rows = rows.withColumn("ext", ext).where(F.col("ext").isin(suffixes))
-    return rows.select(F.lit(source).alias("source"), split_of(F.col("path")).alias("split"), stem(F.col("path")).alias("stem"), "ext", "path", "length")
+    return rows.select(F.lit(source).alias("source"), split_of(F.col("path"), folders).alias("split"), stem(F.col("path")).alias("stem"), "ext", "path", "length")
 
 
 def label_files(spark: SparkSession, root: str, source: str) -> DataFrame:
@@ -62,6 +72,25 @@ def class_folders(spark: SparkSession, root: str, suffixes: list[str] = IMAGE_SU
     return files(spark, root, "", suffixes).drop("source", "split").withColumn("folder", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
 
 
+def folder_counts(images: DataFrame, names: list[str] = CLASSES) -> DataFrame:
+    """folder, n: the files of each class folder, zeros included."""
+    dim = small_table(images.sparkSession, [(n,) for n in names], "folder string")
+    own = images.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    return dim.join(own, "folder", "left").na.fill(0, ["n"])
+
+
+def log_line(spark: SparkSession, path: str, text: str, start: bool = False) -> None:
+    """Add a time-stamped line to a run log, a folder of text files; ``start`` begins it anew."""
+    line = F.concat(F.lit("["), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), F.lit("] "), F.lit(text))
+    spark.range(1).select(line.alias("value")).write.mode("overwrite" if start else "append").text(path)
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """at, text of the lines of a run log."""
+    parts = F.regexp_extract("value", r"^\[([^\]]*)\]", 1), F.regexp_replace("value", r"^\[[^\]]*\] ", "")
+    return spark.read.text(path).select(F.try_to_timestamp(parts[0], F.lit("yyyy-MM-dd HH:mm:ss")).alias("at"), parts[1].alias("text"))
+
+
 def described(text: str) -> dict:
     """A flat dataset description: ``key: value`` lines; ``names`` may be a list or a map in block or inline form, and becomes {id: name}."""
     out: dict = {}
@@ -107,8 +136,8 @@ def class_table(spark: SparkSession, names: dict[int, str]) -> DataFrame:
     return spark.createDataFrame(sorted((int(k), str(v)) for k, v in names.items()), "old_class_id int, old_class_name string")
 
 
-def zip_members(spark: SparkSession, path: str, pattern: str = ".txt", most_bytes: int = 1 << 26) -> DataFrame:
-    """archive, member, text of text members of ZIP files; absolute names, parents and members over ``most_bytes`` are refused, with a null text."""
+def zip_members(spark: SparkSession, path: str, pattern: str = ".txt") -> DataFrame:
+    """archive, member, text of text members of ZIP files, however long; absolute names and parents are refused, with a null text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,7 +147,7 @@ def zip_members(spark: SparkSession, path: str, pattern: str = ".txt", most_byte
                         if info.is_dir() or not info.filename.endswith(pattern):
                             continue
                         name = PurePosixPath(info.filename.replace("\\", "/"))
-                        safe = not name.is_absolute() and ".." not in name.parts and info.file_size <= most_bytes
+                        safe = not name.is_absolute() and ".." not in name.parts
                         text = z.read(info).decode("utf-8", "replace") if safe else None
                         yield pd.DataFrame({"archive": [archive], "member": [info.filename], "text": [text]})
 

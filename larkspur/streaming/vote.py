@@ -95,6 +95,11 @@ def latest(labels: DataFrame) -> DataFrame:
     )
 
 
+def paced(writer, frames_a_second: int = 30):
+    """A stream writer that works off what has come in once a frame."""
+    return writer.trigger(processingTime=f"{1000 // frames_a_second} milliseconds")
+
+
 def simulated(spark, rows_per_second: int = 30, sessions: int = 4, seed: int = 1) -> DataFrame:
     """A rate source as detections, the same labels for the same seed; for load tests only."""
     raw = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()

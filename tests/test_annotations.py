@@ -83,3 +83,23 @@ def test_split_counts_are_exact(spark):
     assert {r.new_split: r.text for r in split.imbalance(counts).collect()}["train"] == "1.43"
     with pytest.raises(ValueError):
         split.check_ratios((0.5, 0.2, 0.2))
+
+
+def test_null_class_is_counted(spark):
+    rows = spark.createDataFrame([(k, None if k % 2 else "a") for k in range(40)], "key long, kind string")
+    counts = split.split_counts(split.stratified_split(rows, "kind", "key"), "kind").collect()
+    assert sum(r.images for r in counts) == 40 and sum(r.images for r in counts if r.kind is None) == 20
+
+
+def test_long_zip_members_are_whole(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/long.txt", "line of text\n" * 300_000)
+        z.writestr("../up.txt", "no")
+    found = {r.member: r.text for r in S.zip_members(spark, str(tmp_path / "a.zip")).collect()}
+    assert len(found["x/long.txt"]) == 13 * 300_000 and found["../up.txt"] is None
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([("s", "train", "a", 0, "1 0.5 0.5 0.2 0.2")], "source string, split string, stem string, line_no int, value string")
+    plan = A.kept_lines(lines, A.id_mapping(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from larkspur.plans import details
 from larkspur.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -28,10 +29,13 @@ def tidy(rows):
     return sorted(tuple(cell(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+QUERIES, ORACLES = plans.QUERIES | details.QUERIES, plans.ORACLES | details.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = plans.QUERIES[name](spark, SF)
-    found = duck.sql(plans.ORACLES[name])
+    df = QUERIES[name](spark, SF)
+    found = duck.sql(ORACLES[name])
     columns = sorted(df.columns)
     assert columns == sorted(found.columns)
     mine = tidy(df.select(*columns).collect())
