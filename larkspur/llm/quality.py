@@ -162,7 +162,11 @@ def scored(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    """The rows of ``docs``, all columns, that score ``threshold`` or more.
+
+    Null texts count as empty, whose statistics are 0; repeated rows are judged alike and all stay or go, rows without an id too; an empty table stays empty. Without
+    labels of both classes every score is the share of good labels, half without any, so nothing or everything stays.
+    """
     model = fit_quality(docs, labels)
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
     # A filter would be pushed below the statistics, and each rule would work them out anew; a generator stays above them.
