@@ -194,7 +194,8 @@ def keep_one(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     # Two steps: the least row of a fingerprint, of which copies hold few, and then that of a component.
     each = fps.groupBy("fp").agg(F.min(order).alias("least")).join(table, "fp")
-    chosen = written(each.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.key"), "simhash-chosen")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs[id_col].alias("_id"), key.alias("_key"))
-    kept = rows.join(chosen, rows["_id"].eqNullSafe(chosen["doc_id"]) & (rows["_key"] == chosen["key"]), "left_semi")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))  # noqa: E731  never null, so that join and repeats share one exchange
+    chosen = each.groupBy("root").agg(F.min("least").alias("least")).select(named(F.col("least.doc_id")).alias("_id"), F.col("least.key").alias("_key"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), named(docs[id_col]).alias("_id"), key.alias("_key"))
+    kept = rows.join(written(chosen, "simhash-chosen"), ["_id", "_key"], "left_semi")
     return kept.dropDuplicates(["_id", "_key"]).select("_row.*")
