@@ -230,21 +230,21 @@ def _calibrate(model: ToxicModel, rows: DataFrame, most_rows: int) -> None:
         known = model.known()
         for batch in batches:
             seen = [known.read(x.as_py()) for x in batch.column(0)]
-            columns = [pa.array([n for n, _ in seen], pa.int64()), pa.array([[s for *_, s in f] for _, f in seen], pa.list_(pa.float64())), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, ["n", "scores", "label"])
+            columns = [pa.array([n for n, _ in seen], pa.int64()), pa.array([[s for *_, s in f] for _, f in seen], pa.list_(pa.float64())), *batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays(columns, ["n", "scores", "label", "hash"])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             x = [model.evidence([(0, 0, s) for s in scores], n) for n, scores in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(2)], ["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), *batch.columns[2:]], ["x", "label", "hash"])
 
-    seen = written(rows.mapInArrow(read, "n long, scores array<double>, label int"), "toxic-segments")
+    seen = written(rows.withColumn("hash", F.xxhash64("text")).mapInArrow(read, "n long, scores array<double>, label int, hash long"), "toxic-segments")
     clean = seen.where("label = 0").agg(F.sum(F.size("scores")).alias("hits"), F.sum("n").alias("tokens")).first()
     least = min(model.lexicon.values(), default=1.0)
     model.k = ((clean.hits or 0) + 0.5) / (max(clean.tokens or 0, 1) * math.exp(-model.rate * least))
-    # A row of two numbers each; repeated ids can make more than ``most_rows`` of them.
-    found = np.array(seen.mapInArrow(weigh, "x double, label int").orderBy("x", "label").limit(most_rows).collect(), dtype=float).reshape(-1, 2)
+    # A row of two numbers each; repeated ids can make more than ``most_rows`` of them, of which those with the smallest hashes of their texts are taken.
+    found = np.array(seen.mapInArrow(weigh, "x double, label int, hash long").orderBy("hash", "x").limit(most_rows).select("x", "label").collect(), dtype=float).reshape(-1, 2)
     x, y = found[:, 0], found[:, 1]
     share = (y.sum() + 1) / (len(y) + 2)
     a, b = math.log(share / (1 - share)), 0.0

@@ -427,6 +427,23 @@ def test_planted_passage(spark):
     assert (hit.passages[0].start, hit.passages[-1].stop) == (4, 8)
 
 
+def test_toxic_rows_stay_in_a_sample_of_repeated_ids(spark):
+    rng = random.Random(7)
+    made = []
+    for i in range(120):
+        for _ in range(4):  # four texts an id, so that there are four times as many rows as labels
+            words = [rng.choice("river stone garden window market letter bread music".split()) for _ in range(30)]
+            if i % 4 == 0:
+                words[10:14] = ["vilescum", "drossling", "vilescum", "grubheart"]
+            made.append((i, " ".join(words)))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, most_rows=120)
+    assert model.slope > 0
+    found = toxicity.passages(docs, model).collect()
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in found)
+
+
 # --- weighted sampling
 
 
