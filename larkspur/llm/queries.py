@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import divergence, html_text, mixing, quality, sentencepieces, sharding, simhash, tokenbin, toxicity, weighted_sampling
+from larkspur.llm import divergence, html_text, importance, mixing, quality, sentencepieces, sharding, simhash, tokenbin, toxicity, weighted_sampling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,9 +82,15 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of all documents; the best tenth by gain toward the benchmark's texts is drawn."""
+    found = importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_sentencepiece, op3_quality, op4_html_text, op5_token_binary, op6_simhash, op7_mixing, op8_divergence, op9_toxicity, op10_weighted_sampling)
+    for f in (op1_sharding, op2_sentencepiece, op3_quality, op4_html_text, op5_token_binary, op6_simhash, op7_mixing, op8_divergence, op9_toxicity, op10_weighted_sampling, op13_importance)
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op8_divergence": divergence.ORACLE}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op8_divergence": divergence.ORACLE, "op13_importance": importance.ORACLE}
