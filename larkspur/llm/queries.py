@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import divergence, html_text, importance, mixing, periodic, quality, sentencepieces, sharding, simhash, tokenbin, toxicity, weighted_sampling
+from larkspur.llm import divergence, html_text, importance, mixing, periodic, quality, sentencepieces, sharding, shingle_join, simhash, tokenbin, toxicity, weighted_sampling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,11 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of all documents; links at a Jaccard likeness of 0.8 of 5-word shingles."""
+    return shingle_join.joined(_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs and digests of all documents, a tenth of them made periodic by their ids."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("text"), F.col("doc_id")).alias("text"))
@@ -96,7 +101,7 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_sentencepiece, op3_quality, op4_html_text, op5_token_binary, op6_simhash, op7_mixing, op8_divergence, op9_toxicity, op10_weighted_sampling, op12_periodic, op13_importance)
+    for f in (op1_sharding, op2_sentencepiece, op3_quality, op4_html_text, op5_token_binary, op6_simhash, op7_mixing, op8_divergence, op9_toxicity, op10_weighted_sampling, op11_shingle_join, op12_periodic, op13_importance)
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op8_divergence": divergence.ORACLE, "op13_importance": importance.ORACLE}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op8_divergence": divergence.ORACLE, "op11_shingle_join": shingle_join.ORACLE, "op13_importance": importance.ORACLE}
