@@ -78,7 +78,7 @@ def blocks(docs: DataFrame, buckets: int, longest: int) -> DataFrame:
         keys, counts = np.unique(np.concatenate(found) * BLOCK_DOCS + where, return_counts=True)
         at, where, counts = keys // BLOCK_DOCS, (keys % BLOCK_DOCS).astype("<u2").tobytes(), counts.astype("<u4").tobytes()
         own, starts = np.unique(at, return_index=True)
-        ends = [*starts[1:].tolist(), len(keys)]
+        ends = [*starts[1:].tolist(), *([len(keys)] * bool(len(keys)))]
         lists = [{"bucket": b, "docs": where[2 * s : 2 * e], "counts": counts[4 * s : 4 * e]} for b, s, e in zip(own.tolist(), starts.tolist(), ends, strict=True)]
         columns = [[number], [[x.as_py() for x in ids]], [words], [sizes], [lists]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)

@@ -4,7 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 
-from larkspur.llm import divergence, html_text, mixing, quality, sentencepieces, sharding, simhash, tokenbin, toxicity, weighted_sampling
+from larkspur.llm import divergence, html_text, importance, mixing, periodic, quality, sentencepieces, sharding, shingle_join, simhash, tokenbin, toxicity, weighted_sampling
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -34,6 +34,9 @@ OPERATORS = {
     "divergence": lambda d, s: divergence.judged(d),
     "toxicity": lambda d, s: toxicity.passages(d, toxicity.fit_toxicity(d, labels(s))),
     "weighted": lambda d, s: weighted_sampling.fingerprints(d, samples=4),
+    "shingle_join": lambda d, s: shingle_join.joined(d),
+    "periodic": lambda d, s: periodic.digests(periodic.find_runs(d)),
+    "importance": lambda d, s: importance.resampled(d, s.createDataFrame([("one two",), (None,), ("",)], "text string")),
 }
 
 
