@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.expr import CLASSES, NEUTRAL, class_name
+from larkspur.operators.chunks import CHUNK, chunk_window, with_neighbours
 
 
 def confident(detections: DataFrame, least: float = 0.20) -> DataFrame:
@@ -38,18 +39,21 @@ def to_center_box(w: Column, h: Column, x1: Column, y1: Column, x2: Column, y2:
 
 def vote(
     frames: DataFrame, window: int = 30, least_frames: int = 8, least_ratio: float = 0.40, least_confidence: float = 0.40,
-    no_face_label: str = "no_face", classes: int = len(CLASSES),
+    no_face_label: str = "no_face", classes: int = len(CLASSES), chunk: int = CHUNK,
 ) -> DataFrame:
     """Majority vote over the last ``window`` frames of a session, emptied by each frame without a face.
 
     Input: session_id, frame_index, class_id (null: no face), conf. Adds votes (frames in the window), stable_id, stable_label, vote_ratio and
     avg_confidence. Among equals the class seen first in the window wins. Below ``least_frames`` ratio and confidence
-    are 0.0; below any gate the label is neutral. Confidences are summed as decimals, so that sums don't depend on order. One shuffle by session.
+    are 0.0; below any gate the label is neutral. Confidences are summed as decimals, so that sums don't depend on order.
+
+    A session is dealt in chunks of at most twice ``chunk`` frames, each with the window's frames ahead of it: a reset further back can't matter, so
+    each chunk counts its own. Frames are read once for the sizes of ranges and once for the vote; only sessions of several chunks are read for neighbours.
     """
-    session = Window.partitionBy("session_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
     empty = F.col("class_id").isNull()
-    rows = frames.withColumn("_none", empty).withColumn("_epoch", F.sum(empty.cast("long")).over(session))
-    last = Window.partitionBy("session_id", "_epoch", "_none").orderBy("frame_index").rowsBetween(1 - window, 0)
+    rows = with_neighbours(frames, window - 1, 0, "frame_index", chunk).withColumn("_none", empty)
+    rows = rows.withColumn("_epoch", F.sum(empty.cast("long")).over(chunk_window("frame_index").rowsBetween(Window.unboundedPreceding, 0)))
+    last = chunk_window("frame_index", "_epoch", "_none").rowsBetween(1 - window, 0)
     decimal = F.col("conf").cast("decimal(28,17)")
     per_class = []
     for k in range(classes):
@@ -67,7 +71,7 @@ def vote(
     passed = open_ & (F.col("vote_ratio") >= least_ratio) & enough
     rows = rows.withColumn("stable_id", F.when(passed, F.col("_top.k")))
     label = F.when(empty, F.lit(no_face_label)).when(passed, class_name(F.col("_top.k"))).otherwise(F.lit(NEUTRAL))
-    return rows.withColumn("stable_label", label).drop("_none", "_epoch", "_top")
+    return rows.withColumn("stable_label", label).where(~F.col("_halo")).drop("_none", "_epoch", "_top", "_chunk", "_halo")
 
 
 def frame_log(voted: DataFrame, fps: float = 30.0, no_face_label: str = "no_face") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.expr import CLASSES, NEUTRAL, half_even, percent
+from larkspur.operators.chunks import CHUNK, chunk_window, matching, with_neighbours
 
 LABELS = [*CLASSES, NEUTRAL]
 
@@ -44,17 +45,21 @@ def first_seen_top(label: Column, order: Column, over=None, labels: list[str] =
     return F.array_max(F.array(*parts)).getField("label")
 
 
-def centered_mode(history: DataFrame, reach: int = 2) -> DataFrame:
+def _smoothed(history: DataFrame, reach: int, chunk: int) -> DataFrame:
+    """``history`` with smoothed and _before, the smoothed label of the row before; a session is dealt in chunks with ``reach`` rows on either side and one more ahead."""
+    rows = with_neighbours(history, reach + 1, reach, "i", chunk)
+    rows = rows.withColumn("smoothed", first_seen_top(F.col("emotion"), F.col("i"), chunk_window("i").rowsBetween(-reach, reach)))
+    return rows.withColumn("_before", F.lag("smoothed").over(chunk_window("i"))).where(~F.col("_halo")).drop("_chunk", "_halo")
+
+
+def centered_mode(history: DataFrame, reach: int = 2, chunk: int = CHUNK) -> DataFrame:
     """``history`` with smoothed: the commonest of up to ``reach`` rows on either side and the row itself."""
-    around = Window.partitionBy("session_id").orderBy("i").rowsBetween(-reach, reach)
-    return history.withColumn("smoothed", first_seen_top(F.col("emotion"), F.col("i"), around))
+    return _smoothed(history, reach, chunk).drop("_before")
 
 
-def transitions(history: DataFrame) -> DataFrame:
+def transitions(history: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """session_id, i, t, emotion of rows whose smoothed label differs from the one before."""
-    rows = centered_mode(history)
-    before = F.lag("smoothed").over(Window.partitionBy("session_id").orderBy("i"))
-    return rows.withColumn("_before", before).where(F.col("_before") != F.col("smoothed")).select(
+    return _smoothed(history, 2, chunk).where(F.col("_before") != F.col("smoothed")).select(
         "session_id", "i", half_even(F.col("timestamp")).cast("int").alias("t"), F.col("smoothed").alias("emotion")
     )
 
@@ -70,74 +75,86 @@ def _tick_times(duration: Column, step: Column) -> Column:
     return F.sequence(F.lit(0), F.greatest(F.floor(duration).cast("int"), F.lit(0)), step)
 
 
-ROW, TICK, CHANGE, WANTED = range(4)
+#: Steps between ticks, by the session's length, and what divides them all.
+STEPS, CELL = [10, 20, 30], 10
 
 
-def _points(history: DataFrame, reach: float, least_share: float) -> DataFrame:
-    """session_id, t, tick, change and wanted: at each second the label of its tick and of the last transition, null for none.
+def _in_reach(history: DataFrame, reach: float) -> DataFrame:
+    """session_id, step, t, classes, rows and top: counts and the commonest class of the rows within ``reach`` of a tick, for ticks of any step.
 
-    One more row a session, with a null t, has as ``wanted`` the best row (o, emotion, t) of each class of ``least_share`` percent or more. The history
-    is read once and dealt once, by session: rows become items, the session's last row brings the ticks, and all that follows
-    is windows and groups within a session. The nearest row of a tick is the last before it or the first after it, found by running extremes.
+    A row has one tick of each step that it can belong to, so the band is an equality of keys, and counts of a task come first.
     """
-    session = Window.partitionBy("session_id")
-    in_order = session.orderBy("i")
-    rows = centered_mode(history).withColumns({
-        "_before": F.lag("smoothed").over(in_order), "_duration": F.max_by("timestamp", "i").over(session), "_end": F.max("i").over(session), "_n": F.count(F.lit(1)).over(session),
-        **{f"_n_{c}": F.count_if(F.col("emotion") == c).over(session) for c in CLASSES},
-        **{f"_best_{c}": F.max(F.when(F.col("emotion") == c, F.struct(F.coalesce("confidence", F.lit(0.0)).alias("conf"), (-F.col("i")).alias("k"), "timestamp"))).over(session) for c in CLASSES},
-    })
-    step, number = step_seconds(F.col("_duration")), F.col("i").cast("long")
-    none = F.lit(None).cast("array<struct<t:int,o:int,emotion:string>>")
-    item = lambda kind, time, t, emotion, i, wanted=none: F.struct(
-        F.lit(kind).alias("kind"), time.cast("double").alias("time"), t.cast("int").alias("t"), emotion.alias("emotion"), i.alias("i"), wanted.alias("wanted")
+    near = lambda s: F.struct(F.lit(s).alias("step"), (half_even(F.col("timestamp") / s) * s).cast("int").alias("t"))
+    ours = history.select("session_id", "i", "emotion", "timestamp", F.explode(F.array(*map(near, STEPS))).alias("at")).where(F.abs(F.col("timestamp") - F.col("at.t")) <= reach)
+    return ours.groupBy("session_id", F.col("at.step").alias("step"), F.col("at.t").alias("t")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("emotion").isin(CLASSES)).alias("classes"), first_seen_top(F.col("emotion"), F.col("i"), labels=CLASSES).alias("top")
     )
-    null = F.lit(None)
-    text, long = null.cast("string"), null.cast("long")
-    best = [F.struct(half_even(F.col(f"_best_{c}.timestamp")).cast("int").alias("t"), F.lit(k).alias("o"), F.lit(c).alias("emotion")) for k, c in enumerate(CLASSES)]
-    wanted = F.array_compact(F.array(*(F.when(percent(F.col(f"_n_{c}"), F.col("_n"), 1) >= least_share, b) for c, b in zip(CLASSES, best, strict=True))))
-    own = F.array(
-        item(ROW, F.col("timestamp"), half_even(F.col("timestamp") / step) * step, F.col("emotion"), number),
-        F.when(F.col("_before") != F.col("smoothed"), item(CHANGE, F.col("timestamp"), half_even(F.col("timestamp")), F.col("smoothed"), number)),
-        F.when(F.col("i") == F.col("_end"), item(WANTED, null, null, text, long, wanted)),
-    )
-    every = F.when(F.col("i") == F.col("_end"), F.transform(_tick_times(F.col("_duration"), step), lambda t: item(TICK, t, t, text, long)))
-    items = rows.select("session_id", F.inline(F.array_compact(F.concat(own, F.coalesce(every, F.array_remove(F.array(own[0]), own[0]))))))
-    seen = lambda i: F.when(F.col("kind") == ROW, F.struct("time", i.alias("i"), "emotion"))
-    items = items.withColumns({
-        "earlier": F.max(seen(-F.col("i"))).over(session.orderBy("time")), "later": F.min(seen(F.col("i"))).over(session.orderBy(F.col("time").desc())),
-    })
-    of = lambda kind, c: F.when(F.col("kind") == kind, c)
-    label = of(ROW, F.col("emotion"))
-    points = items.where((F.col("kind") != ROW) | (F.abs(F.col("time") - F.col("t")) <= reach)).groupBy("session_id", "t").agg(
-        F.count_if(F.col("kind") == TICK).alias("ticks"), F.count_if(F.col("kind") == ROW).alias("rows"), F.count_if(label.isin(CLASSES)).alias("classes"),
-        first_seen_top(label, F.col("i"), labels=CLASSES).alias("top"), F.max(of(TICK, F.col("earlier"))).alias("earlier"), F.max(of(TICK, F.col("later"))).alias("later"),
-        F.max(of(CHANGE, F.struct("i", "emotion"))).alias("last"), F.max(of(WANTED, F.col("wanted"))).alias("wanted"),
+
+
+def _nearest(history: DataFrame, tick_rows: DataFrame) -> DataFrame:
+    """session_id, step, t of ``tick_rows`` and nearest: the label of the row closest in time, the earlier row among equals.
+
+    Ticks lie on the bounds of cells of ``CELL`` seconds, so a cell's first and last rows, found map-side, stand for all its rows; running extremes carry them over empty
+    cells. The window over a session sees two rows a cell, never the history.
+    """
+    own, number = history.where(F.col("timestamp").isNotNull()), F.col("i").cast("long")
+    cells = own.groupBy("session_id", F.floor(F.col("timestamp") / CELL).alias("cell")).agg(
+        F.max(F.struct(F.col("timestamp").cast("double").alias("time"), (-number).alias("i"), "emotion")).alias("last"),
+        F.min(F.struct(F.col("timestamp").cast("double").alias("time"), number.alias("i"), "emotion")).alias("first"),
     )
+    none = F.lit(None).cast("struct<time:double,i:bigint,emotion:string>")
+    edges = cells.select("session_id", F.explode(F.array(
+        F.struct(F.col("last.time").alias("time"), "last", none.alias("first")), F.struct(F.col("first.time").alias("time"), none.alias("last"), "first"),
+    )).alias("x")).select("session_id", F.lit(None).cast("int").alias("step"), F.lit(None).cast("int").alias("t"), "x.*")
+    marks = tick_rows.select("session_id", "step", "t", F.col("t").cast("double").alias("time"), none.alias("last"), none.alias("first"))
+    session = Window.partitionBy("session_id")
+    found = edges.unionAll(marks).withColumns({
+        "earlier": F.max("last").over(session.orderBy("time")), "later": F.min("first").over(session.orderBy(F.col("time").desc())),
+    }).where(F.col("t").isNotNull())
     left, right = F.struct(F.col("t") - F.col("earlier.time"), -F.col("earlier.i")), F.struct(F.col("later.time") - F.col("t"), F.col("later.i"))
     nearest = F.when(F.col("earlier").isNull() | F.col("later").isNotNull() & (right < left), F.col("later.emotion")).otherwise(F.col("earlier.emotion"))
-    tick = F.when(F.col("classes") > 0, F.col("top")).when(F.col("rows") > 0, F.lit(NEUTRAL)).otherwise(nearest)
-    return points.select("session_id", "t", F.when(F.col("ticks") > 0, tick).alias("tick"), F.col("last.emotion").alias("change"), "wanted")
+    return found.select("session_id", "step", "t", nearest.alias("nearest"))
 
 
 def tick_labels(history: DataFrame, reach: float = 4.0) -> DataFrame:
     """session_id, t, emotion of every tick.
 
     The commonest class among rows within ``reach`` seconds, neutral if they are all neutral; without any, the nearest row's label, the earlier
-    row among equals. As ``reach`` is under half a step, a row has one tick it can belong to, so the band is an equality of keys.
+    row among equals. ``reach`` is under half a step. No row meets another of its session but in counts and extremes made map-side.
+    """
+    found = _nearest(history, ticks(history))
+    rows = matching(found, _in_reach(history, reach), ["session_id", "step", "t"], "left")
+    label = F.when(F.col("classes") > 0, F.col("top")).when(F.col("rows") > 0, F.lit(NEUTRAL)).otherwise(F.col("nearest"))
+    return rows.select("session_id", "t", label.alias("emotion"))
+
+
+def _points(history: DataFrame, reach: float, least_share: float, chunk: int) -> DataFrame:
+    """session_id, t, emotion and wanted: at each second the label of the last transition, or else of its tick.
+
+    One more row a session, with a null t, has as ``wanted`` the best row (t, o, emotion) of each class of ``least_share`` percent or more.
     """
-    return _points(history, reach, 2.0).where(F.col("tick").isNotNull()).select("session_id", "t", F.col("tick").alias("emotion"))
+    labels = tick_labels(history, reach).select("session_id", "t", F.col("emotion").alias("tick"), F.lit(None).cast("struct<i:bigint,emotion:string>").alias("change"))
+    changes = transitions(history, chunk).select("session_id", "t", F.lit(None).cast("string").alias("tick"), F.struct(F.col("i").cast("long").alias("i"), "emotion").alias("change"))
+    points = labels.unionAll(changes).groupBy("session_id", "t").agg(F.max("tick").alias("tick"), F.max("change").alias("change"))
+    points = points.select("session_id", "t", F.coalesce("change.emotion", "tick").alias("emotion"), F.lit(None).cast("array<struct<t:int,o:int,emotion:string>>").alias("wanted"))
+    best = lambda c: F.max(F.when(F.col("emotion") == c, F.struct(F.coalesce("confidence", F.lit(0.0)).alias("conf"), (-F.col("i")).alias("k"), "timestamp")))
+    own = history.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("emotion") == c).alias(f"n_{c}") for c in CLASSES), *(best(c).alias(f"best_{c}") for c in CLASSES)
+    )
+    row = lambda k, c: F.struct(half_even(F.col(f"best_{c}.timestamp")).cast("int").alias("t"), F.lit(k).alias("o"), F.lit(c).alias("emotion"))
+    wanted = F.array_compact(F.array(*(F.when(percent(F.col(f"n_{c}"), F.col("n"), 1) >= least_share, row(k, c)) for k, c in enumerate(CLASSES))))
+    return points.unionAll(own.select("session_id", F.lit(None).cast("int").alias("t"), F.lit(None).cast("string").alias("emotion"), wanted.alias("wanted")))
 
 
-def timeline(history: DataFrame, least_share: float = 2.0, most_points: int = 12, reach: float = 4.0) -> DataFrame:
+def timeline(history: DataFrame, least_share: float = 2.0, most_points: int = 12, reach: float = 4.0, chunk: int = CHUNK) -> DataFrame:
     """session_id, t, o (order at equal times), emotion of the report's points.
 
     Ticks and transitions by second, a later transition replacing what stood there; neutral points go; a class with ``least_share`` percent or
     more that is left without a point gets its most confident row; more than ``most_points`` points are thinned to evenly spaced
-    ones and each class's first. One exchange, by session.
+    ones and each class's first. Windows over a session see its points, never its rows.
     """
     session = Window.partitionBy("session_id")
-    rows = _points(history, reach, least_share).withColumn("emotion", F.coalesce("change", "tick")).where(F.col("wanted").isNotNull() | (F.col("emotion") != NEUTRAL))
+    rows = _points(history, reach, least_share, chunk).where(F.col("wanted").isNotNull() | (F.col("emotion") != NEUTRAL))
     rows = rows.withColumn("present", F.collect_set("emotion").over(session))
     own = F.array(F.struct("t", F.lit(-1).alias("o"), "emotion"))
     missing = F.filter("wanted", lambda x: ~F.array_contains("present", x.emotion))

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import expr as X
 from larkspur.operators import annotations, frames, history, quiz, report, split
+from larkspur.operators.chunks import matching
 from larkspur.session import new_folder
 from larkspur.streaming import vote
 
@@ -39,10 +40,11 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, i, timestamp, emotion, confidence; an hour counts as a quarter to a whole second."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    first = F.min(us).over(Window.partitionBy("user_id"))
+    events = table(spark, sf_dir, "events")
+    rows = matching(events, events.groupBy("user_id").agg(F.min(us).alias("first")), ["user_id"])
     label = F.coalesce(F.get(F.array(*map(F.lit, X.CLASSES)), _event_class()), F.lit(X.NEUTRAL))
-    time = (us - first).cast("double") / F.lit(3.6e9) * ((F.col("user_id") % 4 + 1) / F.lit(4.0))
-    return table(spark, sf_dir, "events").select(
+    time = (us - F.col("first")).cast("double") / F.lit(3.6e9) * ((F.col("user_id") % 4 + 1) / F.lit(4.0))
+    return rows.select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("i"), time.alias("timestamp"), label.alias("emotion"), F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence")
     )
 
