@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.expr import NEUTRAL, half_even, ratio
 from larkspur.operators.quiz import interpretation, sentence
+from larkspur.session import names_in, put_text
 
 # What a record holds where the payload has nothing.
 DEFAULTS = {
@@ -38,9 +39,27 @@ def records(payloads: DataFrame, completed_at=None) -> DataFrame:
     })
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Append to the store, partitioned by user; earlier files are never rewritten."""
-    rows.write.mode("append").partitionBy("nim").parquet(path)
+def append(rows: DataFrame, path: str, batch: str) -> bool:
+    """Append a batch to the store, partitioned by user; whether it was new.
+
+    The name of a batch is its key: a batch is written to a folder of its own and then entered in the store's ledger, so one that failed half way is replaced by its
+    retry and one that is in the ledger is left alone. Earlier files are never rewritten.
+    """
+    spark = rows.sparkSession
+    if batch in names_in(spark, f"{path}/_ledger"):
+        return False
+    rows.write.mode("overwrite").partitionBy("nim").parquet(f"{path}/batch={batch}")
+    put_text(spark, f"{path}/_ledger/{batch}", "")
+    return True
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the batches in the ledger, with ``batch`` and ``nim`` from their folders; ``schema`` names the other columns. A missing store is empty."""
+    batches = names_in(spark, f"{path}/_ledger")
+    kinds = f"{schema}, batch string, nim string"
+    if not batches:
+        return spark.createDataFrame([], kinds)
+    return spark.read.schema(kinds).option("basePath", path).parquet(*(f"{path}/batch={b}" for b in batches))
 
 
 def of_user(history: DataFrame, nim: str) -> DataFrame:

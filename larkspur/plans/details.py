@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import expr as X
 from larkspur.operators import annotations, frames, history, quiz, report, split
-from larkspur.plans.queries import CLASS_SQL, HISTORY_SQL, NAME_SQL, POINT_SQL, SMOOTH_SQL, TICK_SQL, VOTE_SQL, event_frames, event_history, table
+from larkspur.operators.chunks import matching
+from larkspur.plans.queries import CLASS_SQL, HISTORY_SQL, NAME_SQL, POINT_SQL, SMOOTH_SQL, TICK_SQL, VOTE_SQL, event_frames, event_history, table, timed_frames
 from larkspur.session import new_folder
 from larkspur.sources import annotations as sources
-from larkspur.streaming import vote
+from larkspur.streaming import lifecycle, vote
+from larkspur.streaming.keyed import KeyedTable
 
 
 # --- detections
@@ -72,14 +74,15 @@ def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams
 
 
-def _stream(spark: SparkSession, rows: DataFrame, summary: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``summary`` of a stream over ``rows``, as it stands when all are read."""
+def _kept(spark: SparkSession, rows: DataFrame, summary: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """``summary`` of a stream over ``rows`` in two deliveries, kept in a table by key that each batch updates in place."""
     path = new_folder(spark, "stream")
-    rows.write.parquet(f"{path}/in")
-    stream = summary(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
-    sink = stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}/state")
-    sink.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    kept = KeyedTable(spark, f"{path}/table", keys)
+    for k in (0, 1):
+        rows.where(F.col("frame_index") % 2 == k).write.mode("append").parquet(f"{path}/in")
+        stream = summary(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        kept.sink(stream, f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    return kept.read(stream.schema)
 
 
 def _voted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,24 +90,36 @@ def _voted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, _voted(spark, sf_dir), vote.running_distribution)
+    return _kept(spark, _voted(spark, sf_dir), vote.running_distribution, ["session_id", "stable_label"])
 
 
 def running_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, _voted(spark, sf_dir), vote.latest).withColumn("avg_confidence", F.bround("avg_confidence", 9))
+    return _kept(spark, _voted(spark, sf_dir), vote.latest, ["session_id"]).withColumn("avg_confidence", F.bround("avg_confidence", 9))
 
 
 def session_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even sessions end after the first half of the frames, which deletes their state; the second half comes in a later run."""
-    path = new_folder(spark, "stream")
-    rows = event_frames(spark, sf_dir)
+    """Even sessions end with their last frame of the first half, which deletes their state; the second half comes later and starts them anew."""
+    rows = timed_frames(spark, sf_dir)
     middle = rows.agg(F.floor(F.max("frame_index") / 2).alias("m")).first().m
-    rows = rows.withColumn("ended", (F.col("session_id") % 2 == 0) & (F.col("frame_index") <= middle))
-    for k, part in enumerate((rows.where(F.col("frame_index") <= middle), rows.where(F.col("frame_index") > middle))):
+    ends = rows.where((F.col("session_id") % 2 == 0) & (F.col("frame_index") <= middle)).groupBy("session_id").agg(F.max("frame_index").alias("end"))
+    rows = matching(rows, ends, ["session_id"], "left").withColumn("ended", F.coalesce(F.col("frame_index") == F.col("end"), F.lit(False))).drop("end")
+    parts = [rows.where(F.col("frame_index") <= middle), rows.where(F.col("frame_index") > middle)]
+    found = vote.delivered(spark, parts, new_folder(spark, "stream"), {"delay": "1 day", "cell_seconds": 432_000})
+    return found.where("not late").select("session_id", "frame_index", "stable_label", "votes")
+
+
+def active_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks, views and errors between a sign-up and each purchase of the same user in the three days after it, as a join of three streams."""
+    path = new_folder(spark, "stream")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_index"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    end = spark.sql("SELECT -1L AS session_id, -1L AS frame_index, timestamp'2200-01-01' AS ts, explode(array('signup', 'purchase', 'view')) AS event_type")
+    for part in (rows.where("frame_index % 2 = 0"), rows.where("frame_index % 2 = 1").unionByName(end)):
         part.write.mode("append").parquet(f"{path}/in")
-        sink = vote.vote_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in")).writeStream.format("parquet").outputMode("append")
-        sink.trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start(f"{path}/out").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("session_id", "frame_index", "stable_label", "votes")
+        every = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        starts, stops = (every.where(F.col("event_type") == kind).withColumnRenamed("ts", name) for kind, name in (("signup", "started"), ("purchase", "stopped")))
+        found = lifecycle.active_frames(every.where(~F.col("event_type").isin("signup", "purchase")), starts, stops, "3 days", "40 days")
+        vote.run_to_end(found, path)
+    return spark.read.parquet(f"{path}/rows").select("session_id", "frame_index", *(F.unix_micros(c).alias(c) for c in ("started", "stopped")))
 
 
 # --- reports and study records
@@ -201,15 +216,24 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders appended in two goes to a store partitioned by user, and one user's, newest first."""
+    """Orders appended in two batches, the second of them twice, to a store partitioned by user; one user's rows, newest first."""
     path = new_folder(spark, "store")
     rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).cast("string").alias("nim"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"))
-    for k in (0, 1):
-        history.append(rows.where(F.col("seq") % 2 == k), path)
-    found = history.of_user(spark.read.schema("seq long, status string, nim string").parquet(path), "7")
+    for k in (0, 1, 1):
+        history.append(rows.where(F.col("seq") % 2 == k), path, f"orders-{k}")
+    found = history.of_user(history.stored(spark, path, "seq long, status string"), "7")
     return found.select("nim", "seq", "status")
 
 
+def history_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every user in a store that got each of three batches twice."""
+    path = new_folder(spark, "store")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).cast("string").alias("nim"), F.col("o_orderkey").alias("seq"))
+    for k in (0, 1, 2, 0, 1, 2):
+        history.append(rows.where(F.col("seq") % 3 == k), path, f"orders-{k}")
+    return history.stored(spark, path, "seq long").groupBy("nim").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("total"), F.count_distinct("batch").alias("batches"))
+
+
 def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.date_format(F.col("ts").cast("timestamp"), "dd MMM yyyy, HH:mm")
     return table(spark, sf_dir, "events").select("event_id", text.alias("text")).withColumn("back", F.date_format(history.completed_time(F.col("text")), "yyyy-MM-dd HH:mm"))
@@ -371,8 +395,8 @@ def split_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        largest_face, confident, label_masks, captures, frame_rates, session_summary, running_counts, running_latest, session_lifecycle, empty_sessions, active_sessions, synthetic_timeline, coding_score,
-        module_document, first_module, question_options, answer_counts, time_gates, history_records, missing_fields, history_store, time_stamps, number_parse, rounding, time_formats, name_forms, label_levels,
+        largest_face, confident, label_masks, captures, frame_rates, session_summary, running_counts, running_latest, session_lifecycle, active_frames, empty_sessions, active_sessions, synthetic_timeline, coding_score,
+        module_document, first_module, question_options, answer_counts, time_gates, history_records, missing_fields, history_store, history_totals, time_stamps, number_parse, rounding, time_formats, name_forms, label_levels,
         letters, label_scan, named_folders, class_folders, class_description, frame_log_csv, best_epoch, run_arguments, run_log, copy_manifest, stem_collisions, split_markdown, split_ratios,
     )
 }
@@ -403,6 +427,8 @@ ORACLES: dict[str, str] = {
     "running_counts": f"WITH {VOTE_SQL} SELECT session_id, stable_label, count(*) AS n FROM s GROUP BY 1, 2",
     "running_latest": f"WITH {VOTE_SQL} SELECT session_id, max(frame_index) AS frame_index, arg_max(stable_label, frame_index) AS stable_label, round_even(arg_max(avg_confidence, frame_index), 9) AS avg_confidence FROM s GROUP BY 1",
     "session_lifecycle": f"WITH {LIFE_SQL} SELECT session_id // 10 AS session_id, frame_index, stable_label, votes FROM s",
+    "active_frames": "SELECT f.user_id AS session_id, f.event_id AS frame_index, epoch_us(a.ts) AS started, epoch_us(b.ts) AS stopped FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 3 DAYS "
+    "JOIN events f ON f.user_id = a.user_id AND f.event_type NOT IN ('signup', 'purchase') AND f.ts BETWEEN a.ts AND b.ts",
     "empty_sessions": f"WITH {HISTORY_SQL}, {SMOOTH_SQL}, {TICK_SQL}, {POINT_SQL}, pn AS (SELECT session_id, count(*) AS points FROM (SELECT session_id FROM al WHERE n <= 12 UNION ALL SELECT session_id FROM kept) GROUP BY 1), "
     f"d AS (SELECT session_id, count(*) AS f, round_even(arg_max(timestamp, i), 0) AS du, {SHARE_CASES} FROM h GROUP BY 1) SELECT c_custkey AS session_id, CASE WHEN f IS NULL THEN 'neutral' ELSE ['engaged', 'confused', 'bored', 'frustrated'][list_position([p0, p1, p2, p3], greatest(p0, p1, p2, p3))] END AS dominant, "
     "coalesce(f, 0) AS total_frames, coalesce(du, 0.0) AS duration, coalesce(p2, 0.0) AS bored, coalesce(points, 0) AS points FROM customer LEFT JOIN d ON c_custkey = d.session_id LEFT JOIN pn ON c_custkey = pn.session_id",
@@ -423,6 +449,7 @@ ORACLES: dict[str, str] = {
     "FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0",
     "missing_fields": "SELECT concat_ws(',', CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 'name' END, CASE WHEN o_orderkey % 17 = 0 THEN 'module_id' END) AS missing, count(*) AS n FROM orders GROUP BY 1",
     "history_store": "SELECT '7' AS nim, o_orderkey AS seq, o_orderstatus AS status FROM orders WHERE o_custkey % 20 = 7",
+    "history_totals": "SELECT CAST(o_custkey % 20 AS VARCHAR) AS nim, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total, count(DISTINCT o_orderkey % 3) AS batches FROM orders GROUP BY 1",
     "time_stamps": "SELECT event_id, strftime(ts, '%d %b %Y, %H:%M') AS text, strftime(ts, '%Y-%m-%d %H:%M') AS back FROM events",
     "number_parse": "WITH p AS (SELECT p_partkey, ['12', '-3.9', '1_0', '5d', '.5', '7.', '1e2', 'nan', 'inf', 'x', '+4', '2147483648'][p_partkey % 12 + 1] AS tok FROM part WHERE p_partkey <= 120) SELECT p_partkey, tok, CAST(CASE tok WHEN '12' THEN 12.0 WHEN '-3.9' THEN -3.9 WHEN '.5' THEN 0.5 WHEN '7.' THEN 7.0 WHEN '1e2' THEN 100.0 WHEN '+4' THEN 4.0 "
     "WHEN '2147483648' THEN 2147483648.0 END AS DOUBLE) AS value, CAST(CASE tok WHEN '12' THEN 12 WHEN '-3.9' THEN -3 WHEN '.5' THEN 0 WHEN '7.' THEN 7 WHEN '1e2' THEN 100 WHEN '+4' THEN 4 END AS INTEGER) AS whole, CAST(CASE tok WHEN '12' THEN 12 WHEN '+4' THEN 4 END AS INTEGER) AS strict FROM p",

@@ -308,27 +308,28 @@ def file_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations.valid_files(files, _lines(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("num_bboxes").alias("num_bboxes"))
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    """Asks the path's own file system, whichever store that is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+def timed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with their time, as a stream has them."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_index"), F.col("ts").cast("timestamp").alias("ts"), _event_class().alias("class_id"),
+        F.least(F.col("value") / 100, F.lit(1.0)).alias("conf"), F.lit(False).alias("ended"),
+    )
 
 
 def stream_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vote as a stream over the events' files, run until they are read; the same rows as ``vote_smoothing``."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema)
-    # A stream reads folders only: one of part files as it is, a single file by its name in the folder above.
-    raw = stream.parquet(f"{sf_dir}/events.parquet") if _is_folder(spark, f"{sf_dir}/events.parquet") else stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = raw.select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_index"), _event_class().alias("class_id"),
-        F.least(F.col("value") / 100, F.lit(1.0)).alias("conf"), F.lit(False).alias("ended"),
-    )
-    path = new_folder(spark, "stream")
-    sink = vote.vote_stream(rows).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-    sink.option("checkpointLocation", f"{path}/state").start(f"{path}/rows").awaitTermination()
-    found = spark.read.parquet(f"{path}/rows")
-    return found.select("session_id", "frame_index", "stable_label", F.bround("vote_ratio", 9).alias("vote_ratio"), F.bround("avg_confidence", 9).alias("avg_confidence"), "votes")
+    """The vote as a stream over two deliveries, each with frames of all times out of order; the same rows as ``vote_smoothing``."""
+    rows = timed_frames(spark, sf_dir)
+    parts = [rows.where("frame_index % 3 = 1"), rows.where("frame_index % 3 <> 1")]
+    found = vote.delivered(spark, parts, new_folder(spark, "stream"), {"delay": "40 days", "cell_seconds": 864_000})
+    return found.where("not late").select("session_id", "frame_index", "stable_label", F.bround("vote_ratio", 9).alias("vote_ratio"), F.bround("avg_confidence", 9).alias("avg_confidence"), "votes")
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh frame of the first ten days comes after the watermark has passed them: given with a flag, and no part of the vote."""
+    rows = timed_frames(spark, sf_dir)
+    late = (F.col("frame_index") % 7 == 0) & (F.col("ts") < F.lit("2024-01-10").cast("timestamp"))
+    found = vote.delivered(spark, [rows.where(~late), rows.where(late)], new_folder(spark, "stream"), {"delay": "1 day", "cell_seconds": 864_000})
+    return found.select("session_id", "frame_index", "stable_label", "votes", "late")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -336,7 +337,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         vote_smoothing, vote_counts, frame_log, class_distribution, dominant_class, top_shares, centered_mode, transitions, timeline_ticks, session_timeline,
         session_latest, stratified_split, split_report, split_imbalance, split_readiness, pairing_rejects, pairing_totals, remap_union, class_names, largest_item,
-        image_priority, latest_per_key, quiz_score, rule_class, history_stats, json_props, token_parse, file_validation, stream_vote,
+        image_priority, latest_per_key, quiz_score, rule_class, history_stats, json_props, token_parse, file_validation, stream_vote, stream_late,
     )
 }
 
@@ -372,8 +373,12 @@ ru AS (
 qs AS (
   SELECT attempt_id, module_id, total, correct, concept_total, concept_correct, problem_solving_total, problem_solving_correct, score, concept_score_pct, problem_solving_score_pct, {SENTENCE_SQL} AS interpretation FROM ru)"""
 
+LATE_ROWS = "event_id % 7 = 0 AND ts < TIMESTAMP '2024-01-10'"
+LATE_SQL = VOTE_SQL.replace("AS conf FROM events)", f"AS conf FROM events WHERE NOT ({LATE_ROWS}))")
+
 ORACLES: dict[str, str] = {
     "stream_vote": f"WITH {VOTE_SQL} SELECT session_id, frame_index, stable_label, round_even(vote_ratio, 9) AS vote_ratio, round_even(avg_confidence, 9) AS avg_confidence, votes FROM s",
+    "stream_late": f"WITH {LATE_SQL} SELECT session_id, frame_index, stable_label, votes, false AS late FROM s UNION ALL SELECT user_id, event_id, NULL, CAST(0 AS INTEGER), true FROM events WHERE {LATE_ROWS}",
     "vote_smoothing": f"WITH {VOTE_SQL} SELECT session_id, frame_index, stable_label, round_even(vote_ratio, 9) AS vote_ratio, round_even(avg_confidence, 9) AS avg_confidence, votes FROM s",
     "vote_counts": f"WITH {VOTE_SQL} SELECT session_id, count(*) AS frames, count(*) FILTER (WHERE class_id IS NULL) AS without_face, count(*) FILTER (WHERE stable_label = 'neutral') AS neutral, "
     + ", ".join(f"count(*) FILTER (WHERE class_id = {k}) AS raw_{c}, count(*) FILTER (WHERE stable_label = '{c}') AS stable_{c}" for k, c in enumerate(X.CLASSES)) + " FROM s GROUP BY 1",

@@ -66,3 +66,35 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder in whichever store it lies; a missing one is no error."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder of whichever store; none for a missing one."""
+    fs, at = _place(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole or not at all: under another name first, then renamed over an older one."""
+    fs, at = _place(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f"_{uuid.uuid4().hex}")
+    out = fs.create(part)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    fs.rename(part, at)
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    fs, at = _place(spark, path)
+    source = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()

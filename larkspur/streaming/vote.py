@@ -1,4 +1,4 @@
-"""The sliding vote on streams, with per-session state, and the running figures of live sessions."""
+"""The sliding vote on streams, with per-session state and a reorder buffer, and the running figures of live sessions."""
 
 from __future__ import annotations
 
@@ -9,16 +9,19 @@ from decimal import Decimal
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from larkspur.functions.expr import CLASSES, NEUTRAL
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OUTPUT = "session_id long, frame_index long, stable_label string, vote_ratio double, avg_confidence double, votes int"
-STATE = "classes array<int>, confidences array<double>, seen long"
+OUTPUT = "key string, frame_index long, stable_label string, vote_ratio double, avg_confidence double, votes int, late boolean"
+STATE = "classes array<int>, confidences array<double>, done long, last long"
+#: Frames of a cell that wait for the watermark; class -1 is no face.
+WAITING = "frame_index array<long>, class_id array<int>, conf array<double>, ended array<boolean>"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Buffer:
@@ -45,42 +48,116 @@ class Buffer:
         return (CLASSES[top] if passed else NEUTRAL), votes / n, mean
 
 
+class VoteProcessor(StatefulProcessor):
+    """A session's vote: frames wait in cells of event time until the watermark has passed a cell, then go through the buffer in frame order.
+
+    Value state holds the buffer, the last cell done and the time of the last frame; map state holds the waiting cells by number, so a batch touches only the cells that it has
+    rows for, and a timer at each cell's end takes them out.
+    """
+
+    def __init__(self, window: int, gates: tuple, no_face_label: str, cell_ms: int, idle_ms: int | None):
+        self.window, self.gates, self.no_face_label, self.cell_ms, self.idle_ms = window, gates, no_face_label, cell_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", STATE)
+        self.waiting = handle.getMapState("waiting", "cell long", WAITING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.session.get()
+        done = held[2] if held is not None else None
+        passed, late = timerValues.getCurrentWatermarkInMs(), []
+        for batch in rows:
+            batch = batch[batch["frame_index"].notna()]  # heartbeats only move the watermark
+            for cell, own in batch.groupby(batch["at"] // self.cell_ms):
+                cell = int(cell)
+                # What is done can't be done again in order; without state, the watermark tells what was.
+                if cell <= done if done is not None else (cell + 1) * self.cell_ms < passed and not self.waiting.containsKey((cell,)):
+                    late += own["frame_index"].tolist()
+                    continue
+                parts = [own["frame_index"].astype(int).tolist(), own["class_id"].fillna(-1).astype(int).tolist(), own["conf"].fillna(0.0).astype(float).tolist(), own["ended"].fillna(False).astype(bool).tolist()]
+                if self.waiting.containsKey((cell,)):
+                    parts = [[*a, *b] for a, b in zip(self.waiting.getValue((cell,)), parts, strict=True)]
+                self.waiting.updateValue((cell,), tuple(parts))
+                self.handle.registerTimer((cell + 1) * self.cell_ms)
+        return iter([_rows([(key[0], int(i), None, 0.0, 0.0, 0, True) for i in late])])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = self.session.get()
+        classes, confidences, done, last = held if held is not None else ([], [], None, 0)
+        buffer, out = Buffer(self.window, classes or [], confidences or []), []
+        ended = False
+        for cell in sorted(k[0] for k in self.waiting.keys()):
+            if (cell + 1) * self.cell_ms >= passed:
+                break
+            for index, class_id, conf, end in sorted(zip(*self.waiting.getValue((cell,)), strict=True)):
+                if ended:
+                    buffer, ended = Buffer(self.window), False
+                none = class_id < 0
+                buffer.add(None if none else class_id, conf)
+                label, share, mean = (self.no_face_label, 0.0, 0.0) if none else buffer.label(*self.gates)
+                out.append((key[0], index, label, share, mean, len(buffer.classes), False))
+                ended = bool(end)
+            self.waiting.removeKey((cell,))
+            done, last = cell, (cell + 1) * self.cell_ms
+        idle = self.idle_ms is not None and last + self.idle_ms < passed
+        if ended or idle:
+            self.session.clear()
+        elif out:
+            self.session.update((buffer.classes, buffer.confidences, done, last))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(last + self.idle_ms)
+        # Not a generator: its body would run when the state has moved on to another session.
+        return iter([_rows(out)])
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    kinds = {"long": "int64", "double": "float64", "int": "int32", "boolean": "bool", "string": "object"}
+    names = [x.split() for x in OUTPUT.split(", ")]
+    return pd.DataFrame(rows, columns=[n for n, _ in names]).astype({n: kinds[k] for n, k in names})
+
+
 def vote_stream(
     frames: DataFrame, window: int = 30, least_frames: int = 8, least_ratio: float = 0.40, least_confidence: float = 0.40,
-    no_face_label: str = "no_face", idle_ms: int | None = None,
+    no_face_label: str = "no_face", delay: str = "10 seconds", cell_seconds: float = 1.0, idle_seconds: float | None = None,
 ) -> DataFrame:
-    """Stream (session_id, frame_index, class_id, conf, ended) with the vote of every frame.
+    """Stream (session_id, frame_index, ts, class_id, conf, ended) with the vote of every frame; a flag tells the frames that came too late.
 
-    Frames of a batch are taken in frame order; one at or before the last seen is late and dropped. A frame without a class empties
-    the buffer. A row with ``ended`` deletes the session's state, as does ``idle_ms`` without rows.
+    Frames may come in any order within ``delay`` of event time: they wait until the watermark has passed their cell of ``cell_seconds``, so
+    the labels are those of the frames in order, however they were dealt into batches and files. A frame whose cell is done, or whose session has no state and whose cell the watermark has passed, comes out at
+    once with late set and no label; none is dropped. Within a session frames have the order of their times. A frame without a class empties the buffer; one with ``ended`` is a session's last and
+    deletes its state, as do ``idle_seconds`` of event time without frames. Rows without a frame_index are heartbeats, which only move the watermark.
+    State is kept in RocksDB, which this sets for the session.
     """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        classes, confidences, seen = state.get if state.exists else ([], [], -1)
-        buffer, out, ended = Buffer(window, classes, confidences), [], False
-        rows = pd.concat(batches).sort_values("frame_index", kind="stable")
-        for index, class_id, conf, end in zip(rows["frame_index"], rows["class_id"], rows["conf"], rows["ended"], strict=True):
-            ended = ended or bool(end)
-            if index <= seen:
-                continue
-            seen = int(index)
-            none = pd.isna(class_id)
-            buffer.add(None if none else int(class_id), None if pd.isna(conf) else float(conf))
-            label, share, mean = (no_face_label, 0.0, 0.0) if none else buffer.label(least_frames, least_ratio, least_confidence)
-            out.append((key[0], seen, label, share, mean, len(buffer.classes)))
-        if ended:
-            state.remove()
-        else:
-            state.update((buffer.classes, buffer.confidences, seen))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in OUTPUT.split(", ")])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return frames.groupBy("session_id").applyInPandasWithState(run, OUTPUT, STATE, "append", timeout)
+    spark = frames.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    # The time goes on as a plain number: rows behind the watermark would not reach the processor otherwise.
+    at = F.expr("unix_millis(ts + interval 0 seconds)").alias("at")
+    # Keys are never null, as state keys can't be; sessions without an id are one session.
+    key = F.coalesce(F.concat(F.lit("="), F.col("session_id").cast("string")), F.lit("")).alias("key")
+    rows = frames.withWatermark("ts", delay).select(key, "frame_index", at, "class_id", "conf", "ended")
+    processor = VoteProcessor(window, (least_frames, least_ratio, least_confidence), no_face_label, int(cell_seconds * 1000), None if idle_seconds is None else int(idle_seconds * 1000))
+    found = rows.groupBy("key").transformWithStateInPandas(processor, OUTPUT, "append", "EventTime")
+    session = F.when(F.col("key") != "", F.expr("substring(key, 2)")).cast(frames.schema["session_id"].dataType)
+    return found.select(session.alias("session_id"), *(c for c in found.columns if c != "key"))
+
+
+def run_to_end(stream: DataFrame, path: str, name: str = "rows") -> None:
+    """Add what a stream's source has to a Parquet folder under ``path``, with its progress beside it."""
+    sink = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    sink.option("checkpointLocation", f"{path}/{name}-progress").start(f"{path}/{name}").awaitTermination()
+
+
+def delivered(spark: SparkSession, parts: list[DataFrame], path: str, vote: dict) -> DataFrame:
+    """The votes over ``parts``, delivered and worked off one after the other; the last one is followed by a heartbeat that closes all cells."""
+    for k, part in enumerate(parts):
+        if k == len(parts) - 1:
+            end = part.sparkSession.sql("SELECT timestamp'2200-01-01' AS ts").select(*(F.col("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in part.dtypes))
+            part = part.unionByName(end)
+        part.write.mode("append").parquet(f"{path}/in")
+        run_to_end(vote_stream(spark.readStream.schema(parts[0].schema).parquet(f"{path}/in"), **vote), path)
+    return spark.read.parquet(f"{path}/rows")
 
 
 def running_distribution(labels: DataFrame) -> DataFrame:
@@ -99,12 +176,3 @@ def paced(writer, frames_a_second: int = 30):
     """A stream writer that works off what has come in once a frame."""
     return writer.trigger(processingTime=f"{1000 // frames_a_second} milliseconds")
 
-
-def simulated(spark, rows_per_second: int = 30, sessions: int = 4, seed: int = 1) -> DataFrame:
-    """A rate source as detections, the same labels for the same seed; for load tests only."""
-    raw = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    at = F.pmod(F.xxhash64("value", F.lit(seed)), F.lit(1000))
-    return raw.select(
-        F.pmod("value", F.lit(sessions)).alias("session_id"), F.floor(F.col("value") / sessions).alias("frame_index"),
-        F.when(at < 50, None).otherwise(F.pmod(at, F.lit(4))).cast("int").alias("class_id"), (0.4 + at / 2000).alias("conf"), F.lit(False).alias("ended"),
-    )

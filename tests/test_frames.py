@@ -7,7 +7,6 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from larkspur.operators import frames
-from larkspur.streaming.vote import vote_stream
 
 NAMES = ["engaged", "confused", "bored", "frustrated"]
 
@@ -61,23 +60,6 @@ def test_vote_equals_loop(spark):
         assert abs(r.vote_ratio - ratio) < 1e-12 and abs(r.avg_confidence - mean) < 1e-9
 
 
-def test_stream_equals_batch_over_batches(spark, tmp_path):
-    rows = made(seed=5, sessions=2, n=60)
-    source = tmp_path / "in"
-    for lo, hi in ((0, 25), (25, 60)):
-        part = [(*r, False) for r in rows if lo <= r[1] < hi]
-        spark.createDataFrame(part, "session_id long, frame_index long, class_id int, conf double, ended boolean").coalesce(1).write.mode("append").parquet(str(source))
-    schema = spark.read.parquet(str(source)).schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    out = vote_stream(raw).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
-    out.start(str(tmp_path / "out")).awaitTermination()
-    want = expected(rows)
-    found = spark.read.parquet(str(tmp_path / "out")).collect()
-    late = [r for r in found if (r.session_id, r.frame_index) not in want]
-    assert not late
-    assert all(r.stable_label == want[r.session_id, r.frame_index][0] for r in found)
-
-
 def test_largest_face(spark):
     box = lambda w, h, k=0: (k, 0.9, 0.0, 0.0, float(w), float(h))
     rows = [(1, 0, 100, 100, [box(10, 19)]), (1, 1, 100, 100, [box(10, 20)]), (1, 2, 100, 100, [box(20, 20, 1), box(20, 20, 2)]), (1, 3, 100, 100, []), (1, 4, 100, 100, None)]
