@@ -16,6 +16,7 @@ KEYS = ["source", "split", "stem"]
 NAME_TARGETS = {"engaged": 0, "confusion": 1, "boredom": 2, "frustration": 3, "confused": 1, "bored": 2, "frustrated": 3}
 # Class ids of the second source and what they become.
 SECOND_SOURCE_IDS = {0: 2, 1: 1, 2: 0, 3: 3}
+# Suffixes in the order in which an image is looked for.
 IMAGE_PRIORITY = [".jpg", ".jpeg", ".png"]
 
 

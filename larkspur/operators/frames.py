@@ -111,12 +111,22 @@ def captures(voted: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.withColumn("file_under", chosen).where(F.col("file_under").isNotNull())
 
 
-
 def label_masks(log: DataFrame, label: str = "stable_label") -> DataFrame:
     """``log`` with a flag column is_<class> per class, for plots that draw each class alone."""
     return log.withColumns({f"is_{c}": F.coalesce(F.col(label) == c, F.lit(False)) for c in CLASSES})
 
 
+def summary_lines(counts: DataFrame, settings: dict[str, object], captured: dict[str, int] | None = None) -> DataFrame:
+    """session_id, k, line: the lines of the Markdown summary of every row of ``label_counts``."""
+    names = [c for c in counts.columns if c != "session_id"]
+    text = summary_text({c: f"{{{c}}}" for c in names}, settings, captured)
+    lines = []
+    for line in text.split("\n"):
+        held = next((c for c in names if line.endswith(f"{{{c}}}")), None)
+        lines.append(F.lit(line) if held is None else F.concat(F.lit(line.removesuffix(f"{{{held}}}")), F.col(held).cast("string")))
+    return counts.select("session_id", F.posexplode(F.array(*lines)).alias("k", "line"))
+
+
 def summary_text(counts: dict, settings: dict[str, object], captured: dict[str, int] | None = None) -> str:
     """A Markdown summary of one session: its settings, a row of ``label_counts`` and the files captured per class."""
     lines = ["# Session summary", "", "## Settings", *(f"- {k}: {v}" for k, v in settings.items()), "", "## Frames"]

@@ -65,10 +65,9 @@ def frame_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Markdown summary of session 1, a row per line."""
-    found = frames.label_counts(frames.vote(event_frames(spark, sf_dir))).where("session_id = 1").first()
-    text = frames.summary_text(found.asDict(), {"window": 30, "least ratio": 0.4}, {"bored": 2})
-    return spark.createDataFrame([(k, line) for k, line in enumerate(text.split("\n"))], "k long, line string")
+    """The Markdown summary of every session, a row per line."""
+    counts = frames.label_counts(frames.vote(event_frames(spark, sf_dir)))
+    return frames.summary_lines(counts, {"window": 30, "least ratio": 0.4}, {"bored": 2})
 
 
 # --- streams
@@ -155,18 +154,17 @@ def coding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """50 modules whose questions are the parts, in key order."""
+    """Modules of twenty parts each as questions, in key order."""
     q = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("question"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("option_a"), F.col("p_type").alias("option_b"), F.array("p_brand", "p_type", "p_name").alias("options"))
-    rows = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 50).cast("int").alias("id")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", q.alias("q")))).alias("qs"))
+    rows = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 20").cast("int").alias("id")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", q.alias("q")))).alias("qs"))
     return rows.select("id", F.concat(F.lit("Module "), "id").alias("title"), F.transform("qs", lambda x: x.q).alias("questions"))
 
 
 def module_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modules written as one JSON document, read back, and their sizes."""
+    """Modules written as JSON lines, read back, and their sizes."""
     path = new_folder(spark, "modules")
-    rows = _documents(spark, sf_dir)  # 50 rows, whatever the scale of the tables
-    rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "title", F.slice("questions", 1, 20).alias("questions"))))).alias("value")).write.text(path)
-    return quiz.module_sizes(sources.modules(spark, path)).select("id", F.col("n_questions").cast("long").alias("n_questions"))
+    _documents(spark, sf_dir).select(F.to_json(F.struct("id", "title", "questions")).alias("value")).write.text(path)
+    return quiz.module_sizes(sources.modules(spark, path, multi_line=False)).select("id", F.col("n_questions").cast("long").alias("n_questions"))
 
 
 def first_module(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +243,7 @@ def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of several kinds as doubles, whole parts and strict ints."""
     forms = ["12", "-3.9", "1_0", "5d", ".5", "7.", "1e2", "nan", "inf", "x", "+4", "2147483648"]
-    rows = table(spark, sf_dir, "part").where("p_partkey <= 120").select("p_partkey", F.get(F.array(*map(F.lit, forms)), (F.col("p_partkey") % 12).cast("int")).alias("tok"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*map(F.lit, forms)), (F.col("p_partkey") % 12).cast("int")).alias("tok"))
     value = X.number(F.col("tok"))
     return rows.select("p_partkey", "tok", F.when(~F.isnan(value) & (F.abs(value) < 1e300), value).alias("value"), X.truncated(value).alias("whole"), X.strict_int(F.col("tok")).alias("strict"))
 
@@ -290,7 +288,7 @@ def label_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _boxes(spark, sf_dir)
     line = annotations.label_line(F.col("class_id"), F.lit(0.5), F.lit(0.25), F.col("l_linenumber") / 8, F.lit(1.0))
     for k, name in enumerate(("train", "valid", "test")):
-        rows.where(F.col("l_orderkey") % 3 == k).select(line.alias("value")).coalesce(2).write.text(f"{path}/{name}/labels")
+        rows.where(F.col("l_orderkey") % 3 == k).select(line.alias("value")).write.text(f"{path}/{name}/labels")
     read = sources.label_lines(spark, path, "s")
     held = sources.label_files(spark, path, "s").groupBy("split").agg(F.max(F.lit(True)).alias("listed"))
     found = annotations.parsed(read).where("in_bounds").groupBy("split", "class_id").agg(F.count(F.lit(1)).alias("n"), F.bround(F.sum("w"), 6).alias("w"))
@@ -306,18 +304,6 @@ def named_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(sources.split_of(F.col("path"), sources.described(text)).alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files in folders named after classes, with the box over the whole image, and their number a class."""
-    path = new_folder(spark, "folders")
-    rows = table(spark, sf_dir, "nation")
-    for k, name in enumerate(X.CLASSES[:3]):
-        rows.where(F.col("n_nationkey") % 4 == k).select("n_name").coalesce(1).write.text(f"{path}/{name}")
-    found = sources.class_folders(spark, path, [".txt"])
-    names = spark.createDataFrame(list(enumerate(X.CLASSES)), "class_id int, class_name string")
-    boxes = annotations.full_frame_boxes(found, names).groupBy("folder").agg(F.max("class_id").alias("class_id"), F.sum("w").alias("w"))
-    return sources.folder_counts(found).join(boxes, "folder", "left")
-
-
 def class_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class names written as a dataset description and read again."""
     names = {r.n_nationkey: r.n_name for r in table(spark, sf_dir, "nation").collect()}  # a fixed dimension
@@ -351,10 +337,12 @@ def run_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three lines, the first of which begins the log anew."""
+    """A run log begun anew, with a line for each status and priority of the orders."""
     path = new_folder(spark, "runlog")
-    for text, start in (("old", True), ("begin", True), ("split", False), ("done", False)):
-        sources.log_line(spark, path, text, start)
+    sources.log_line(spark, path, "old", start=True)
+    sources.log_line(spark, path, "begin", start=True)
+    found = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    sources.log_rows(found.select(F.concat("o_orderstatus", F.lit(" "), "o_orderpriority", F.lit(": "), F.col("n").cast("string")).alias("text")), path)
     return sources.run_log(spark, path).select("text", F.col("at").isNotNull().alias("dated"))
 
 
@@ -366,7 +354,7 @@ def copy_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stem_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.get(F.array(F.lit(".jpg"), F.lit(".png")), F.col("l_linenumber") % 2)
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.lit("s").alias("source"), F.lit("train").alias("split"), F.col("l_orderkey").alias("stem"), ext.alias("ext"))
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("s").alias("source"), F.lit("train").alias("split"), F.col("l_orderkey").alias("stem"), ext.alias("ext"))
     return annotations.collisions(rows).select("stem", "n", F.array_join("exts", ",").alias("exts"))
 
 
@@ -375,7 +363,7 @@ def split_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
     counts = split.split_counts(rows, "lang")
     text = split.report_text(counts.orderBy("new_split", "lang").collect(), split.imbalance(counts).orderBy("new_split").collect(), split.readiness(counts).first().verdict, "lang")
-    return spark.createDataFrame([(k, line) for k, line in enumerate(text.split("\n"))], "k long, line string").where("line like '| t%' or line like 'Verdict%'")
+    return spark.createDataFrame([(k, line) for k, line in enumerate(text.split("\n"))], "k long, line string")
 
 
 def split_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,7 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         largest_face, confident, label_masks, captures, frame_rates, session_summary, running_counts, running_latest, session_lifecycle, active_frames, empty_sessions, active_sessions, synthetic_timeline, coding_score,
         module_document, first_module, question_options, answer_counts, time_gates, history_records, missing_fields, history_store, history_totals, time_stamps, number_parse, rounding, time_formats, name_forms, label_levels,
-        letters, label_scan, named_folders, class_folders, class_description, frame_log_csv, best_epoch, run_arguments, run_log, copy_manifest, stem_collisions, split_markdown, split_ratios,
+        letters, label_scan, named_folders, class_description, frame_log_csv, best_epoch, run_arguments, run_log, copy_manifest, stem_collisions, split_markdown, split_ratios,
     )
 }
 
@@ -420,10 +408,11 @@ ORACLES: dict[str, str] = {
     "captures": f"WITH {VOTE_SQL}, k AS (SELECT *, ['0', '1', '2', '3', 'c', 'x'][frame_index % 6 + 1] AS key FROM s WHERE frame_index % 7 = 0), u AS (SELECT session_id, frame_index, key, CAST(CASE WHEN key IN ('0', '1', '2', '3') THEN CAST(key AS INTEGER) "
     "WHEN key = 'c' THEN list_position(['engaged', 'confused', 'bored', 'frustrated'], stable_label) - 1 END AS INTEGER) AS file_under FROM (SELECT session_id, frame_index, stable_label, CASE WHEN key = 'x' THEN key ELSE key END AS key FROM k)) SELECT * FROM u WHERE file_under >= 0",
     "frame_rates": "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN round_even(1 / l_discount, 6) ELSE 0.0 END AS fps FROM lineitem",
-    "session_summary": f"WITH {VOTE_SQL}, c AS (SELECT * FROM s WHERE session_id = 1), a AS (SELECT count(*) AS f, count(*) FILTER (WHERE class_id IS NULL) AS z, count(*) FILTER (WHERE stable_label = 'neutral') AS n FROM c), "
-    "l AS (SELECT ['# Session summary', '', '## Settings', '- window: 30', '- least ratio: 0.4', '', '## Frames', '- all: ' || f, '- without a face: ' || z, '- neutral: ' || n, '', '## Labels, raw'] FROM a), "
-    "m AS (SELECT [" + ", ".join(f"'- {c}: ' || (SELECT count(*) FROM c WHERE class_id = {k})" for k, c in enumerate(X.CLASSES)) + ", '', '## Labels, stable', " + ", ".join(f"'- {c}: ' || (SELECT count(*) FROM c WHERE stable_label = '{c}')" for c in X.CLASSES) + "]), "
-    "z AS (SELECT list_concat(list_concat((SELECT * FROM l), (SELECT * FROM m)), ['', '## Captured files', '- engaged: 0', '- confused: 0', '- bored: 2', '- frustrated: 0', '']) AS x) SELECT CAST(generate_subscripts(x, 1) - 1 AS BIGINT) AS k, unnest(x) AS line FROM z",
+    "session_summary": f"WITH {VOTE_SQL}, a AS (SELECT session_id, count(*) AS f, count(*) FILTER (WHERE class_id IS NULL) AS z, count(*) FILTER (WHERE stable_label = 'neutral') AS n, "
+    + ", ".join(f"count(*) FILTER (WHERE class_id = {k}) AS r{k}, count(*) FILTER (WHERE stable_label = '{c}') AS s{k}" for k, c in enumerate(X.CLASSES)) + " FROM s GROUP BY 1), "
+    "l AS (SELECT session_id, ['# Session summary', '', '## Settings', '- window: 30', '- least ratio: 0.4', '', '## Frames', '- all: ' || f, '- without a face: ' || z, '- neutral: ' || n, '', '## Labels, raw', "
+    + ", ".join(f"'- {c}: ' || r{k}" for k, c in enumerate(X.CLASSES)) + ", '', '## Labels, stable', " + ", ".join(f"'- {c}: ' || s{k}" for k, c in enumerate(X.CLASSES)) + ", '', '## Captured files', '- engaged: 0', '- confused: 0', '- bored: 2', '- frustrated: 0', ''] AS x FROM a) "
+    "SELECT session_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS k, unnest(x) AS line FROM l",
     "running_counts": f"WITH {VOTE_SQL} SELECT session_id, stable_label, count(*) AS n FROM s GROUP BY 1, 2",
     "running_latest": f"WITH {VOTE_SQL} SELECT session_id, max(frame_index) AS frame_index, arg_max(stable_label, frame_index) AS stable_label, round_even(arg_max(avg_confidence, frame_index), 9) AS avg_confidence FROM s GROUP BY 1",
     "session_lifecycle": f"WITH {LIFE_SQL} SELECT session_id // 10 AS session_id, frame_index, stable_label, votes FROM s",
@@ -439,8 +428,8 @@ ORACLES: dict[str, str] = {
     "coding_score": "WITH e AS (SELECT CAST(p_partkey % 50 AS INTEGER) AS m, p_partkey // 50 AS k, p_size % 5 AS a FROM part), j AS (SELECT c_custkey AS i, count(k) AS total, count(*) FILTER (WHERE k < 10 AND (k + c_custkey) % 5 = a) AS correct, any_value(c_nationkey) AS nk "
     "FROM customer LEFT JOIN e ON m = c_custkey % 60 GROUP BY 1), s AS (SELECT *, CASE WHEN total > 0 THEN round_even(CAST(correct AS DOUBLE) / CAST(total AS DOUBLE) * 100, 0) ELSE 0.0 END AS score FROM j) SELECT i AS attempt_id, total, correct, CAST(NULL AS BIGINT) AS concept_total, correct AS problem_solving_correct, "
     "score, score AS problem_solving_score_pct, CASE WHEN score >= 75 AND nk * 4 >= 40 THEN '" + quiz.SENTENCES["good"] + "' WHEN score >= 70 THEN '" + quiz.SENTENCES["stable_good"] + "' ELSE '" + quiz.SENTENCES["stable"] + "' END AS interpretation FROM s",
-    "module_document": "SELECT CAST(p_partkey % 50 AS INTEGER) AS id, least(count(*), 20) AS n_questions FROM part GROUP BY 1",
-    "first_module": "SELECT DISTINCT CAST(p_partkey % 50 AS INTEGER) AS id, 'Module 7 again' AS title FROM part WHERE p_partkey % 50 = 7",
+    "module_document": "SELECT CAST(p_partkey // 20 AS INTEGER) AS id, count(*) AS n_questions FROM part GROUP BY 1",
+    "first_module": "SELECT DISTINCT CAST(p_partkey // 20 AS INTEGER) AS id, 'Module 7 again' AS title FROM part WHERE p_partkey // 20 = 7",
     "question_options": "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 2 = 0 THEN 'A=' || p_brand || '|B=' || p_type ELSE 'A=' || p_brand || '|B=' || p_type || '|C=' || p_name END AS choices FROM part",
     "answer_counts": "SELECT o_orderkey AS attempt_id, CAST(3 AS BIGINT) AS n_keys, CAST(CASE WHEN o_orderpriority <> '5-LOW' THEN 2 ELSE 1 END AS BIGINT) AS n_filled FROM orders",
     "time_gates": "SELECT CAST(l_quantity * 3 AS INTEGER) >= 60 AS may_start, l_partkey % 400 >= 300 AS must_submit, count(*) AS n FROM lineitem GROUP BY 1, 2",
@@ -451,7 +440,7 @@ ORACLES: dict[str, str] = {
     "history_store": "SELECT '7' AS nim, o_orderkey AS seq, o_orderstatus AS status FROM orders WHERE o_custkey % 20 = 7",
     "history_totals": "SELECT CAST(o_custkey % 20 AS VARCHAR) AS nim, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total, count(DISTINCT o_orderkey % 3) AS batches FROM orders GROUP BY 1",
     "time_stamps": "SELECT event_id, strftime(ts, '%d %b %Y, %H:%M') AS text, strftime(ts, '%Y-%m-%d %H:%M') AS back FROM events",
-    "number_parse": "WITH p AS (SELECT p_partkey, ['12', '-3.9', '1_0', '5d', '.5', '7.', '1e2', 'nan', 'inf', 'x', '+4', '2147483648'][p_partkey % 12 + 1] AS tok FROM part WHERE p_partkey <= 120) SELECT p_partkey, tok, CAST(CASE tok WHEN '12' THEN 12.0 WHEN '-3.9' THEN -3.9 WHEN '.5' THEN 0.5 WHEN '7.' THEN 7.0 WHEN '1e2' THEN 100.0 WHEN '+4' THEN 4.0 "
+    "number_parse": "WITH p AS (SELECT p_partkey, ['12', '-3.9', '1_0', '5d', '.5', '7.', '1e2', 'nan', 'inf', 'x', '+4', '2147483648'][p_partkey % 12 + 1] AS tok FROM part) SELECT p_partkey, tok, CAST(CASE tok WHEN '12' THEN 12.0 WHEN '-3.9' THEN -3.9 WHEN '.5' THEN 0.5 WHEN '7.' THEN 7.0 WHEN '1e2' THEN 100.0 WHEN '+4' THEN 4.0 "
     "WHEN '2147483648' THEN 2147483648.0 END AS DOUBLE) AS value, CAST(CASE tok WHEN '12' THEN 12 WHEN '-3.9' THEN -3 WHEN '.5' THEN 0 WHEN '7.' THEN 7 WHEN '1e2' THEN 100 WHEN '+4' THEN 4 END AS INTEGER) AS whole, CAST(CASE tok WHEN '12' THEN 12 WHEN '+4' THEN 4 END AS INTEGER) AS strict FROM p",
     "rounding": "SELECT l_orderkey, l_linenumber, (l_partkey + 1) // 2 AS up, round_even(l_partkey / 2.0, 0) AS even, greatest(1, (l_partkey + 500) // 1000) AS spent FROM lineitem",
     "time_formats": "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey * 7 // 60 < 100 THEN lpad(CAST(l_partkey * 7 // 60 AS VARCHAR), 2, '0') ELSE left(CAST(l_partkey * 7 // 60 AS VARCHAR), 2) END || ':' || lpad(CAST(l_partkey * 7 % 60 AS VARCHAR), 2, '0') AS clock, (l_partkey * 7 // 60) || 'm ' || (l_partkey * 7 % 60) || 's' AS spoken FROM lineitem",
@@ -461,18 +450,20 @@ ORACLES: dict[str, str] = {
     "letters": "SELECT p_partkey, CASE p_size % 6 WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'D' END AS letter, CAST(CASE WHEN p_size % 2 = 0 AND p_size % 6 BETWEEN 1 AND 4 THEN p_size % 6 - 1 END AS INTEGER) AS place FROM part",
     "label_scan": f"WITH {BOX_SQL} SELECT ['train', 'val', 'test'][l_orderkey % 3 + 1] AS split, class_id, count(*) AS n, round_even(sum(k / 8.0), 6) AS w, true AS listed FROM b GROUP BY 1, 2",
     "named_folders": "SELECT CASE p_partkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' END AS split, count(*) AS n FROM part GROUP BY 1",
-    "class_folders": "SELECT * FROM (VALUES ('engaged', CAST(1 AS BIGINT), CAST(0 AS INTEGER), 1.0::DOUBLE), ('confused', 1, 1, 1.0), ('bored', 1, 2, 1.0), ('frustrated', 0, NULL, NULL)) v(folder, n, class_id, w)",
     "class_description": "SELECT CAST(n_nationkey AS INTEGER) AS old_class_id, n_name AS old_class_name FROM nation",
     "frame_log_csv": f"WITH {VOTE_SQL} SELECT CASE WHEN class_id IS NULL THEN 'no_face' ELSE {NAME_SQL.format('class_id')} END AS raw_class_name, stable_label, count(*) AS n, CAST(max(frame_index) AS INTEGER) AS last FROM s GROUP BY 1, 2",
     "best_epoch": "SELECT CAST(arg_max(s_suppkey, (s_suppkey * 7919 + 9) % 1009 * 100000 - s_suppkey) AS INTEGER) AS epoch, count(*) AS epochs FROM supplier",
     "run_arguments": "SELECT n_name AS key, 'a:' || n_nationkey AS value FROM nation",
-    "run_log": "SELECT * FROM (VALUES ('begin', true), ('split', true), ('done', true)) v(text, dated)",
+    "run_log": "SELECT 'begin' AS text, true AS dated UNION ALL SELECT o_orderstatus || ' ' || o_orderpriority || ': ' || count(*), true FROM orders GROUP BY o_orderstatus, o_orderpriority",
     "copy_manifest": f"WITH {SPLIT_RANK_SQL}, s AS (SELECT doc_id, CASE WHEN k <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' WHEN k <= floor(n * CAST(0.8 AS DOUBLE)) + floor(n * CAST(0.1 AS DOUBLE)) THEN 'val' ELSE 'test' END AS sp FROM r) "
     "SELECT 'in/train/images/' || doc_id || '.png' AS src, 'out/' || sp || '/images/' || doc_id || '.png' AS dst FROM s UNION ALL SELECT 'in/train/labels/' || doc_id || '.txt', 'out/' || sp || '/labels/' || doc_id || '.txt' FROM s",
-    "stem_collisions": "SELECT l_orderkey AS stem, count(*) AS n, string_agg(DISTINCT CASE l_linenumber WHEN 1 THEN '.png' ELSE '.jpg' END, ',' ORDER BY CASE l_linenumber WHEN 1 THEN '.png' ELSE '.jpg' END) AS exts FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1 HAVING count(*) > 1",
+    "stem_collisions": "SELECT l_orderkey AS stem, count(*) AS n, string_agg(DISTINCT CASE l_linenumber % 2 WHEN 1 THEN '.png' ELSE '.jpg' END, ',' ORDER BY CASE l_linenumber % 2 WHEN 1 THEN '.png' ELSE '.jpg' END) AS exts FROM lineitem GROUP BY 1 HAVING count(*) > 1",
     "split_markdown": f"WITH {SPLIT_RANK_SQL}, s AS (SELECT doc_id, lang, CASE WHEN k <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' WHEN k <= floor(n * CAST(0.8 AS DOUBLE)) + floor(n * CAST(0.1 AS DOUBLE)) THEN 'val' ELSE 'test' END AS sp FROM r), "
-    "c AS (SELECT sp, lang, count(*) AS n FROM s GROUP BY 1, 2), d AS (SELECT *, row_number() OVER (ORDER BY sp, lang) + 3 AS k, round_even(CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY sp) AS DOUBLE) * 100, 2) AS p FROM c), "
-    "v AS (SELECT CASE WHEN (SELECT min(n) FROM c WHERE sp = 'train') < 50 OR (SELECT min(n) FROM c WHERE sp = 'val') < 10 THEN 'TRAIN_WITH_CAUTION' ELSE 'READY_FOR_TRAINING' END AS x) "
-    "SELECT k, '| ' || sp || ' | ' || lang || ' | ' || n || ' | ' || n || ' | ' || printf('%.2f', p) || '% |' AS line FROM d WHERE sp LIKE 't%' UNION ALL SELECT (SELECT max(k) FROM d) + 6, 'Verdict: ' || x FROM v",
+    "e AS (SELECT sp, lang FROM (SELECT unnest(['train', 'val', 'test']) AS sp), (SELECT DISTINCT lang FROM s)), c AS (SELECT e.sp, e.lang, count(s.doc_id) AS n FROM e LEFT JOIN s ON s.sp = e.sp AND s.lang = e.lang GROUP BY 1, 2), "
+    "d AS (SELECT *, row_number() OVER (ORDER BY sp, lang) + 3 AS k, round_even(CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY sp) AS DOUBLE) * 100, 2) AS p FROM c), "
+    "i AS (SELECT sp, row_number() OVER (ORDER BY sp) AS j, CASE WHEN max(n) = 0 THEN 'Kosong' WHEN min(n) = 0 THEN 'inf' ELSE printf('%.2f', CAST(max(n) AS DOUBLE) / CAST(min(n) AS DOUBLE)) END AS t FROM c GROUP BY 1), "
+    "v AS (SELECT a, b, CASE WHEN a = 0 OR b = 0 THEN 'NOT_READY' WHEN a < 50 OR b < 10 THEN 'TRAIN_WITH_CAUTION' ELSE 'READY_FOR_TRAINING' END AS x FROM (SELECT min(n) FILTER (WHERE sp = 'train') AS a, min(n) FILTER (WHERE sp = 'val') AS b FROM c)), m AS (SELECT max(k) AS m FROM d), "
+    "u AS (SELECT * FROM (VALUES (0, '# Split report'), (1, ''), (2, '| Split | lang | Images | Boxes | Percent |'), (3, '|---|---|---|---|---|')) h(k, line) UNION ALL SELECT k, '| ' || sp || ' | ' || lang || ' | ' || n || ' | ' || n || ' | ' || printf('%.2f', p) || '% |' FROM d "
+    "UNION ALL SELECT m + 1, '' FROM m UNION ALL SELECT m + 1 + j, '- ' || sp || ': imbalance ' || t FROM i, m UNION ALL SELECT m + 5, '' FROM m UNION ALL SELECT m + 6, 'Verdict: ' || x FROM v, m UNION ALL SELECT m + 7, '' FROM m) SELECT CAST(k AS BIGINT) AS k, line FROM u",
     "split_ratios": f"WITH {SPLIT_RANK_SQL}, q AS (SELECT * FROM (VALUES (CAST(0 AS INTEGER), 0.7::DOUBLE, 0.2::DOUBLE), (2, 0.5, 0.25)) v(i, a, b)), s AS (SELECT i, CASE WHEN k <= floor(n * a) THEN 'train' WHEN k <= floor(n * a) + floor(n * b) THEN 'val' ELSE 'test' END AS new_split FROM r, q) SELECT new_split, count(*) AS n, i AS k FROM s GROUP BY 1, 3",
 }

@@ -287,7 +287,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy((F.col("k") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as label lines, some of them broken on purpose."""
     d = lambda x, n: F.concat(F.lit("0."), F.lpad(F.pmod(x, F.lit(10**n)).cast("string"), n, "0"))
     k = F.col("l_linenumber")
@@ -298,14 +298,14 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line mode on label lines: kept lines by class."""
-    kept = annotations.kept_lines(_lines(spark, sf_dir), annotations.id_mapping(spark))
+    kept = annotations.kept_lines(label_line_rows(spark, sf_dir), annotations.id_mapping(spark))
     return annotations.class_counts(kept)
 
 
 def file_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File mode on the same lines; orders without lines are empty files."""
     files = table(spark, sf_dir, "orders").select(F.lit("s").alias("source"), F.lit("train").alias("split"), F.col("o_orderkey").cast("string").alias("stem"))
-    return annotations.valid_files(files, _lines(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("num_bboxes").alias("num_bboxes"))
+    return annotations.valid_files(files, label_line_rows(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("num_bboxes").alias("num_bboxes"))
 
 
 def timed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-from pathlib import PurePosixPath
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.expr import CLASSES, stem, suffix
 from larkspur.operators.annotations import canonical_split
-from larkspur.session import small_table
+from larkspur.session import names_in, remove_folder, small_table
+from larkspur.sources.files import archives, listing, write_files
 
+# Suffixes of images, and the columns of the table of training epochs.
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".bmp", ".webp"]
-METRIC_COLUMNS = (
-    ["epoch", "time"] + [f"train/{x}_loss" for x in ("box", "cls", "dfl")] + ["metrics/precision(B)", "metrics/recall(B)", "metrics/mAP50(B)", "metrics/mAP75(B)", "metrics/mAP50-95(B)"]
-    + [f"val/{x}_loss" for x in ("box", "cls", "dfl")] + ["lr/pg0", "lr/pg1", "lr/pg2"]
-)
+METRIC_COLUMNS = [
+    "epoch", "time", "train/box_loss", "train/cls_loss", "train/dfl_loss", "metrics/precision(B)", "metrics/recall(B)", "metrics/mAP50(B)", "metrics/mAP75(B)", "metrics/mAP50-95(B)",
+    "val/box_loss", "val/cls_loss", "val/dfl_loss", "lr/pg0", "lr/pg1", "lr/pg2",
+]
 
 
 def split_of(path: Column, folders: dict[str, str] | None = None) -> Column:
@@ -42,22 +38,22 @@ def split_of(path: Column, folders: dict[str, str] | None = None) -> Column:
 def label_lines(spark: SparkSession, root: str, source: str, folders: dict[str, str] | None = None) -> DataFrame:
     """source, split, stem, line_no, value: the lines of all label files under ``root``; empty files have none."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-    rows = raw.select(F.col("_metadata.file_path").alias("path"), "value")
-    cut = F.split("value", r"\r\n|\r|\n")
-    rows = rows.select("path", F.size(cut).alias("n"), F.posexplode(cut).alias("line_no", "value"))
+    path = F.col("_metadata.file_path")
+    return _lines(raw.select(F.lit(source).alias("source"), split_of(path, folders).alias("split"), stem(path).alias("stem"), F.col("value").alias("text")))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """Lines of whole texts (source, split, stem, text)."""
+    cut = F.split("text", r"\r\n|\r|\n")
+    rows = texts.select("source", "split", "stem", F.size(cut).alias("n"), F.posexplode(cut).alias("line_no", "value"))
     # A last line end starts no further line.
     last = (F.col("value") == "") & (F.col("line_no") == F.col("n") - 1)
-    return rows.where(~last).select(F.lit(source).alias("source"), split_of(F.col("path"), folders).alias("split"), stem(F.col("path")).alias("stem"), "line_no", "value")
+    return rows.where(~last).select("source", "split", "stem", "line_no", "value")
 
 
 def files(spark: SparkSession, root: str, source: str, suffixes: list[str], recursive: bool = True, any_case: bool = True, folders: dict[str, str] | None = None) -> DataFrame:
-    """source, split, stem, ext, path, length of the files with one of ``suffixes``; contents aren't read.
-
-    Scans leave out files of no bytes, so the names come from the scan's file index, which the driver holds in any case.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    names = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string")
-    rows = names.join(found.select("path", "length"), "path", "left").na.fill(0, ["length"])
+    """source, split, stem, ext, path, length of the files with one of ``suffixes``, empty ones included; folders are listed by tasks, and contents aren't read."""
+    rows = listing(spark, root, recursive)
     ext = F.lower(suffix(F.col("path"))) if any_case else suffix(F.col("path"))
     rows = rows.withColumn("ext", ext).where(F.col("ext").isin(suffixes))
     return rows.select(F.lit(source).alias("source"), split_of(F.col("path"), folders).alias("split"), stem(F.col("path")).alias("stem"), "ext", "path", "length")
@@ -81,8 +77,13 @@ def folder_counts(images: DataFrame, names: list[str] = CLASSES) -> DataFrame:
 
 def log_line(spark: SparkSession, path: str, text: str, start: bool = False) -> None:
     """Add a time-stamped line to a run log, a folder of text files; ``start`` begins it anew."""
-    line = F.concat(F.lit("["), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), F.lit("] "), F.lit(text))
-    spark.range(1).select(line.alias("value")).write.mode("overwrite" if start else "append").text(path)
+    log_rows(spark.range(1).select(F.lit(text).alias("text")), path, start)
+
+
+def log_rows(rows: DataFrame, path: str, start: bool = False) -> None:
+    """Add a time-stamped line for each text of ``rows`` to a run log."""
+    line = F.concat(F.lit("["), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), F.lit("] "), F.col("text"))
+    rows.select(line.alias("value")).write.mode("overwrite" if start else "append").text(path)
 
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:
@@ -137,22 +138,15 @@ def class_table(spark: SparkSession, names: dict[int, str]) -> DataFrame:
 
 
 def zip_members(spark: SparkSession, path: str, pattern: str = ".txt") -> DataFrame:
-    """archive, member, text of text members of ZIP files, however long; absolute names and parents are refused, with a null text."""
+    """archive, member, text of text members of ZIP archives; those with a problem, as an absolute name or one with parents, have a null text."""
+    return archives(spark, path, pattern).select("archive", "member", F.col("content").cast("string").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if info.is_dir() or not info.filename.endswith(pattern):
-                            continue
-                        name = PurePosixPath(info.filename.replace("\\", "/"))
-                        safe = not name.is_absolute() and ".." not in name.parts
-                        text = z.read(info).decode("utf-8", "replace") if safe else None
-                        yield pd.DataFrame({"archive": [archive], "member": [info.filename], "text": [text]})
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content")
-    return rows.mapInPandas(run, "archive string, member string, text string")
+def zip_label_lines(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """The lines of all label files in the archives at ``path``, as from ``label_lines``."""
+    members = zip_members(spark, path).where(F.col("text").isNotNull())
+    place = F.concat(F.lit("/"), "member")
+    return _lines(members.select(F.lit(source).alias("source"), split_of(place).alias("split"), stem(place).alias("stem"), "text"))
 
 
 def frame_log_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -173,15 +167,15 @@ def run_arguments(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.trim(F.substring_index("value", ":", 1)).alias("key"), F.trim(F.regexp_replace("value", r"^[^:]*:", "")).alias("value"))
 
 
-def modules(spark: SparkSession, path: str) -> DataFrame:
-    """Nested module documents with an explicit schema."""
+def modules(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Nested module documents with an explicit schema: one document of all modules, or one a line."""
     kinds = (
         "id int, title string, description string, duration_minutes int, content array<struct<section: string, text: string>>, "
         "questions array<struct<id: string, category: string, question: string, option_a: string, option_b: string, option_c: string, option_d: string, "
         "correct_answer: string, options: array<string>, correct: int>>, "
         "coding_exercises array<struct<id: string, instruction: string, code_template: string, expected_answer: string, hint: string>>"
     )
-    return spark.read.schema(kinds).option("multiLine", "true").json(path)
+    return spark.read.schema(kinds).option("multiLine", str(multi_line).lower()).json(path)
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> bool:
@@ -189,12 +183,29 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> bool:
     if df.isEmpty():
         return False
     nested = {f.name: F.to_json(f.name) for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")}
-    df.withColumns(nested).write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True)
+    df.withColumns(nested).write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return True
 
 
-def write_labels(lines: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Label text (split, stem, line_no, value) as a table partitioned by split, a row per file with its lines in order."""
+def label_texts(lines: DataFrame) -> DataFrame:
+    """path (split/labels/stem.txt) and text of label files from their lines (split, stem, line_no, value) in order."""
     own = lines.groupBy("split", "stem").agg(F.sort_array(F.collect_list(F.struct("line_no", "value"))).alias("x"))
-    rows = own.select("split", "stem", F.array_join(F.transform("x", lambda v: v["value"]), "\n").alias("text"))
-    rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("split").parquet(path)
+    text = F.concat(F.array_join(F.transform("x", lambda v: v["value"]), "\n"), F.lit("\n"))
+    return own.select(F.concat_ws("/", "split", F.lit("labels"), F.concat("stem", F.lit(".txt"))).alias("path"), text.alias("text"))
+
+
+def write_labels(lines: DataFrame, root: str, overwrite: bool = False, images: DataFrame | None = None, zipped: bool = False) -> None:
+    """A label file a sample, at split/labels/stem.txt, and beside it the copies of ``images`` (src, and dst below the folder as from ``annotations.manifest``).
+
+    Without ``overwrite`` a folder that holds something is an error. Files appear whole or not at all; a job that fails takes back what it has written. ``zipped`` writes archives of the same files.
+    """
+    spark = lines.sparkSession
+    if not overwrite and names_in(spark, root):
+        raise FileExistsError(root)
+    if overwrite:
+        remove_folder(spark, root)
+    none = F.lit(None).cast("string")
+    rows = label_texts(lines).withColumn("src", none)
+    if images is not None:
+        rows = rows.unionByName(images.select(F.col("dst").alias("path"), none.alias("text"), "src"))
+    write_files(rows, root, zipped)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from larkspur.plans import details, metrics
+from larkspur.plans import details, metrics, storage
 from larkspur.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -29,8 +29,8 @@ def tidy(rows):
     return sorted(tuple(cell(v) for v in r) for r in rows)
 
 
-QUERIES = plans.QUERIES | details.QUERIES | metrics.QUERIES
-ORACLES = plans.ORACLES | details.ORACLES | metrics.ORACLES
+QUERIES = plans.QUERIES | details.QUERIES | metrics.QUERIES | storage.QUERIES
+ORACLES = plans.ORACLES | details.ORACLES | metrics.ORACLES | storage.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
