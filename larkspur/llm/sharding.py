@@ -49,7 +49,8 @@ def pack_shards(
 
     Returns doc_id, size (UTF-8 bytes plus 16), tokens (words), text_crc32, shard, slot.
     Null texts count as empty ones; null ids are numbered first. Repeated rows are all kept and
-    numbered next to each other. Empty input gives an empty result. Other columns are ignored.
+    numbered next to each other, but for those of an id that alone has a chunk's share of the corpus: they are dealt one by one, so that rows alike
+    spread over shards as other rows do. Empty input gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -60,6 +61,7 @@ def pack_shards(
             n_words(text).alias("tokens"),
             F.crc32(text).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
+            F.monotonically_increasing_id().alias("at"),
         ),
         "shard-rows",
     )
@@ -76,13 +78,15 @@ def pack_shards(
         first[key] = at
         at += n
     split = spark.createDataFrame([(k, n, first[k]) for k, n in large], "key long, chunks int, first long")
+    # As few again: ids that hold so much of a large group.
+    alike = rows.join(F.broadcast(split.select("key")), "key").groupBy("key", "doc_id").agg(*sums).where(share > least).select(F.col("key").alias("k"), F.col("doc_id").alias("d"))
+    rows = rows.join(F.broadcast(alike.withColumn("one", F.lit(True))), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    dealt = F.when(F.col("one"), F.xxhash64("at")).otherwise(F.xxhash64("doc_id", "size", F.lit(7)))
     units = (
         rows.join(F.broadcast(split), "key", "left")
         .withColumn(
             "unit",
-            F.when(F.col("chunks").isNull(), F.pmod(F.col("key"), F.lit(bundles)).cast("long")).otherwise(
-                F.col("first") + F.pmod(F.xxhash64("doc_id", "size", F.lit(7)), F.col("chunks"))
-            ),
+            F.when(F.col("chunks").isNull(), F.pmod(F.col("key"), F.lit(bundles)).cast("long")).otherwise(F.col("first") + F.pmod(dealt, F.col("chunks"))),
         )
         .select("doc_id", "size", "tokens", "text_crc32", "unit")
     )
