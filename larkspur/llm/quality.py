@@ -149,7 +149,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int =
     own = training_rows(only(docs, doc_id="doc_id", text="text"), labels, "quality", parts, held, most_rows)
     columns = [f"_f_{k}" for k in FEATURES]
     rows = with_statistics(own.withColumnRenamed("text", "_text")).select("doc_id", "label", *columns)
-    found = np.array(rows.orderBy("doc_id", *columns).limit(most_rows).select("label", *columns).collect(), dtype=float)
+    # Where ids repeat there may be more rows than labels: a sample by hash, and then in one order whatever the sample.
+    some = rows.orderBy(F.xxhash64("doc_id", *columns), "doc_id", *columns).limit(most_rows).collect()
+    found = np.array([r[1:] for r in sorted(some, key=lambda r: (r.doc_id, *r[2:]))], dtype=float)
     found = found.reshape(-1, len(columns) + 1)
     return fit_rules(found[:, 1:], found[:, 0])
 
