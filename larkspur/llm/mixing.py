@@ -20,6 +20,15 @@ from larkspur.llm.common import n_words, only, written
 POINT_BITS = 48
 
 
+def few(spark: SparkSession, rows: list[tuple], schema: str, most: int = 20_000) -> DataFrame:
+    """A table of facts about sources: broadcast while it has at most ``most`` rows (some 1.5 kB each), joined by exchange beyond.
+
+    The planner takes a table from the driver for a huge one, and would deal the corpus by its few keys to join it.
+    """
+    made = spark.createDataFrame(rows, schema)
+    return F.broadcast(made) if len(rows) <= most else made
+
+
 def targets_of(sizes: list[int], weights: list[int], most: int = 3) -> list[float]:
     """Shares of sum(sizes) by weight, none above ``most`` times its size, the excess reshared by weight."""
     total, capped = sum(sizes), set()
@@ -87,7 +96,7 @@ def schedule(spark: SparkSession, sources: list[dict]) -> DataFrame:
             table += [(c, x["sid"], x["low"], x["high"], x["slots"], [{"r": r, "step": s} for r, s in x["parts"]]) for c in reach]
         short += [(x["sid"], k) for k in range(slots_before(every, x["parts"]), x["slots"])]
     kinds = "cell long, sid int, low long, high long, slots long, parts array<struct<r: long, step: long>>"
-    guide = spark.createDataFrame(table, kinds)
+    guide = few(spark, table, kinds)
     points = spark.range(every).select(F.col("id").alias("slot"), _point(F.col("id")).alias("point"))
     points = points.withColumn("cell", F.shiftright("point", POINT_BITS - cells))
     rank = F.aggregate(
@@ -123,7 +132,7 @@ def placed_rows(docs: DataFrame, cycle=(1, 2, 3), most: int = 3, block: int = 25
     )
     rows = written(rows, "mix-rows")
     sources = plan(rows, cycle, most, block, most_sources)
-    ids = spark.createDataFrame([(x["sid"], x["source"]) for x in sources], "sid int, named string")
+    ids = few(spark, [(x["sid"], x["source"]) for x in sources], "sid int, named string")
     # 4096 parts of each source by the order's first digits, so that no window holds a whole source.
     rows = rows.join(ids, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("part", F.substring("key", 1, 3))
     alike = rows.groupBy("sid", "part", "key", "size", "doc_id", "source").agg(F.count(F.lit(1)).alias("times"))
@@ -146,7 +155,7 @@ def mixed_stream(rows: DataFrame, sources: list[dict], most: int = 3, block: int
     No rows give no pieces.
     """
     spark = rows.sparkSession
-    limits = spark.createDataFrame([(x["sid"], x["source_size"], x["limit"]) for x in sources], "sid int, whole long, limit long")
+    limits = few(spark, [(x["sid"], x["source_size"], x["limit"]) for x in sources], "sid int, whole long, limit long")
     low = F.col("start") + F.col("epoch") * F.col("whole")
     copies = (
         rows.where("size > 0")
@@ -180,7 +189,7 @@ def mix_counts(docs: DataFrame, cycle=(1, 2, 3), most: int = 3, block: int = 256
     some = rows.where("size > 0").join(taken, ["sid", "start"], "left")
     none = rows.where("size = 0").withColumn("taken", F.lit(None).cast("long")).withColumn("size_is", F.lit(None).cast("boolean"))
     every = some.unionByName(none).drop("size_is")
-    facts = rows.sparkSession.createDataFrame([(x["sid"], x["source_size"], x["target"]) for x in sources], "sid int, source_size long, target double")
+    facts = few(rows.sparkSession, [(x["sid"], x["source_size"], x["target"]) for x in sources], "sid int, source_size long, target double")
     return every.join(facts, "sid").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
@@ -195,7 +204,7 @@ def mix_documents(docs: DataFrame, cycle=(1, 2, 3), most: int = 3, block: int =
     and source the first ones by their other columns get the more copies. An empty table stays empty.
     """
     rows, sources = placed_rows(docs, cycle, most, block, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
-    names = docs.sparkSession.createDataFrame([(x["sid"], x["source"]) for x in sources], "sid int, named string")
+    names = few(docs.sparkSession, [(x["sid"], x["source"]) for x in sources], "sid int, named string")
     whole = mixed_stream(rows, sources, most, block).groupBy("sid", "key", "nth", "size", "epoch").agg(F.sum("n").alias("n")).where("2 * n >= size")
     # Rows alike follow each other in the stream, so a pass through it takes the first so many of them.
     copies = whole.groupBy("sid", "key", "epoch").agg(F.max("nth").alias("upto")).groupBy("sid", "key").agg(F.collect_list("upto").alias("upto"))
