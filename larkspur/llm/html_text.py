@@ -172,7 +172,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 n, own = text.count(" ") + 1, len(html.unescape("".join(linked)).split())
-                out.append(Block(text, n, own, *state, form, n < 100 and LEGAL.search(text) is not None))
+                out.append(Block(text, n, own, *state, form, LEGAL.search(text) is not None))
             parts.clear()
             linked.clear()
 
@@ -356,7 +356,28 @@ def training_pages(pages: int = 600, seed: int = 7) -> list[list[tuple]]:
         if rng.random() < 0.6:
             boiler(rng.randint(3, 24), rng.choice([0.0, 0.0, 0.2, 0.5]), rng.choice([OTHER, PARAGRAPH]), 1)
         out.append(rows)
-    return out
+    return out + [_short_page(rng) for _ in range(pages // 5)]
+
+
+def _short_page(rng: random.Random) -> list[tuple]:
+    """A page that is a title at most, one or two paragraphs and then links: those are the article, however short the page, and a short line alone above links is a menu's."""
+    style = rng.randrange(4)
+    zone = rng.choice([MAIN, ARTICLE]) if style == 0 else PLAIN
+    good = {0: rng.choice([0.0, 1.0]), 1: 1.0, 2: 0.5}.get(style, 0.0)
+    form = rng.choice([PARAGRAPH, PARAGRAPH, OTHER])
+    rows = []
+    if rng.random() < 0.5:
+        rows.append((rng.randint(1, 12), 0, zone, 0.0, good, 0.0, HEADING, 0, 1))
+    for _ in range(rng.choice([1, 1, 2])):
+        # Without an element or a name only some length tells an article's first paragraph from a line above a menu.
+        rows.append((rng.randint(6 if style != 3 and form == PARAGRAPH else 14, 180), 0, zone, 0.0, good, 0.0, form, 0, 1))
+    links = rng.randint(2, 6)
+    for _ in range(links):
+        words = rng.randint(1, 10)
+        rows.append((words, words, zone, 0.0, good, 0.0, rng.choice([ITEM, ITEM, PARAGRAPH, OTHER]), 0, 0))
+    if rng.random() < 0.5:
+        rows.append((rng.randint(3, 24), 0, BOILER if style == 0 else PLAIN, float(style in (1, 2)), 0.0, 0.0, OTHER, 1, 0))
+    return rows
 
 
 class Tree:

@@ -63,6 +63,13 @@ PAGES = [
     ("entities", "<article><h1>Fish &amp; chips</h1><p>A&nbsp;b &lt;c&gt; caf&eacute; &#8364;5 and some more words.</p></article>", ["Fish & chips", "A b <c> café €5 and some more words."]),
     ("scripts and styles", f"<article><script>var p = '<p>no</p>';</script><style>p {{}}</style><h1>The flood</h1>{ps(A)}<noscript>no</noscript>{ps(B)}</article>", ["The flood", A, B]),
     ("menu only", f"<nav><ul>{MENU}</ul></nav><footer>{LEGAL}</footer>", []),
+    ("one paragraph, then links", f"<article>{ps(A)}<ul>{RELATED}</ul></article>", [A]),
+    ("one paragraph, then links, in main", f"<main>{ps(B)}<ul>{RELATED}</ul></main><footer>{LEGAL}</footer>", [B]),
+    ("one paragraph, then links, in a plain div", f"<div>{ps(A)}<ul>{RELATED}</ul></div>", [A]),
+    ("one paragraph, then a linked one", f'<article>{ps(A)}<p><a href="/1">One</a></p><p><a href="/2">Two</a></p></article>', [A]),
+    ("ten words, then links", f"<article>{ps('Ten words are enough for a paragraph of an article.')}<ul>{RELATED}</ul></article>", ["Ten words are enough for a paragraph of an article."]),
+    ("a hundred words, then links", f"<article>{ps(' '.join([A, B, C, D, A]))}<ul>{RELATED}</ul></article>", [" ".join([A, B, C, D, A])]),
+    ("a long paragraph about rights", f"<article><h1>Law</h1>{ps(' '.join([A, B, C, D, A, 'All rights reserved.']), B)}</article><footer>{LEGAL}</footer>", ["Law", " ".join([A, B, C, D, A, "All rights reserved."]), B]),
     ("two articles", f"<article><h2>One</h2>{ps(A)}</article><article><h2>Two</h2>{ps(B)}</article>", ["One", A, "Two", B]),
 ]
 
