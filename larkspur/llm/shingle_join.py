@@ -5,9 +5,11 @@ than the sum of the smaller counts, so pairs under the needed overlap by that su
 
 The points of a whole corpus lie too close in every coordinate to cut them into regions that few pairs straddle, so the trees are local. Linked sets share
 one of their n - ceil(n * share) + 1 rarest shingles (the order is by a count sketch over all texts, then hash: any order is right, and a rare first
-one keeps passages that many texts hold out of it); each such shingle has a block of the sets that it is rare in. Blocks of the same sets count once. In a block all sets are first compared with
-one leader a round, which joins groups of near copies, however many, in time linear in their size; blocks that still hold several components are cut into
-chunks of bounded size, and a tree over each pair of chunks yields the pairs of different components that the bound leaves.
+one keeps passages that many texts hold out of it); each such shingle has a block of the sets that it is rare in. Blocks of the same sets count once, and a tree
+over each block's points drops the sets that the bound leaves without a partner. In a block the others are first compared with
+one leader, which joins most near copies, however many, in time linear in their number; blocks that still hold several components are cut into
+chunks of bounded size, and a tree over each pair of chunks yields each set's best partner of another component, round by round while most of
+those are links, and in the end all pairs of different components that the bound leaves.
 """
 
 from __future__ import annotations
@@ -24,39 +26,62 @@ from pyspark.sql import types as T
 from larkspur.llm.common import cleared, only, written
 from larkspur.llm.components import connected_components
 
-GROUPS = 64
-SLOTS, SEGMENT = 1 << 17, 1 << 13
+GROUPS = 256
+SLOT_BITS, SEGMENT = 20, 1 << 16
 LEAF = 16
-_MIX = [np.uint64(2 * (0x9E3779B97F4A7C15 * (k + 3) >> 1) % (1 << 64) | 1) for k in range(64)]
+_RANDOM = np.random.default_rng(11)
+#: Words are polynomials over random values of their bytes, modulo 2**64; A-Z have the values of a-z.
+_BYTES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MIX = _RANDOM.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
-class Hashes(dict):
-    """64-bit hash of a word, kept while the table is small."""
+class Powers:
+    """Powers of the base and of its inverse, as many as the longest text so far has bytes."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+    def __init__(self):
+        self.up, self.down = (np.ones(1, dtype=np.uint64) for _ in range(2))
 
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(1 << 16, 1 << (n - 1).bit_length())
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+                factors = np.full(size, base, dtype=np.uint64)
+                factors[0] = 1
+                setattr(self, name, np.cumprod(factors))
+        return self.up, self.down
 
-def shingle_set(text: str | None, width: int, hashes: Hashes) -> np.ndarray:
+
+def shingle_set(text: str | None, width: int, powers: Powers) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``width`` words; of the whole sequence if it is shorter, none without a word.
 
-    A-Z are lowered, words are ``[^\\x20\\x09-\\x0D]+``. Different shingles have equal hashes by chance alone, 1 in 2**64 a pair.
+    A-Z are lowered, words are ``[^\\x20\\x09-\\x0D]+``. Different shingles have equal hashes by chance alone, about 1 in 2**60 a pair.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    inside = np.zeros(len(data) + 2, dtype=np.int8)
+    inside[1:-1] = ~_BLANK[data]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    each = np.fromiter((hashes[w] for w in words), dtype=np.uint64, count=len(words))
-    span = min(width, len(words))
-    out = np.full(len(words) - span + 1, span, dtype=np.uint64)
+    up, down = powers.upto(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+    each = (sums[ends] - sums[starts]) * down[starts]
+    each ^= each >> np.uint64(32)
+    each *= _SPREAD
+    span = min(width, len(each))
+    out = np.full(len(each) - span + 1, span, dtype=np.uint64)
     for k in range(span):
         out += each[k : k + len(out)] * _MIX[k % len(_MIX)]
         out ^= out >> np.uint64(32)
-        out *= np.uint64(0xD6E8FEB86659FD93)
+        out *= _SPREAD
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def prefix_size(n: int, share: int) -> int:
@@ -101,26 +126,31 @@ class Tree:
         return self.order[nodes]
 
 
-def tree_pairs(sizes: np.ndarray, vectors: np.ndarray, roots: np.ndarray, share: int) -> Iterator[tuple[int, int]]:
-    """Pairs of places of different roots that the bound leaves, each once."""
+def tree_pairs(sizes: np.ndarray, vectors: np.ndarray, roots: np.ndarray, share: int, best: bool = False) -> Iterator[tuple[int, int]]:
+    """Pairs of places of different roots that the bound leaves, each once; with ``best`` only the pair of the largest bound of each place."""
     tree = Tree(sizes, vectors)
     for i in range(len(sizes)):
         found = tree.near(int(sizes[i]), vectors[i], share)
-        found = found[(found > i) & (roots[found] != roots[i])]
-        yield from ((i, int(j)) for j in found)
+        found = found[roots[found] != roots[i]]
+        if best and len(found):
+            bound = np.minimum(vectors[found], vectors[i]).sum(axis=1)
+            j = int(found[(bound / (sizes[found] + sizes[i] - bound)).argmax()])
+            yield min(i, j), max(i, j)
+        elif not best:
+            yield from ((i, int(j)) for j in found if j > i)
 
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Counts of all texts' shingles by the first bits of their hashes; its size is fixed, and sums of a task come first."""
+def _slot_order(docs: DataFrame, width: int) -> np.ndarray:
+    """Rank of each slot (the first bits of a hash) by how many shingles of all texts fall into it; the table's size is fixed, and sums of a task come first."""
+    slots = 1 << SLOT_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = Hashes(), np.zeros(SLOTS, dtype=np.uint32)
-        shift = np.uint64(64 - (SLOTS - 1).bit_length())
+        powers, counts = Powers(), np.zeros(slots, dtype=np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                np.add.at(counts, (shingle_set(text.as_py(), width, hashes) >> shift).astype(np.int64), np.uint32(1))
+                np.add.at(counts, (shingle_set(text.as_py(), width, powers) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.uint32(1))
         if counts.any():
-            parts = [counts[k : k + SEGMENT].tobytes() for k in range(0, SLOTS, SEGMENT)]
+            parts = [counts[k : k + SEGMENT].tobytes() for k in range(0, slots, SEGMENT)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["segment", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,37 +161,42 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["segment", "counts"])
 
     parts = docs.select("text").mapInArrow(run, "segment int, counts binary").groupBy("segment").applyInArrow(add, "segment int, counts binary")
-    out = np.zeros(SLOTS, dtype=np.uint64)
-    for r in parts.collect():
-        out[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.counts, "<u8")
-    return out
+    counts = np.zeros(slots, dtype=np.uint64)
+    for r in parts.toLocalIterator():
+        counts[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.counts, "<u8")
+    rank = np.empty(slots, dtype=np.uint32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(slots, dtype=np.uint32)
+    return rank
 
 
 def _prints(docs: DataFrame, width: int, share: int) -> DataFrame:
-    """doc_id, tk (hash of the text), n, sid (hash of the set, null for an empty one) and keys, the rarest shingles; null where the task had the set before."""
-    counts = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width))
-    shift = 64 - (SLOTS - 1).bit_length()
+    """doc_id, tk (hash of the text), n, sid (hash of the set, null for an empty one), keys (the rarest shingles) and counts; the last two null where the task had the set before."""
+    ranks = docs.sparkSession.sparkContext.broadcast(_slot_order(docs, width))
+    rest = np.uint64(64 - SLOT_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
+        powers, seen = Powers(), set()
         for batch in batches:
-            n, sid, keys = [], [], []
+            n, sid, keys, counts = [], [], [], []
             for text in batch.column(1):
-                own = shingle_set(text.as_py(), width, hashes)
+                own = shingle_set(text.as_py(), width, powers)
                 n.append(len(own))
                 sid.append(_sid(own))
                 if not len(own) or sid[-1] in seen:
                     keys.append(None)
+                    counts.append(None)
                     continue
                 seen.add(sid[-1])
-                first = np.lexsort((own, counts.value[(own >> np.uint64(shift)).astype(np.int64)]))[: prefix_size(len(own), share)]
+                # The slot's rank in place of the slot: the same order for all sets, and no two hashes alike in it.
+                order = (ranks.value[(own >> rest).astype(np.int64)].astype(np.uint64) << rest) | (own & ((np.uint64(1) << rest) - np.uint64(1)))
+                first = prefix_size(len(own), share)
                 # 40 bits are enough to meet: sets that meet by chance aren't linked.
-                keys.append((own[first] & np.uint64((1 << 40) - 1)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tk", "n", "sid", "keys"]
-            )
+                keys.append((np.partition(order, first - 1)[:first] & np.uint64((1 << 40) - 1)).astype(np.int64))
+                counts.append(_packed(own))
+            columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tk", "n", "sid", "keys", "counts"])
 
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("tk long, n long, sid long, keys array<long>").fields])
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("tk long, n long, sid long, keys array<long>, counts binary").fields])
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tk")).mapInArrow(run, schema)
 
 
@@ -169,48 +204,108 @@ def _sid(own: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)) if len(own) else None
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """Rows alike in their first ``keys`` columns, which come one after the other, as columns of values: no more than a group and a batch is held."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield now, [list(c) for c in zip(*held, strict=True)]
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield now, [list(c) for c in zip(*held, strict=True)]
+
+
+def _packed(own: np.ndarray) -> bytes:
+    """Counts of a set's hashes by group: a byte each where that holds them, else four."""
+    counts = np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def _vector(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, "<u1" if len(counts) == GROUPS else "<u4").astype(np.int64)
+
+
+def _vectors(counts: list[bytes]) -> np.ndarray:
+    return np.stack([_vector(x) for x in counts])
+
+
+def _bounded(pairs: DataFrame, known: DataFrame, share: int) -> DataFrame:
+    """Those of the pairs (a, b) of sids that the sizes and the counts' bound leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, m, n, c, d = (x.to_pylist() for x in batch.columns)
+            ok = [linked(int(np.minimum(_vector(p), _vector(q)).sum()), x, y, share) for x, y, p, q in zip(m, n, c, d, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(v, ok, strict=True) if k], pa.int64()) for v in (a, b)], ["a", "b"])
+
+    one, other = (known.select(*(F.col(c).alias(f"{c}_{k}") for c in ("sid", "n", "counts"))) for k in "ab")
+    rows = pairs.join(one, F.col("a") == F.col("sid_a")).join(other, F.col("b") == F.col("sid_b"))
+    rows = rows.where((100 * F.col("n_a") >= share * F.col("n_b")) & (100 * F.col("n_b") >= share * F.col("n_a")))
+    return rows.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(run, "a long, b long")
+
+
+def _live(members: DataFrame, known: DataFrame, share: int, chunk: int) -> DataFrame:
+    """Those of ``members`` (key, sid, m) that the bound leaves with a partner in their block; blocks of over ``chunk`` stay whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sids = [], []
+        for (key,), (sid, n, counts) in _groups(batches, 1):
+            sizes, vectors = np.array(n), _vectors(counts)
+            tree = Tree(sizes, vectors)
+            alive = [x for i, x in enumerate(sid) if len(tree.near(n[i], vectors[i], share)) > 1]
+            keys += [key] * len(alive)
+            sids += alive
+            if len(sids) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sids, pa.int64())], ["key", "sid"])
+                keys, sids = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sids, pa.int64())], ["key", "sid"])
+
+    small = members.where(F.col("m") <= chunk).join(known, "sid").select("key", "sid", "n", "counts")
+    dealt = small.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key long, sid long").unionAll(members.where(F.col("m") > chunk).select("key", "sid"))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """sid, n, counts and hashes of the sets of the texts ``wanted`` (tk)."""
+    """sid and hashes of the sets of the texts ``wanted`` (tk); of copies of a text a task keeps one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
+        powers, seen = Powers(), set()
         for batch in batches:
-            out = []
+            sid, hashes = [], []
             for text in batch.column(0):
-                own = shingle_set(text.as_py(), width, hashes)
-                if not len(own) or (sid := _sid(own)) in seen:
-                    continue
-                seen.add(sid)
-                counts = np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                out.append((sid, len(own), counts.astype("<i4").tobytes(), own.tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["sid", "n", "counts", "hashes"])
+                own = shingle_set(text.as_py(), width, powers)
+                if len(own) and (one := _sid(own)) not in seen:
+                    seen.add(one)
+                    sid.append(one)
+                    hashes.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(hashes, pa.binary())], ["sid", "hashes"])
 
-    texts = docs.select("text", F.xxhash64("text").alias("tk")).join(wanted, "tk", "left_semi")
-    return texts.select("text").mapInArrow(run, "sid long, n long, counts binary, hashes binary").dropDuplicates(["sid"])
+    texts = docs.select("text", F.xxhash64("text").alias("tk")).join(wanted.select("tk"), "tk", "left_semi")
+    return texts.select("text").mapInArrow(run, "sid long, hashes binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Those of the pairs (a, b) of sids that are links: by the counts' bound, then by the sets themselves."""
+    """Those of the pairs (a, b) of sids that are links, by the sets themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for x, y, m, n, c, d, p, q in zip(*batch.columns, strict=True):
-                m, n = m.as_py(), n.as_py()
-                bound = int(np.minimum(np.frombuffer(c.as_py(), "<i4"), np.frombuffer(d.as_py(), "<i4")).sum())
-                if not linked(bound, m, n, share):
-                    continue
-                common = len(np.intersect1d(np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u8"), assume_unique=True))
-                if linked(common, m, n, share):
+            for x, y, p, q in zip(*batch.columns, strict=True):
+                p, q = np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u8")
+                if linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), share):
                     a.append(x.as_py())
                     b.append(y.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    # Later rounds have few pairs: only their sets are dealt.
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "shingle-needed")
+    sets = sets.join(needed, "sid", "left_semi")
     one, other = (sets.select(*(F.col(c).alias(f"{c}_{k}") for c in sets.columns)) for k in "ab")
     rows = pairs.join(one, F.col("a") == F.col("sid_a")).join(other, F.col("b") == F.col("sid_b"))
-    rows = rows.where((100 * F.col("n_a") >= share * F.col("n_b")) & (100 * F.col("n_b") >= share * F.col("n_a")))
-    return rows.select("a", "b", "n_a", "n_b", "counts_a", "counts_b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -220,7 +315,7 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(written(several.select("key", "m"), "shingle-several"), "key")
 
 
-def _tree_pairs(rows: DataFrame, sets: DataFrame, share: int, chunk: int) -> DataFrame:
+def _tree_pairs(rows: DataFrame, known: DataFrame, share: int, chunk: int, best: bool) -> DataFrame:
     """Pairs (a, b) of different components in the blocks ``rows`` (key, sid, root, m) that the trees leave.
 
     A block is cut into chunks of some ``chunk`` sets, a component with more into chunks of its own; pairs of chunks of one and the same
@@ -237,22 +332,18 @@ def _tree_pairs(rows: DataFrame, sets: DataFrame, share: int, chunk: int) -> Dat
     both = left.join(right, "key").where((F.col("x") < F.col("y")) | (F.col("x") == F.col("y")) & ~F.col("x.one"))
     both = both.where(~(F.col("x.one") & F.col("y.one") & (F.col("x.c") == F.col("y.c"))))
     sides = both.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("at"))
-    points = rows.join(sets.select("sid", "n", "counts"), "sid")
-    met = sides.join(points, ["key", "at"]).groupBy("key", "x", "y").agg(F.collect_list(F.struct("sid", "root", "n", "counts", F.col("at") == F.col("x"))).alias("p"))
+    # The counts come last, so that they are dealt once.
+    met = rows.join(sides, ["key", "at"]).select(F.struct("key", "x", "y").alias("group"), "sid", "root").join(known.select("sid", "n", "counts"), "sid")
+    met = met.select("group", "sid", "root", "n", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for cell in batch.column(0):
-                p = sorted((tuple(x.values()) for x in cell.as_py()), key=lambda x: x[0])
-                sids, roots, n = (np.array([x[k] for x in p], dtype=np.int64) for k in (0, 1, 2))
-                vectors = np.array([np.frombuffer(x[3], "<i4") for x in p])
-                for i, j in tree_pairs(n, vectors, roots, share):
-                    a.append(int(sids[i]))
-                    b.append(int(sids[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for _, (sid, root, n, counts) in _groups(batches, 1):
+            sids, roots = np.array(sid), np.array(root)
+            pairs = np.array(list(tree_pairs(np.array(n), _vectors(counts), roots, share, best)), dtype=np.int64).reshape(-1, 2)
+            ends = np.sort(sids[pairs], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-    return met.select("p").mapInArrow(run, "a long, b long").distinct()
+    return met.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(prints: DataFrame, docs: DataFrame, width: int, share: int, chunk: int, rounds: int) -> DataFrame:
@@ -263,32 +354,41 @@ def links(prints: DataFrame, docs: DataFrame, width: int, share: int, chunk: int
     shared = written(shared.select("key"), "shingle-blocks")
     members = written(keyed.join(shared, "key").select("key", "sid").distinct(), "shingle-members")
     alike = members.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor("sid").alias("x"), F.bit_xor(F.xxhash64("sid")).alias("y"))
-    once = alike.groupBy("lo", "hi", "m", "x", "y").agg(F.min("key").alias("key")).select("key")
+    once = written(alike.groupBy("lo", "hi", "m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "shingle-once")
     members = written(members.join(once, "key"), "shingle-members")
     inside = written(members.select("sid").distinct(), "shingle-inside")
-    wanted = prints.join(inside, "sid").groupBy("sid").agg(F.min("tk").alias("tk")).select("tk").distinct()
-    sets = written(_sets(docs, written(wanted, "shingle-wanted"), width), "shingle-sets")
-    edges, roots, left = None, None, None
-    rows = members.withColumn("root", F.col("sid"))
-    for k in range(rounds):
-        order = F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), F.col("sid").alias("leader"), F.col("root").alias("top"))
-        leaders = written(rows.groupBy("key").agg(F.min(order).alias("x")).select("key", "x.leader", "x.top"), "shingle-leaders")
-        pairs = rows.join(leaders, "key").where("root <> top").select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()
-        found = written(_verified(pairs, sets, share), "shingle-links")
-        edges = found if edges is None else edges.unionAll(found)
-        roots = connected_components(edges)
+    facts = prints.where("counts is not null").join(inside, "sid").groupBy("sid").agg(F.min(F.struct("tk", "n", "counts")).alias("x")).select("sid", "x.*")
+    known = written(facts, "shingle-known")
+    # First a leader a block, for groups of any size; then each set's best partner of another component, as long as a quarter of those are links; last all that the bound leaves.
+    leaders = written(members.groupBy("key").agg(F.min("sid").alias("leader")), "shingle-leaders")
+    led = members.join(leaders, "key").where("sid <> leader").select("key", F.col("leader").alias("a"), F.col("sid").alias("b"))
+    pairs = written(_bounded(led.select("a", "b").distinct(), known, share), "shingle-pairs")
+    # A block whose sets may all be linked with its leader is live as it is; the others' sets may have partners beside it.
+    near = led.join(pairs.withColumn("near", F.lit(True)), ["a", "b"], "left")
+    mixed = written(near.groupBy("key").agg(F.count("near").alias("n"), F.count(F.lit(1)).alias("m")).where("n < m").select("key"), "shingle-mixed")
+    other = written(members.join(mixed, "key"), "shingle-other")
+    members = written(members.join(mixed, "key", "left_anti").select("key", "sid").unionAll(_live(other.where("m > 2"), known, share, chunk)), "shingle-live")
+    inside = written(members.select("sid").distinct(), "shingle-inside")
+    wanted = written(known.join(inside, "sid").select("tk"), "shingle-wanted")
+    sets = written(_sets(docs, wanted, width), "shingle-sets")
+    edges = written(_verified(pairs, sets, share), "shingle-links")
+    best, roots = rounds > 0, connected_components(edges)
+    while True:
         rows = written(_open(members, roots), "shingle-open")
-        before, left = left, rows.count()
-        if not left or before is not None and 4 * left > 3 * before:
-            break  # nothing left, or leaders no longer help
-        rows = rows.select("key", "sid", "root", "m")
-    if left:
-        edges = edges.unionAll(written(_verified(_tree_pairs(rows, sets, share, chunk), sets, share), "shingle-links"))
-        roots = connected_components(edges)
-    return roots
+        if rows.isEmpty():
+            return roots
+        pairs = written(_tree_pairs(rows, known, share, chunk, best), "shingle-pairs")
+        found = written(_verified(pairs, sets, share), "shingle-links")
+        n, edges = found.count(), edges.unionAll(found)
+        if n:
+            roots = connected_components(edges)
+        if not best:
+            return roots
+        rounds -= 1
+        best = rounds > 0 and 4 * n > pairs.count()
 
 
-def joined(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512, rounds: int = 8) -> DataFrame:
+def joined(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 2048, rounds: int = 6) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, its own included) of every row of ``docs``.
 
     Two texts are linked when their sets of shingles of ``width`` words have a Jaccard likeness of ``share`` percent or more. A text of fewer words is one shingle; null and

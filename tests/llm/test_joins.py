@@ -76,7 +76,7 @@ def families(seed, n=160, families=5, words=40, edits=3):
     return rows
 
 
-@pytest.mark.parametrize(("rounds", "chunk"), [(8, 512), (1, 3), (1, 512)])
+@pytest.mark.parametrize(("rounds", "chunk"), [(6, 512), (0, 3), (0, 512), (1, 4)])
 def test_links_of_families(spark, rounds, chunk):
     rows = families(rounds + chunk)
     want = plain_components({i: plain_set(t) for i, t in rows})
