@@ -224,15 +224,17 @@ def write_segments(
 
     ``path`` is the table's place, which must not exist; without one it is an intermediate in the shared folder.
 
-    Null counts as the empty text, whose only id is the end id; null doc_ids come first, repeated doc_ids by their texts' hashes.
+    Null counts as the empty text, whose only id is the end id; null doc_ids come first, repeated doc_ids by their texts' hashes, and rows alike in both spread over parts as
+    others do. Ids are numbers, or texts of numbers.
     Segments don't span Arrow batches. A document is never cut: one of more ids than ``tokens_per_segment`` has a segment to itself.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    # The last key cuts rows alike in id and text, however many, into ranges too.
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    rows = rows.repartitionByRange(n, "doc_id", "tie", "at").sortWithinPartitions("doc_id", "tie", "at").select("doc_id", "text")
     rows = rows.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

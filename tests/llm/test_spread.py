@@ -4,10 +4,11 @@ import bisect
 import random
 import re
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, quality, sharding, weighted_sampling
+from larkspur.llm import mixing, quality, sharding, tokenbin, weighted_sampling
 
 
 @pytest.mark.parametrize("doc_id", [None, 7])
@@ -62,3 +63,14 @@ def test_places_among_cuts(spark, n):
     rows = spark.createDataFrame([(x,) for x in [*cuts, *(c - 1 for c in cuts), -5000, 5000]], "x long")
     for x, k in rows.select("x", weighted_sampling._at_or_below(cuts, F.col("x"))).collect():
         assert k == bisect.bisect_right(cuts, x)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_alike_spread_over_parts(spark, doc_id):
+    rows = [(i + 100, f"text number {i}") for i in range(1000)] + [(doc_id, "the same short text")] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    segments = tokenbin.write_segments(df, public_tokenizers.path("word_bpe_49k.json"))
+    parts = [r.n for r in segments.groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(parts) == 2000 and max(parts) <= 1.5 * 2000 / len(parts) and len(parts) == 4
+    found = sorted((r.start, r.n_tokens) for r in tokenbin.read_documents(segments).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(found, found[1:], strict=False)) and found[0][0] == 0
