@@ -79,7 +79,7 @@ def pack_shards(
         at += n
     split = spark.createDataFrame([(k, n, first[k]) for k, n in large], "key long, chunks int, first long")
     # As few again: ids that hold so much of a large group.
-    alike = rows.join(F.broadcast(split.select("key")), "key").groupBy("key", "doc_id").agg(*sums).where(share > least).select(F.col("key").alias("k"), F.col("doc_id").alias("d"))
+    alike = rows.join(F.broadcast(split.select("key")), "key").groupBy("key", "doc_id").agg(*sums).where((share > least) & (F.col("r") > 1)).select(F.col("key").alias("k"), F.col("doc_id").alias("d"))
     rows = rows.join(F.broadcast(alike.withColumn("one", F.lit(True))), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     dealt = F.when(F.col("one"), F.xxhash64("at")).otherwise(F.xxhash64("doc_id", "size", F.lit(7)))
     units = (
