@@ -29,6 +29,8 @@ from larkspur.llm.components import connected_components
 GROUPS = 256
 SLOT_BITS, SEGMENT = 20, 1 << 16
 LEAF = 16
+#: Largest block whose sets are all asked for partners at once, and largest share of a component in a mixed chunk.
+WHOLE, MIXED = 512, 64
 _RANDOM = np.random.default_rng(11)
 #: Words are polynomials over random values of their bytes, modulo 2**64; A-Z have the values of a-z.
 _BYTES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -126,18 +128,24 @@ class Tree:
         return self.order[nodes]
 
 
-def tree_pairs(sizes: np.ndarray, vectors: np.ndarray, roots: np.ndarray, share: int, best: bool = False) -> Iterator[tuple[int, int]]:
-    """Pairs of places of different roots that the bound leaves, each once; with ``best`` only the pair of the largest bound of each place."""
-    tree = Tree(sizes, vectors)
-    for i in range(len(sizes)):
-        found = tree.near(int(sizes[i]), vectors[i], share)
+def tree_pairs(sizes: np.ndarray, vectors: np.ndarray, roots: np.ndarray, sides: np.ndarray, share: int, best: bool = False) -> Iterator[tuple[int, int]]:
+    """Pairs of places of different roots that the bound leaves, each once; with ``best`` only the pair of the largest bound of each place that asks.
+
+    Where there are two sides (a flag a place), pairs are those across, and the smaller side asks a tree of the larger one.
+    """
+    alone = sides.all() or not sides.any()
+    few = sides if sides.sum() * 2 <= len(sides) else ~sides
+    asking, asked = (np.arange(len(sides)),) * 2 if alone else (np.flatnonzero(few), np.flatnonzero(~few))
+    tree = Tree(sizes[asked], vectors[asked])
+    for i in asking.tolist():
+        found = asked[tree.near(int(sizes[i]), vectors[i], share)]
         found = found[roots[found] != roots[i]]
         if best and len(found):
             bound = np.minimum(vectors[found], vectors[i]).sum(axis=1)
             j = int(found[(bound / (sizes[found] + sizes[i] - bound)).argmax()])
             yield min(i, j), max(i, j)
         elif not best:
-            yield from ((i, int(j)) for j in found if j > i)
+            yield from ((min(i, j), max(i, j)) for j in found.tolist() if not alone or j > i)
 
 
 def _slot_order(docs: DataFrame, width: int) -> np.ndarray:
@@ -247,8 +255,8 @@ def _bounded(pairs: DataFrame, known: DataFrame, share: int) -> DataFrame:
     return rows.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(run, "a long, b long")
 
 
-def _live(members: DataFrame, known: DataFrame, share: int, chunk: int) -> DataFrame:
-    """Those of ``members`` (key, sid, m) that the bound leaves with a partner in their block; blocks of over ``chunk`` stay whole."""
+def _live(members: DataFrame, known: DataFrame, share: int) -> DataFrame:
+    """Those of ``members`` (key, sid, m) that the bound leaves with a partner in their block; blocks of over ``WHOLE`` stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sids = [], []
@@ -263,9 +271,9 @@ def _live(members: DataFrame, known: DataFrame, share: int, chunk: int) -> DataF
                 keys, sids = [], []
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sids, pa.int64())], ["key", "sid"])
 
-    small = members.where(F.col("m") <= chunk).join(known, "sid").select("key", "sid", "n", "counts")
+    small = members.where(F.col("m") <= WHOLE).join(known, "sid").select("key", "sid", "n", "counts")
     dealt = small.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, sid long").unionAll(members.where(F.col("m") > chunk).select("key", "sid"))
+    return dealt.mapInArrow(run, "key long, sid long").unionAll(members.where(F.col("m") > WHOLE).select("key", "sid"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -309,21 +317,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``members`` (key, sid) with their root, of the blocks of three or more sets that hold several components."""
+    """``members`` (key, sid) with their root, of the blocks that hold several components."""
     rows = written(members.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root")), "shingle-rooted")
-    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi and m > 2")
+    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
     return rows.join(written(several.select("key", "m"), "shingle-several"), "key")
 
 
 def _tree_pairs(rows: DataFrame, known: DataFrame, share: int, chunk: int, best: bool) -> DataFrame:
     """Pairs (a, b) of different components in the blocks ``rows`` (key, sid, root, m) that the trees leave.
 
-    A block is cut into chunks of some ``chunk`` sets, a component with more into chunks of its own; pairs of chunks of one and the same
+    A block is cut into chunks of some ``chunk`` sets, a component with more than ``MIXED`` into chunks of its own; pairs of chunks of one and the same
     component are left out, so a block of one large component and some others takes time linear in its size.
     """
     own = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("r"))
     rows = rows.join(written(own, "shingle-own"), ["key", "root"])
-    large = F.col("r") > chunk
+    large = F.col("r") > min(chunk, MIXED)
     place = F.when(large, F.struct(F.col("root").alias("c"), F.pmod(F.xxhash64("sid"), F.ceil(F.col("r") / chunk)).alias("s"), F.lit(True).alias("one")))
     place = place.otherwise(F.struct(F.pmod(F.xxhash64("root"), F.ceil(F.col("m") / chunk)).alias("c"), F.lit(0).cast("long").alias("s"), F.lit(False).alias("one")))
     rows = written(rows.select("key", "sid", "root", place.alias("at")), "shingle-chunks")
@@ -333,13 +341,13 @@ def _tree_pairs(rows: DataFrame, known: DataFrame, share: int, chunk: int, best:
     both = both.where(~(F.col("x.one") & F.col("y.one") & (F.col("x.c") == F.col("y.c"))))
     sides = both.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("at"))
     # The counts come last, so that they are dealt once.
-    met = rows.join(sides, ["key", "at"]).select(F.struct("key", "x", "y").alias("group"), "sid", "root").join(known.select("sid", "n", "counts"), "sid")
-    met = met.select("group", "sid", "root", "n", "counts")
+    met = rows.join(sides, ["key", "at"]).select(F.struct("key", "x", "y").alias("group"), (F.col("at") == F.col("x")).alias("side"), "sid", "root").join(known.select("sid", "n", "counts"), "sid")
+    met = met.select("group", "side", "sid", "root", "n", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (sid, root, n, counts) in _groups(batches, 1):
+        for _, (side, sid, root, n, counts) in _groups(batches, 1):
             sids, roots = np.array(sid), np.array(root)
-            pairs = np.array(list(tree_pairs(np.array(n), _vectors(counts), roots, share, best)), dtype=np.int64).reshape(-1, 2)
+            pairs = np.array(list(tree_pairs(np.array(n), _vectors(counts), roots, np.array(side), share, best)), dtype=np.int64).reshape(-1, 2)
             ends = np.sort(sids[pairs], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
@@ -367,19 +375,21 @@ def links(prints: DataFrame, docs: DataFrame, width: int, share: int, chunk: int
     near = led.join(pairs.withColumn("near", F.lit(True)), ["a", "b"], "left")
     mixed = written(near.groupBy("key").agg(F.count("near").alias("n"), F.count(F.lit(1)).alias("m")).where("n < m").select("key"), "shingle-mixed")
     other = written(members.join(mixed, "key"), "shingle-other")
-    members = written(members.join(mixed, "key", "left_anti").select("key", "sid").unionAll(_live(other.where("m > 2"), known, share, chunk)), "shingle-live")
+    members = written(members.join(mixed, "key", "left_anti").select("key", "sid").unionAll(_live(other.where("m > 2"), known, share)), "shingle-live")
     inside = written(members.select("sid").distinct(), "shingle-inside")
     wanted = written(known.join(inside, "sid").select("tk"), "shingle-wanted")
     sets = written(_sets(docs, wanted, width), "shingle-sets")
-    edges = written(_verified(pairs, sets, share), "shingle-links")
+    # Of a set's leaders one is enough to begin with: what another one would join is open in a block.
+    pairs = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "shingle-pairs")
+    edges, tested = written(_verified(pairs, sets, share), "shingle-links"), pairs
     best, roots = rounds > 0, connected_components(edges)
     while True:
         rows = written(_open(members, roots), "shingle-open")
         if rows.isEmpty():
             return roots
-        pairs = written(_tree_pairs(rows, known, share, chunk, best), "shingle-pairs")
+        pairs = written(_tree_pairs(rows, known, share, chunk, best).join(tested, ["a", "b"], "left_anti"), "shingle-pairs")
         found = written(_verified(pairs, sets, share), "shingle-links")
-        n, edges = found.count(), edges.unionAll(found)
+        n, edges, tested = found.count(), edges.unionAll(found), tested.unionAll(pairs)
         if n:
             roots = connected_components(edges)
         if not best:
@@ -388,7 +398,7 @@ def links(prints: DataFrame, docs: DataFrame, width: int, share: int, chunk: int
         best = rounds > 0 and 4 * n > pairs.count()
 
 
-def joined(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 2048, rounds: int = 6) -> DataFrame:
+def joined(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1024, rounds: int = 6) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, its own included) of every row of ``docs``.
 
     Two texts are linked when their sets of shingles of ``width`` words have a Jaccard likeness of ``share`` percent or more. A text of fewer words is one shingle; null and

@@ -76,7 +76,7 @@ def families(seed, n=160, families=5, words=40, edits=3):
     return rows
 
 
-@pytest.mark.parametrize(("rounds", "chunk"), [(6, 512), (0, 3), (0, 512), (1, 4)])
+@pytest.mark.parametrize(("rounds", "chunk"), [(6, 2048), (0, 3), (0, 2048), (1, 4)])
 def test_links_of_families(spark, rounds, chunk):
     rows = families(rounds + chunk)
     want = plain_components({i: plain_set(t) for i, t in rows})
@@ -106,7 +106,12 @@ def test_tree_leaves_no_pair_out():
         (i, j) for i in range(900) for j in range(i + 1, 900)
         if roots[i] != roots[j] and shingle_join.linked(int(np.minimum(vectors[i], vectors[j]).sum()), int(sizes[i]), int(sizes[j]), 80)
     }
-    assert set(shingle_join.tree_pairs(sizes, vectors, roots, 80)) == want != set()
+    both = np.ones(900, dtype=bool)
+    assert set(shingle_join.tree_pairs(sizes, vectors, roots, both, 80)) == want != set()
+    sides = np.arange(900) % 5 == 0
+    assert sorted(shingle_join.tree_pairs(sizes, vectors, roots, sides, 80)) == sorted(p for p in want if sides[p[0]] != sides[p[1]])
+    best = set(shingle_join.tree_pairs(sizes, vectors, roots, both, 80, best=True))
+    assert best <= want and {x for p in best for x in p} == {x for p in want for x in p}
 
 
 def test_hot_group_emits_no_pairs(spark):
