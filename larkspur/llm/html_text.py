@@ -371,8 +371,10 @@ def _short_page(rng: random.Random) -> list[tuple]:
     for _ in range(rng.choice([1, 1, 2])):
         # Without an element or a name only some length tells an article's first paragraph from a line above a menu.
         rows.append((rng.randint(6 if style != 3 and form == PARAGRAPH else 14, 180), 0, zone, 0.0, good, 0.0, form, 0, 1))
-    links = rng.randint(2, 6)
-    for _ in range(links):
+    if zone != PLAIN and rng.random() < 0.3:  # lines of a word or two, and no link
+        rows += [(rng.randint(1, 4), 0, zone, 0.0, good, 0.0, form, 0, 1) for _ in range(rng.randint(3, 8))]
+        return rows if rng.random() < 0.5 else rows[-3:]
+    for _ in range(rng.randint(2, 6)):
         words = rng.randint(1, 10)
         rows.append((words, words, zone, 0.0, good, 0.0, rng.choice([ITEM, ITEM, PARAGRAPH, OTHER]), 0, 0))
     if rng.random() < 0.5:
