@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.expr import CLASSES, NEUTRAL, class_name
+from larkspur.functions.expr import CLASSES, NEUTRAL, class_name, exact_decimal
 from larkspur.operators.chunks import CHUNK, chunk_window, with_neighbours
 
 
@@ -45,33 +45,33 @@ def vote(
 
     Input: session_id, frame_index, class_id (null: no face), conf. Adds votes (frames in the window), stable_id, stable_label, vote_ratio and
     avg_confidence. Among equals the class seen first in the window wins. Below ``least_frames`` ratio and confidence
-    are 0.0; below any gate the label is neutral. Confidences are summed as decimals, so that sums don't depend on order.
+    are 0.0; below any gate the label is neutral. Confidences are summed as decimals, so that sums don't depend on order; a double becomes one as
+    SQL's cast has it (``exact_decimal``), so a mean that is the limit only in print may lie some 1e-17 off it.
 
     A session is dealt in chunks of at most twice ``chunk`` frames, each with the window's frames ahead of it: a reset further back can't matter, so
     each chunk counts its own. Frames are read once for the sizes of ranges and once for the vote; only sessions of several chunks are read for neighbours.
     """
     empty = F.col("class_id").isNull()
-    rows = with_neighbours(frames, window - 1, 0, "frame_index", chunk).withColumn("_none", empty)
+    rows = with_neighbours(frames, window - 1, 0, "frame_index", chunk).withColumns({"_none": empty, "_conf": exact_decimal(F.col("conf"))})
     rows = rows.withColumn("_epoch", F.sum(empty.cast("long")).over(chunk_window("frame_index").rowsBetween(Window.unboundedPreceding, 0)))
     last = chunk_window("frame_index", "_epoch", "_none").rowsBetween(1 - window, 0)
-    decimal = F.col("conf").cast("decimal(28,17)")
     per_class = []
     for k in range(classes):
         own = F.col("class_id") == k
         per_class.append(F.struct(
             F.count_if(own).over(last).alias("n"), (-F.min(F.when(own, F.col("frame_index"))).over(last)).alias("seen"),
-            F.lit(k).alias("k"), F.sum(F.when(own, decimal)).over(last).alias("total"),
+            F.lit(k).alias("k"), F.sum(F.when(own, F.col("_conf"))).over(last).alias("total"),
         ))
     rows = rows.withColumn("votes", F.when(empty, 0).otherwise(F.count(F.lit(1)).over(last))).withColumn("_top", F.array_max(F.array(*per_class)))
     open_ = ~empty & (F.col("votes") >= least_frames)
     rows = rows.withColumn("vote_ratio", F.when(open_, F.col("_top.n") / F.col("votes")).otherwise(0.0))
     rows = rows.withColumn("avg_confidence", F.when(open_, F.col("_top.total").cast("double") / F.col("_top.n")).otherwise(0.0))
-    # The gate compares decimals too: a mean of exactly the limit passes, whatever the quotient rounds to.
+    # The gate compares decimals too: a sum of exactly the limit passes, whatever the quotient rounds to.
     enough = F.col("_top.total") >= F.lit(least_confidence).cast("decimal(9,6)") * F.col("_top.n").cast("decimal(9,0)")
     passed = open_ & (F.col("vote_ratio") >= least_ratio) & enough
     rows = rows.withColumn("stable_id", F.when(passed, F.col("_top.k")))
     label = F.when(empty, F.lit(no_face_label)).when(passed, class_name(F.col("_top.k"))).otherwise(F.lit(NEUTRAL))
-    return rows.withColumn("stable_label", label).where(~F.col("_halo")).drop("_none", "_epoch", "_top", "_chunk", "_halo")
+    return rows.withColumn("stable_label", label).where(~F.col("_halo")).drop("_none", "_conf", "_epoch", "_top", "_chunk", "_halo")
 
 
 def frame_log(voted: DataFrame, fps: float = 30.0, no_face_label: str = "no_face") -> DataFrame:

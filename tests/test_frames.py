@@ -2,11 +2,15 @@
 
 import random
 from collections import Counter
+from decimal import Decimal
 from fractions import Fraction
 
+import duckdb
 from pyspark.sql import functions as F
 
 from larkspur.operators import frames
+from larkspur.plans import queries as plans
+from larkspur.streaming import vote
 
 NAMES = ["engaged", "confused", "bored", "frustrated"]
 
@@ -75,3 +79,33 @@ def test_largest_face(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "session_id long, frame_index long, class_id int, conf double")
     assert frames.vote(df).count() == 0 and frames.label_counts(frames.vote(df)).count() == 0
+
+
+def test_sums_at_the_limit_are_those_of_sql(spark, tmp_path):
+    # Eight frames a session, whose confidences have the mean 0.4 in print; as SQL's decimals some lie above it and some below.
+    rng = random.Random(5)
+    rows = []
+    for session in range(300):
+        cents = [rng.randrange(100, 7000) for _ in range(7)]
+        cents.append(32000 - sum(cents))
+        if 0 <= cents[-1] <= 10000:
+            rows += [(session, 8 * session + k, "click", c / 100) for k, c in enumerate(cents)]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {(r[0], r[1]): r[2] for r in con.sql(plans.ORACLES["vote_smoothing"]).fetchall()}
+    found = {(r.session_id, r.frame_index): r.stable_label for r in plans.vote_smoothing(spark, str(tmp_path)).collect()}
+    assert found == want
+    ends = [label for (_, i), label in want.items() if i % 8 == 7]
+    assert ends.count("neutral") > 5 and ends.count("engaged") > 5
+
+
+def test_buffer_sums_as_sql_does():
+    for low, high in ((0.0316, 0.7684), (0.07, 0.73), (0.3712, 0.4288), (0.2927, 0.5073), (0.0001, 0.7999)):
+        buffer = vote.Buffer(30)
+        for _ in range(4):
+            buffer.add(0, low)
+            buffer.add(0, high)
+        total = duckdb.sql(f"SELECT 4 * (CAST({low}::DOUBLE AS DECIMAL(28,17)) + CAST({high}::DOUBLE AS DECIMAL(28,17)))").fetchall()[0][0]
+        assert sum(vote.units(c) for c in buffer.confidences) == total.scaleb(17)
+        assert buffer.label(8, 0.4, 0.4)[0] == ("engaged" if total >= Decimal("3.2") else "neutral")
