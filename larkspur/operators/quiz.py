@@ -60,30 +60,54 @@ def marked(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def scored(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Totals by category, percents half to even, and the interpretation of every attempt; categories other than the two count only in the whole."""
-    rows = marked(questions, answers)
-    of = lambda c: F.col("category") == c
-    own = rows.groupBy("attempt_id", "module_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if("is_correct").alias("correct"),
-        F.count_if(of(CONCEPT)).alias("concept_total"), F.count_if(of(CONCEPT) & F.col("is_correct")).alias("concept_correct"),
-        F.count_if(of(PROBLEM)).alias("problem_solving_total"), F.count_if(of(PROBLEM) & F.col("is_correct")).alias("problem_solving_correct"),
-    )
-    own = answers.select("attempt_id", "module_id", "distribution").join(own, ["attempt_id", "module_id"], "left").na.fill(0)
+    """Totals by category, percents half to even, and the interpretation of every attempt; categories other than the two count only in the whole.
+
+    Questions are counted a module, and only answers that were given meet theirs (an unanswered question is wrong), so the work grows with questions and answers, not with their product.
+    The hint keeps Spark from broadcasting the answers, whose number a map hides from it.
+    """
+    asked = questions.select("module_id", "question_id", F.coalesce("category", F.lit(CONCEPT)).alias("category"), "correct_answer", "correct")
+    kinds = {"": F.lit(True), "concept_": F.col("category") == CONCEPT, "problem_solving_": F.col("category") == PROBLEM}
+    totals = asked.groupBy("module_id").agg(*(F.count_if(of).alias(f"{k}total") for k, of in kinds.items()))
+    given = _given(answers, "question_id", "answers_text", "answers_index")
+    hit = is_correct(F.col("answers_text"), F.col("answers_index"), F.col("correct_answer"), F.col("correct"))
+    right = given.join(asked.hint("shuffle_hash"), ["module_id", "question_id"]).where(hit).groupBy("attempt_id", "module_id").agg(*(F.count_if(of).alias(f"{k}correct") for k, of in kinds.items()))
+    own = _attempts(answers, totals, right)
+    own = own.select("attempt_id", "module_id", "distribution", *(F.coalesce(c, F.lit(0)).alias(c) for k in kinds for c in (f"{k}total", f"{k}correct")))
     return _finished(own, {"concept_score_pct": ("concept_correct", "concept_total"), "problem_solving_score_pct": ("problem_solving_correct", "problem_solving_total")})
 
 
 def scored_coding(exercises: DataFrame, answers: DataFrame) -> DataFrame:
-    """Coding attempts: answers equal the expected text, trimmed and in either case; all count as problem solving, concept figures are null."""
-    rows = exercises.join(answers.drop("distribution"), "module_id")
-    given = strip(F.coalesce(F.try_element_at("answers_text", F.col("exercise_id")), F.lit("")))
-    hit = F.lower(given) == F.lower(strip(F.coalesce("expected_answer", F.lit(""))))
-    own = rows.groupBy("attempt_id", "module_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("correct"))
-    own = answers.select("attempt_id", "module_id", "distribution").join(own, ["attempt_id", "module_id"], "left").na.fill(0)
+    """Coding attempts: answers equal the expected text, trimmed and in either case; all count as problem solving, concept figures are null. No answer is a blank one, which is right where nothing is expected."""
+    plain = lambda c: F.lower(strip(F.coalesce(c, F.lit(""))))
+    asked = exercises.select("module_id", "exercise_id", plain("expected_answer").alias("expected")).withColumn("blank", F.col("expected") == "")
+    totals = asked.groupBy("module_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("blank").alias("blank"))
+    given = _given(answers, "exercise_id", "answers_text")
+    hit = plain("answers_text") == F.col("expected")
+    # What a blank answer would have got is counted a module already.
+    more = given.join(asked.hint("shuffle_hash"), ["module_id", "exercise_id"]).where(hit != F.col("blank")).groupBy("attempt_id", "module_id").agg((F.count_if(hit) - F.count_if("blank")).alias("more"))
+    own = _attempts(answers, totals, more)
+    total, correct = F.coalesce("total", F.lit(0)), F.coalesce("blank", F.lit(0)) + F.coalesce("more", F.lit(0))
+    own = own.select("attempt_id", "module_id", "distribution", total.alias("total"), correct.alias("correct"))
     none = F.lit(None).cast("long")
     own = own.withColumns({"concept_total": none, "concept_correct": none, "problem_solving_total": F.col("total"), "problem_solving_correct": F.col("correct")})
     return _finished(own, {"problem_solving_score_pct": ("correct", "total")}).withColumn("concept_score_pct", F.lit(None).cast("double"))
 
 
+def _given(answers: DataFrame, name: str, *maps: str) -> DataFrame:
+    """A row per attempt and key of any of its maps: attempt_id, module_id, the key as ``name``, and each map's value as its column."""
+    keys = F.flatten(F.array(*(F.coalesce(F.map_keys(m), F.array().cast("array<string>")) for m in maps)))
+    rows = answers.select("attempt_id", "module_id", *maps, F.explode(F.array_distinct(keys)).alias(name))
+    return rows.select("attempt_id", "module_id", name, *(F.try_element_at(m, F.col(name)).alias(m) for m in maps))
+
+
+def _attempts(answers: DataFrame, totals: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of ``answers`` with its module's ``totals``, once for each row of its attempt, and its attempt's ``right``."""
+    own = answers.groupBy("attempt_id", "module_id").agg(F.count(F.lit(1)).alias("_n")).join(totals, "module_id", "left")
+    own = own.select("attempt_id", "module_id", *((F.col(c) * F.col("_n")).alias(c) for c in totals.columns if c != "module_id"))
+    own = own.join(right, ["attempt_id", "module_id"], "left")
+    return answers.select("attempt_id", "module_id", "distribution").join(own, ["attempt_id", "module_id"], "left")
+
+
 def _finished(own: DataFrame, shares: dict[str, tuple[str, str]]) -> DataFrame:
     own = own.withColumn("score", percent(F.col("correct"), F.col("total"))).withColumns({n: percent(F.col(a), F.col(b)) for n, (a, b) in shares.items()})
     part = lambda c: F.try_element_at("distribution", F.lit(c))

@@ -1,5 +1,7 @@
 """Quiz scoring, interpretation, history and small expressions."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from larkspur.functions import expr as X
@@ -61,3 +63,30 @@ def test_expressions(spark):
     assert value(X.slug(F.lit("Problem  Solving"))) == "problem-solving" and value(X.stem(F.lit("/a/b.c.txt"))) == "b.c" and value(X.suffix(F.lit("/a/b.c.txt"))) == ".txt"
     assert value(X.marked_up(F.lit("a **b** <c>"))) == "a <strong>b</strong> &lt;c&gt;" and value(X.with_blanks(F.lit("x = ___"), "?")) == "x = ?"
     assert value(X.plot_level(F.lit("frustrated"))) == 1 and value(X.class_order(F.lit("no_face"), 4)) == 4
+
+
+def test_work_grows_with_answers_not_with_questions_times_attempts(spark):
+    # 40,000 questions and 4,000 attempts of one module: 160 million pairs, of which 8,000 have an answer.
+    n, attempts = 40_000, 4_000
+    questions = spark.range(n).select(F.lit(1).alias("module_id"), F.concat(F.lit("q"), "id").alias("question_id"), F.lit("Concept").alias("category"), F.lit("A").alias("correct_answer"), F.lit(None).cast("int").alias("correct"))
+    q = lambda k: F.concat(F.lit("q"), ((F.col("id") + k) % n).cast("string"))
+    answers = spark.range(attempts).select(
+        F.col("id").alias("attempt_id"), F.lit(1).alias("module_id"), F.create_map(q(0), F.lit("a"), q(1), F.lit("b")).alias("answers_text"), F.create_map(q(0), F.lit(0)).alias("answers_index"),
+        F.lit(None).cast("map<string,double>").alias("distribution"),
+    )
+    exercises = questions.select("module_id", F.col("question_id").alias("exercise_id"), F.when(F.col("question_id") == "q7", " ").otherwise("A").alias("expected_answer"))
+    for rows, right in ((quiz.scored(questions, answers), 1), (quiz.scored_coding(exercises, answers), 2)):
+        began = time.perf_counter()
+        found = rows.groupBy("total", "correct").count().collect()
+        assert time.perf_counter() - began < 40
+        assert sum(r["count"] for r in found) == attempts and {r.total for r in found} == {n}
+        assert max(found, key=lambda r: r["count"]).correct == right
+
+
+def test_blank_and_repeated_answers(spark):
+    exercises = spark.createDataFrame([(1, "e1", " "), (1, "e2", None), (1, "e3", "x"), (1, None, "")], "module_id int, exercise_id string, expected_answer string")
+    answers = spark.createDataFrame([(1, 1, {"e1": "y", "e3": " X"}, {}, None), (2, 1, None, None, None), (3, 1, {"e2": None, "e9": "x"}, {}, None), (4, None, {}, {}, None)], ANSWERS)
+    assert {r.attempt_id: (r.total, r.correct) for r in quiz.scored_coding(exercises, answers).collect()} == {1: (4, 3), 2: (4, 3), 3: (4, 3), 4: (0, 0)}
+    questions = spark.createDataFrame([(1, "q1", "Concept", "A", None), (1, "q1", None, "B", None), (1, None, "Concept", None, None)], "module_id int, question_id string, category string, correct_answer string, correct int")
+    twice = spark.createDataFrame([(1, 1, {"q1": "a"}, {"q1": 1}, None), (1, 1, {"q1": "c"}, None, None)], ANSWERS)
+    assert [(r.total, r.correct, r.concept_total) for r in quiz.scored(questions, twice).collect()] == [(6, 2, 6)] * 2
