@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.expr import CLASSES, stem, suffix
 from larkspur.operators.annotations import canonical_split
 from larkspur.session import names_in, remove_folder, small_table
-from larkspur.sources.files import archives, listing, write_files
+from larkspur.sources.files import archives, listing, texts, write_files
 
 # Suffixes of images, and the columns of the table of training epochs.
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".bmp", ".webp"]
@@ -36,10 +36,11 @@ def split_of(path: Column, folders: dict[str, str] | None = None) -> Column:
 
 
 def label_lines(spark: SparkSession, root: str, source: str, folders: dict[str, str] | None = None) -> DataFrame:
-    """source, split, stem, line_no, value: the lines of all label files under ``root``; empty files have none."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-    path = F.col("_metadata.file_path")
-    return _lines(raw.select(F.lit(source).alias("source"), split_of(path, folders).alias("split"), stem(path).alias("stem"), F.col("value").alias("text")))
+    """source, split, stem, line_no, value: the lines of all label files under ``root``, listed and read by tasks; empty files have none."""
+    # Spark's own text source would hold every file's status in the driver.
+    raw = texts(listing(spark, root).where(F.col("path").endswith(".txt")))
+    path = F.col("path")
+    return _lines(raw.select(F.lit(source).alias("source"), split_of(path, folders).alias("split"), stem(path).alias("stem"), "text"))
 
 
 def _lines(texts: DataFrame) -> DataFrame:

@@ -125,3 +125,13 @@ def test_no_report_of_nothing(spark, tmp_path):
     assert not sources.write_csv(some.where(F.lit(False)), str(tmp_path / "r")) and not (tmp_path / "r").exists()
     assert sources.write_csv(some, str(tmp_path / "r"))
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "r"), header=True).collect()] == [(" a ", "[1,2]")]
+
+
+def test_label_lines_are_listed_and_read_by_tasks(spark, tmp_path):
+    folder = tmp_path / "valid" / "labels"
+    folder.mkdir(parents=True)
+    for name, text in {"a.txt": "0 1\r\n\r\n2 3\n", "b c.txt": "4 5", "empty.txt": "", "_hidden.txt": "x", "d.TXT": "x", "e.jpg": "x"}.items():
+        (folder / name).write_bytes(text.encode())
+    read = sources.label_lines(spark, str(tmp_path), "s")
+    assert read.inputFiles() == []  # the driver holds no file of the folder
+    assert sorted((r.split, r.stem, r.line_no, r.value) for r in read.collect()) == [("val", "a", 0, "0 1"), ("val", "a", 1, ""), ("val", "a", 2, "2 3"), ("val", "b c", 0, "4 5")]
