@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -357,10 +357,10 @@ def _tree_pairs(rows: DataFrame, known: DataFrame, share: int, chunk: int, best:
 def links(prints: DataFrame, docs: DataFrame, width: int, share: int, chunk: int, rounds: int) -> DataFrame:
     """node and root of the sets of ``prints`` that are linked with a smaller one, by components of all links."""
     keyed = prints.where("keys is not null").select(F.explode("keys").alias("key"), "sid")
-    # Sums of a task come first, so a key that many sets or copies share is a row a task.
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
-    shared = written(shared.select("key"), "shingle-blocks")
-    members = written(keyed.join(shared, "key").select("key", "sid").distinct(), "shingle-members")
+    # Dealt by key once: where a key's sets meet, the window tells whether they are several.
+    own = Window.partitionBy("key")
+    met = keyed.select("key", "sid", F.min("sid").over(own).alias("lo"), F.max("sid").over(own).alias("hi")).where("lo < hi")
+    members = written(met.select("key", "sid").distinct(), "shingle-members")
     alike = members.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor("sid").alias("x"), F.bit_xor(F.xxhash64("sid")).alias("y"))
     once = written(alike.groupBy("lo", "hi", "m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "shingle-once")
     members = written(members.join(once, "key"), "shingle-members")
