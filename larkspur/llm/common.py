@@ -15,14 +15,19 @@ from larkspur.session import new_folder, remove_folder
 __all__ = ["BLANKS", "cleared", "let", "n_words", "only", "words_of", "written"]
 
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+#: Rows of a file where a table's rows are bounded beforehand.
+FILE_ROWS = 1 << 14
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
 
-    Any executor can read the files again, so a lost executor costs a reread and no recomputation.
+    Any executor can read the files again, so a lost executor costs a reread and no recomputation. ``most``, where known, is a bound of the rows:
+    small tables then have a file for each ``FILE_ROWS`` and not one a shuffle partition, and Spark sees that they are small enough to broadcast.
     """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     path = new_folder(spark, name)
     df.write.parquet(path)
     if _made.get() is not None:

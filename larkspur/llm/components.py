@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import cleared, written
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b) but the roots; root is the least node reachable.
+def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b) but the roots; root is the least node reachable. ``most`` bounds the edges' number, where it is known.
 
     A round links each larger neighbour to its node's least neighbour, then each smaller neighbour likewise; it
     ends when no edge changes, after some log(nodes) rounds in practice. The least neighbours are aggregated map-side and written, so
@@ -20,22 +20,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     with cleared(spark) as keep:
-        pairs = written(pairs, "components")
+        pairs = written(pairs, "components", most)
         now, before = _mark(pairs), None
         while now != before:
-            pairs, before = _round(pairs), now
+            pairs, before = _round(pairs, None if most is None else 2 * now[0]), now
             now = _mark(pairs)
         return keep(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
 
 
-def _round(pairs: DataFrame) -> DataFrame:
+def _round(pairs: DataFrame, most: int | None) -> DataFrame:
     both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least", most)
     large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = written(large.distinct(), "components-large")
-    least = written(large.groupBy("u").agg(F.min("v").alias("m")), "components-least")
+    large = written(large.distinct(), "components-large", most)
+    least = written(large.groupBy("u").agg(F.min("v").alias("m")), "components-least", most)
     small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+    return written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "components", most)
 
 
 def _mark(pairs: DataFrame) -> tuple[int, int]:

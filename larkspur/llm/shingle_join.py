@@ -8,8 +8,8 @@ one of their n - ceil(n * share) + 1 rarest shingles (the order is by a count sk
 one keeps passages that many texts hold out of it); each such shingle has a block of the sets that it is rare in. Blocks of the same sets count once, and a tree
 over each block's points drops the sets that the bound leaves without a partner. In a block the others are first compared with
 one leader, which joins most near copies, however many, in time linear in their number; blocks that still hold several components are cut into
-chunks of bounded size, and a tree over each pair of chunks yields each set's best partner of another component, round by round while most of
-those are links, and in the end all pairs of different components that the bound leaves.
+chunks of bounded size, and a tree over each pair of chunks yields each set's best partner of another component, or all of them where they are few,
+round by round while many of those are links, and in the end all pairs of different components that the bound leaves.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SLOT_BITS, SEGMENT = 20, 1 << 16
 LEAF = 16
 #: Largest block whose sets are all asked for partners at once, and largest share of a component in a mixed chunk.
 WHOLE, MIXED = 512, 64
+#: After the first round a tree's pairs are all tested if they are no more than so many a set.
+FEW = 4
 _RANDOM = np.random.default_rng(11)
 #: Words are polynomials over random values of their bytes, modulo 2**64; A-Z have the values of a-z.
 _BYTES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -128,24 +130,36 @@ class Tree:
         return self.order[nodes]
 
 
-def tree_pairs(sizes: np.ndarray, vectors: np.ndarray, roots: np.ndarray, sides: np.ndarray, share: int, best: bool = False) -> Iterator[tuple[int, int]]:
+def tree_pairs(
+    sizes: np.ndarray, vectors: np.ndarray, roots: np.ndarray, sides: np.ndarray, share: int, best: bool = False, few: int = 0, more: list | None = None
+) -> Iterator[tuple[int, int]]:
     """Pairs of places of different roots that the bound leaves, each once; with ``best`` only the pair of the largest bound of each place that asks.
 
-    Where there are two sides (a flag a place), pairs are those across, and the smaller side asks a tree of the larger one.
+    Where there are two sides (a flag a place), pairs are those across, and the smaller side asks a tree of the larger one. With ``best`` all pairs come too
+    if they are no more than ``few`` a place that asks; else the pairs of places that have others beside are added to ``more``, so if that stays empty nothing is left out.
     """
     alone = sides.all() or not sides.any()
-    few = sides if sides.sum() * 2 <= len(sides) else ~sides
-    asking, asked = (np.arange(len(sides)),) * 2 if alone else (np.flatnonzero(few), np.flatnonzero(~few))
+    smaller = sides if sides.sum() * 2 <= len(sides) else ~sides
+    asking, asked = (np.arange(len(sides)),) * 2 if alone else (np.flatnonzero(smaller), np.flatnonzero(~smaller))
     tree = Tree(sizes[asked], vectors[asked])
+    held = []
     for i in asking.tolist():
         found = asked[tree.near(int(sizes[i]), vectors[i], share)]
         found = found[roots[found] != roots[i]]
-        if best and len(found):
+        if best:
+            held.append((i, found))
+        else:
+            yield from ((min(i, j), max(i, j)) for j in found.tolist() if not alone or j > i)
+    whole = sum(len(found) for _, found in held) <= few * len(asking) * (1 + alone)
+    for i, found in held:
+        if whole:
+            yield from ((min(i, j), max(i, j)) for j in found.tolist() if not alone or j > i)
+        elif len(found):
             bound = np.minimum(vectors[found], vectors[i]).sum(axis=1)
             j = int(found[(bound / (sizes[found] + sizes[i] - bound)).argmax()])
+            if more is not None and len(found) > 1:
+                more.append((min(i, j), max(i, j)))
             yield min(i, j), max(i, j)
-        elif not best:
-            yield from ((min(i, j), max(i, j)) for j in found.tolist() if not alone or j > i)
 
 
 def _slot_order(docs: DataFrame, width: int) -> np.ndarray:
@@ -170,7 +184,8 @@ def _slot_order(docs: DataFrame, width: int) -> np.ndarray:
 
     parts = docs.select("text").mapInArrow(run, "segment int, counts binary").groupBy("segment").applyInArrow(add, "segment int, counts binary")
     counts = np.zeros(slots, dtype=np.uint64)
-    for r in parts.toLocalIterator():
+    # As many rows as segments, a fixed number: one job brings them, and no empty partition is asked for.
+    for r in parts.coalesce(slots // SEGMENT).collect():
         counts[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.counts, "<u8")
     rank = np.empty(slots, dtype=np.uint32)
     rank[np.argsort(counts, kind="stable")] = np.arange(slots, dtype=np.uint32)
@@ -295,8 +310,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "sid long, hashes binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Those of the pairs (a, b) of sids that are links, by the sets themselves."""
+def _verified(pairs: DataFrame, sets: DataFrame, share: int, most: int) -> DataFrame:
+    """Those of the pairs (a, b) of sids, ``most`` or fewer, that are links, by the sets themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,33 +324,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     # Later rounds have few pairs: only their sets are dealt.
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "shingle-needed")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "shingle-needed", 2 * most)
     sets = sets.join(needed, "sid", "left_semi")
     one, other = (sets.select(*(F.col(c).alias(f"{c}_{k}") for c in sets.columns)) for k in "ab")
     rows = pairs.join(one, F.col("a") == F.col("sid_a")).join(other, F.col("b") == F.col("sid_b"))
     return rows.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``members`` (key, sid) with their root, of the blocks that hold several components."""
-    rows = written(members.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root")), "shingle-rooted")
+def _open(members: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """``members`` (key, sid), ``most`` or fewer, with their root, of the blocks that hold several components."""
+    rows = written(members.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root")), "shingle-rooted", most)
     several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
-    return rows.join(written(several.select("key", "m"), "shingle-several"), "key")
+    return rows.join(written(several.select("key", "m"), "shingle-several", most), "key")
 
 
-def _tree_pairs(rows: DataFrame, known: DataFrame, share: int, chunk: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components in the blocks ``rows`` (key, sid, root, m) that the trees leave.
+def _tree_pairs(rows: DataFrame, known: DataFrame, share: int, chunk: int, best: bool, few: int, most: int) -> DataFrame:
+    """Pairs (a, b) of different components in the blocks ``rows`` (key, sid, root, m; ``most`` or fewer) that the trees leave; ``more`` where one is a set's best and others beside are left out.
 
     A block is cut into chunks of some ``chunk`` sets, a component with more than ``MIXED`` into chunks of its own; pairs of chunks of one and the same
     component are left out, so a block of one large component and some others takes time linear in its size.
     """
     own = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("r"))
-    rows = rows.join(written(own, "shingle-own"), ["key", "root"])
+    rows = rows.join(written(own, "shingle-own", most), ["key", "root"])
     large = F.col("r") > min(chunk, MIXED)
     place = F.when(large, F.struct(F.col("root").alias("c"), F.pmod(F.xxhash64("sid"), F.ceil(F.col("r") / chunk)).alias("s"), F.lit(True).alias("one")))
     place = place.otherwise(F.struct(F.pmod(F.xxhash64("root"), F.ceil(F.col("m") / chunk)).alias("c"), F.lit(0).cast("long").alias("s"), F.lit(False).alias("one")))
-    rows = written(rows.select("key", "sid", "root", place.alias("at")), "shingle-chunks")
-    chunks = rows.select("key", "at").distinct()
+    rows = written(rows.select("key", "sid", "root", place.alias("at")), "shingle-chunks", most)
+    chunks = written(rows.select("key", "at").distinct(), "shingle-chunks", most)
     left, right = chunks.withColumnRenamed("at", "x"), chunks.withColumnRenamed("at", "y")
     both = left.join(right, "key").where((F.col("x") < F.col("y")) | (F.col("x") == F.col("y")) & ~F.col("x.one"))
     both = both.where(~(F.col("x.one") & F.col("y.one") & (F.col("x.c") == F.col("y.c"))))
@@ -347,11 +362,15 @@ def _tree_pairs(rows: DataFrame, known: DataFrame, share: int, chunk: int, best:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (side, sid, root, n, counts) in _groups(batches, 1):
             sids, roots = np.array(sid), np.array(root)
-            pairs = np.array(list(tree_pairs(np.array(n), _vectors(counts), roots, np.array(side), share, best)), dtype=np.int64).reshape(-1, 2)
+            left: list[tuple[int, int]] = []
+            # A set's best comes a second time, marked.
+            pairs = np.array([*tree_pairs(np.array(n), _vectors(counts), roots, np.array(side), share, best, few, left), *left], dtype=np.int64).reshape(-1, 2)
             ends = np.sort(sids[pairs], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+            more = np.arange(len(pairs)) >= len(pairs) - len(left)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(more)], ["a", "b", "more"])
 
-    return met.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
+    found = met.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.bool_or("more").alias("more"))
 
 
 def links(prints: DataFrame, docs: DataFrame, width: int, share: int, chunk: int, rounds: int) -> DataFrame:
@@ -362,40 +381,46 @@ def links(prints: DataFrame, docs: DataFrame, width: int, share: int, chunk: int
     met = keyed.select("key", "sid", F.min("sid").over(own).alias("lo"), F.max("sid").over(own).alias("hi")).where("lo < hi")
     members = written(met.select("key", "sid").distinct(), "shingle-members")
     alike = members.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor("sid").alias("x"), F.bit_xor(F.xxhash64("sid")).alias("y"))
-    once = written(alike.groupBy("lo", "hi", "m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "shingle-once")
+    once = written(alike.groupBy("lo", "hi", "m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "shingle-once", members.count())
     members = written(members.join(once, "key"), "shingle-members")
-    inside = written(members.select("sid").distinct(), "shingle-inside")
+    most = members.count()
+    inside = written(members.select("sid").distinct(), "shingle-inside", most)
     facts = prints.where("counts is not null").join(inside, "sid").groupBy("sid").agg(F.min(F.struct("tk", "n", "counts")).alias("x")).select("sid", "x.*")
-    known = written(facts, "shingle-known")
-    # First a leader a block, for groups of any size; then each set's best partner of another component, as long as a quarter of those are links; last all that the bound leaves.
-    leaders = written(members.groupBy("key").agg(F.min("sid").alias("leader")), "shingle-leaders")
+    known = written(facts, "shingle-known", most)
+    # First a leader a block, for groups of any size; then each set's best partner of another component, or all where they are few, as long as a quarter of the best are links; last all that the bound leaves.
+    leaders = written(members.groupBy("key").agg(F.min("sid").alias("leader")), "shingle-leaders", most)
     led = members.join(leaders, "key").where("sid <> leader").select("key", F.col("leader").alias("a"), F.col("sid").alias("b"))
-    pairs = written(_bounded(led.select("a", "b").distinct(), known, share), "shingle-pairs")
+    pairs = written(_bounded(led.select("a", "b").distinct(), known, share), "shingle-pairs", most)
     # A block whose sets may all be linked with its leader is live as it is; the others' sets may have partners beside it.
     near = led.join(pairs.withColumn("near", F.lit(True)), ["a", "b"], "left")
-    mixed = written(near.groupBy("key").agg(F.count("near").alias("n"), F.count(F.lit(1)).alias("m")).where("n < m").select("key"), "shingle-mixed")
-    other = written(members.join(mixed, "key"), "shingle-other")
+    mixed = written(near.groupBy("key").agg(F.count("near").alias("n"), F.count(F.lit(1)).alias("m")).where("n < m").select("key"), "shingle-mixed", most)
+    other = written(members.join(mixed, "key"), "shingle-other", most)
     members = written(members.join(mixed, "key", "left_anti").select("key", "sid").unionAll(_live(other.where("m > 2"), known, share)), "shingle-live")
-    inside = written(members.select("sid").distinct(), "shingle-inside")
-    wanted = written(known.join(inside, "sid").select("tk"), "shingle-wanted")
+    inside = written(members.select("sid").distinct(), "shingle-inside", most)
+    wanted = written(known.join(inside, "sid").select("tk"), "shingle-wanted", most)
     sets = written(_sets(docs, wanted, width), "shingle-sets")
     # Of a set's leaders one is enough to begin with: what another one would join is open in a block.
-    pairs = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "shingle-pairs")
-    edges, tested = written(_verified(pairs, sets, share), "shingle-links"), pairs
-    best, roots = rounds > 0, connected_components(edges)
+    pairs = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "shingle-pairs", most)
+    n = pairs.count()
+    edges, tested = written(_verified(pairs, sets, share, n), "shingle-links", n), pairs
+    best, few, roots = rounds > 0, 1, connected_components(edges, n)
     while True:
-        rows = written(_open(members, roots), "shingle-open")
+        rows = written(_open(members, roots, most), "shingle-open", most)
         if rows.isEmpty():
             return roots
-        pairs = written(_tree_pairs(rows, known, share, chunk, best).join(tested, ["a", "b"], "left_anti"), "shingle-pairs")
-        found = written(_verified(pairs, sets, share), "shingle-links")
-        n, edges, tested = found.count(), edges.unionAll(found), tested.unionAll(pairs)
-        if n:
-            roots = connected_components(edges)
-        if not best:
+        n = rows.count()
+        asked = written(_tree_pairs(rows, known, share, chunk, best, few, n), "shingle-asked", FEW * n if best else None)
+        many = asked.where("more").count()
+        pairs = written(asked.join(tested, ["a", "b"], "left_anti").select("a", "b"), "shingle-pairs", asked.count())
+        n = pairs.count()
+        found = written(_verified(pairs, sets, share, n), "shingle-links", n)
+        hits, edges, tested = found.count(), edges.unionAll(found), tested.unionAll(pairs)
+        if hits:
+            roots = connected_components(edges, edges.count())
+        if not many:
             return roots
         rounds -= 1
-        best = rounds > 0 and 4 * n > pairs.count()
+        best, few = rounds > 0 and 4 * hits > many, FEW
 
 
 def joined(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1024, rounds: int = 6) -> DataFrame:
@@ -410,9 +435,10 @@ def joined(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_
         prints = keep(_prints(narrow, width, share), "shingle-prints")
         roots = links(prints, narrow, width, share, chunk, rounds)
         # One row a set and one a component, each aggregated map-side and written, so that the join back is of plain exchanges that Spark can split.
+        most = prints.count()
         each = prints.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
-        table = written(each.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("root", "sid").alias("root")), "shingle-table")
-        firsts = written(table.groupBy("root").agg(F.min("first").alias("component_id")), "shingle-firsts")
+        table = written(each.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("root", "sid").alias("root")), "shingle-table", most)
+        firsts = written(table.groupBy("root").agg(F.min("first").alias("component_id")), "shingle-firsts", most)
         named = keep(table.join(firsts, "root").select("sid", "component_id"), "shingle-names")
     whole = prints.select("doc_id", "n", "sid")
     some = whole.where("sid is not null").join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

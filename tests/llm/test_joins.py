@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import importance, periodic, queries, shingle_join
+from larkspur.llm import components, importance, periodic, queries, shingle_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,6 +121,47 @@ def test_hot_group_emits_no_pairs(spark):
     assert {r.component_id for r in shingle_join.joined(df).collect()} == {0}
 
 
+def test_small_steps_have_few_files_and_rounds(spark, monkeypatch):
+    """However many shuffle partitions are held, tables of a few rows are one file each, and what few pairs are left is tested at once."""
+    files, names = [], []
+
+    def seen(df, name, *most, w=shingle_join.written):
+        out = w(df, name, *most)
+        names.append(name)
+        if name.startswith("components") or name in ("shingle-inside", "shingle-leaders", "shingle-needed", "shingle-own", "shingle-links"):
+            files.append(len(out.inputFiles()))
+        return out
+
+    for module in (shingle_join, components):
+        monkeypatch.setattr(module, "written", seen)
+    held = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = families(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = {r.doc_id: r.component_id for r in shingle_join.joined(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == plain_components({i: plain_set(t) for i, t in rows})
+    assert max(files) == 1
+    assert names.count("shingle-open") <= 3
+
+
+def test_few_pairs_are_all_given():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 6, size=(40, shingle_join.GROUPS))
+    vectors = base[np.arange(80) % 40]
+    sizes, roots, both = vectors.sum(axis=1), np.arange(80), np.ones(80, dtype=bool)
+    more: list = []
+    assert sorted(shingle_join.tree_pairs(sizes, vectors, roots, both, 80, best=True, few=1, more=more)) == [(i, i + 40) for i in range(40)] and more == []
+    vectors = base[np.arange(80) % 4]
+    pairs = set(shingle_join.tree_pairs(vectors.sum(axis=1), vectors, roots, both, 80, best=True, few=4, more=more))
+    assert set(more) == pairs and len(pairs) <= 80
+
+
 # --- runs
 
 
